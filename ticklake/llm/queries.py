@@ -10,8 +10,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts
-from .common import table
+from . import bpe, html_text, pii, quality, secret_scan, token_counts
+from .common import spans_text, table
 
 #: Folder of the public tokenizers; read at run time, never copied.
 TOKENIZERS = os.environ.get("TICKLAKE_TOKENIZERS", "/opt/tokenizers")
@@ -21,14 +21,38 @@ def tokenizer(name: str) -> str:
     return os.path.join(TOKENIZERS, name)
 
 
+def _span_report(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts by kind, the digest of the spans of these kinds, and all spans as text."""
+    of_kinds = lambda *some: F.filter("spans", lambda s: s["kind"].isin(*some))
+    own = of_kinds(*kinds)
+    counts = [F.size(of_kinds(k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(spans_text(own).cast("binary"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_report(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return out.select("doc_id", bpe.n_tokens("token_ids").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_report(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op8_token_counts)}
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secrets, op5_bpe, op6_quality, op7_pii, op8_token_counts, op9_html_text)}
 ORACLES: dict[str, str] = {}
