@@ -10,7 +10,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, pii, quality, secret_scan, token_counts
+from . import bpe, html_text, near_dup, pii, quality, secret_scan, token_counts
 from .common import spans_text, table
 
 #: Folder of the public tokenizers; read at run time, never copied.
@@ -29,6 +29,10 @@ def _span_report(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans_text(own).cast("binary"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_report(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS)
 
@@ -54,5 +58,5 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op5_bpe, op6_quality, op7_pii, op8_token_counts, op9_html_text)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_secrets, op5_bpe, op6_quality, op7_pii, op8_token_counts, op9_html_text)}
 ORACLES: dict[str, str] = {}
