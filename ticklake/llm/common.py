@@ -127,12 +127,12 @@ def mix64(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def word_windows(text: str, k: int, whole_if_short: bool = True) -> tuple[np.ndarray, int]:
+def word_windows(text: str | bytes, k: int, whole_if_short: bool = True) -> tuple[np.ndarray, int]:
     """64-bit hashes of all k-word windows (A-Z lower-cased, words joined by one space) and the number of words.
 
     With fewer than k words, the whole sequence is one window (or there is none, if not whole_if_short).
     """
-    words = text.encode().lower().split()
+    words = (text.encode() if isinstance(text, str) else text).lower().split()
     n = len(words)
     if n == 0 or (n < k and not whole_if_short):
         return np.zeros(0, np.uint64), n

@@ -10,7 +10,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, near_dup, pii, quality, secret_scan, token_counts
+from . import bpe, decontaminate, html_text, near_dup, pii, quality, secret_scan, token_counts
 from .common import spans_text, table
 
 #: Folder of the public tokenizers; read at run time, never copied.
@@ -58,5 +58,9 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_secrets, op5_bpe, op6_quality, op7_pii, op8_token_counts, op9_html_text)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_secrets, op5_bpe, op6_quality, op7_pii, op8_token_counts, op9_html_text, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
