@@ -156,23 +156,23 @@ def load(path: str) -> ByteBPE:
     return _LOADED[path]
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes every whole text and decodes it again: id_col, token_ids (binary: little-endian unsigned 32-bit), decoded.
+def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encodes every whole text and decodes it again: id_col, columns to keep, token_ids (binary: little-endian unsigned 32-bit), decoded.
 
     A null text counts as empty (no ids, decoded ''); rows with equal or null ids each get a row; an empty table
     gives an empty result; other columns are not read.
     """
     arrow_limits(docs.sparkSession)
+    rows = docs.select(F.col(id_col), *keep, F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for b in by_batches(batches):
-            ids = bpe.encode_batch(texts(b, "text"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["id", "token_ids", "decoded"])
+            ids = bpe.encode_batch(texts(b, "_text"))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], [*b.schema.names[:-1], "token_ids", "decoded"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, token_ids binary, decoded string")
-    return out.withColumnRenamed("id", id_col)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{fields}, token_ids binary, decoded string")
 
 
 def n_tokens(token_ids) -> F.Column:

@@ -10,7 +10,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, lm_score, near_dup, pii, quality, secret_scan, token_counts
+from . import ann, bpe, decontaminate, html_text, lm_score, near_dup, pii, quality, secret_scan, token_counts
 from .common import spans_text, table
 
 #: Folder of the public tokenizers; read at run time, never copied.
@@ -37,6 +37,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_report(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS)
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -66,5 +70,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_secrets, op4_lm_score, op5_bpe, op6_quality, op7_pii, op8_token_counts, op9_html_text, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_secrets, op3_ann, op4_lm_score, op5_bpe, op6_quality, op7_pii, op8_token_counts, op9_html_text, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
