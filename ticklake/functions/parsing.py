@@ -26,8 +26,8 @@ def top_of_book(messages: DataFrame, symbol: str) -> DataFrame:
 
     Quantities become whole numbers of 1e-6 that fit in 32 bits; update ids are text of up to 20 digits.
     """
-    m = F.from_json("value", "s string, u decimal(20,0), b string, B string, a string, A string")
-    rows = messages.withColumn("m", m).select("*", F.col("m.s").alias("s"), F.col("m.u").alias("update_id"), *(fixed_decimal(F.col(f"m.{c}")).alias(n) for c, n in (("b", "_b"), ("B", "_bq"), ("a", "_a"), ("A", "_aq")))).drop("m")
+    at = lambda c: F.get_json_object("value", f"$.{c}")  # noqa: E731  field names differ in case alone, which a struct can't hold
+    rows = messages.select("*", at("s").alias("s"), at("u").try_cast("decimal(20,0)").alias("update_id"), *(fixed_decimal(at(c)).alias(n) for c, n in (("b", "_b"), ("B", "_bq"), ("a", "_a"), ("A", "_aq"))))
     scaled = lambda c: F.round(F.col(c) / 100).cast("long")
     out = rows.where((F.upper(F.trim("s")) == symbol) & (F.col("update_id") > 0) & (F.col("_b") > 0) & (F.col("_a") > 0) & (F.col("_b") <= F.col("_a")) & F.col("_bq").isNotNull() & F.col("_aq").isNotNull())
     out = out.select(*[c for c in messages.columns if c != "value"], "update_id", (F.col("_b") / UNIT).alias("best_bid"), (F.col("_a") / UNIT).alias("best_ask"), scaled("_bq").alias("bid_volume"), scaled("_aq").alias("ask_volume"))
@@ -36,11 +36,10 @@ def top_of_book(messages: DataFrame, symbol: str) -> DataFrame:
 
 def depth_messages(messages: DataFrame) -> DataFrame:
     """Depth updates and trades from combined-stream messages (column value, JSON), with corrupt ones marked."""
-    data = "struct<e:string,E:bigint,s:string,U:decimal(20,0),u:decimal(20,0),b:array<array<string>>,a:array<array<string>>,t:decimal(20,0),p:string,q:string,m:boolean>"
-    d = F.from_json("value", f"stream string, data {data}")["data"]
-    levels = lambda c: F.transform(c, lambda x: F.struct(fixed_decimal(x[0]).alias("price"), fixed_decimal(x[1]).alias("qty")))
-    rows = messages.withColumn("d", d)
-    depth, trade = F.col("d.e") == "depthUpdate", F.col("d.e") == "aggTrade"
-    out = rows.select(*[c for c in messages.columns if c != "value"], F.when(depth, "depth").when(trade, "trade").alias("kind"), F.upper("d.s").alias("symbol"), F.col("d.E").alias("event_ms"), F.col("d.U").alias("first_id"), F.col("d.u").alias("final_id"), levels("d.b").alias("bids"), levels("d.a").alias("asks"), fixed_decimal(F.col("d.p")).alias("trade_price"), fixed_decimal(F.col("d.q")).alias("trade_qty"), F.col("d.m").alias("buyer_is_maker"))
+    at = lambda c: F.get_json_object("value", f"$.data.{c}")
+    levels = lambda c: F.transform(F.from_json(at(c), "array<array<string>>"), lambda x: F.struct(fixed_decimal(x[0]).alias("price"), fixed_decimal(x[1]).alias("qty")))
+    depth, trade = at("e") == "depthUpdate", at("e") == "aggTrade"
+    number = lambda c: at(c).try_cast("decimal(20,0)")
+    out = messages.select(*[c for c in messages.columns if c != "value"], F.when(depth, "depth").when(trade, "trade").alias("kind"), F.upper(at("s")).alias("symbol"), at("E").try_cast("long").alias("event_ms"), number("U").alias("first_id"), number("u").alias("final_id"), levels("b").alias("bids"), levels("a").alias("asks"), fixed_decimal(at("p")).alias("trade_price"), fixed_decimal(at("q")).alias("trade_qty"), at("m").try_cast("boolean").alias("buyer_is_maker"))
     whole = F.when(F.col("kind") == "depth", (F.col("first_id") <= F.col("final_id")) & F.forall(F.concat("bids", "asks"), lambda x: (x["price"] > 0) & x["qty"].isNotNull())).when(F.col("kind") == "trade", (F.col("trade_price") > 0) & (F.col("trade_qty") > 0))
     return out.withColumn("corrupt", ~F.coalesce(whole, F.lit(False)))
