@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,6 +153,23 @@ def word_windows(text: str | bytes, k: int, whole_if_short: bool = True) -> tupl
         return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), n
 
 
+def pack(a: np.ndarray, ascending: bool = False) -> bytes:
+    """An array of integers in few bytes: differences if it ascends, byte planes (high bytes of small numbers are zero), compressed."""
+    a = np.ascontiguousarray(a)
+    if ascending and len(a):
+        a = np.concatenate([a[:1], np.diff(a)])
+    planes = a.view(np.uint8).reshape(-1, a.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(data: bytes, kind: type, ascending: bool = False) -> np.ndarray:
+    """What pack() was given."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    a = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return np.cumsum(a, dtype=kind) if ascending else a
+
+
 def by_batches(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows, in slices of about size bytes."""
     for b in batches:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, by_batches, discard, id_bucket, materialize, mix64, word_windows
+from .common import arrow_limits, by_batches, discard, id_bucket, materialize, mix64, pack, unpack, word_windows
 
 #: UTF-8 bytes of text in a block, and entries in a hash range.
 BLOCK_BYTES, RANGE_ENTRIES = 16 << 20, 3_000_000
@@ -33,7 +33,7 @@ _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """docs (id, held, text) as blocks: ids, held, lens (words of each), vocab (hashes), tokens (places in vocab)."""
+    """docs (id, held, text) as blocks: ids, held, lens (words of each), vocab (hashes, frequent first), tokens (places in vocab); packed."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,9 +42,12 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         def emit() -> pa.RecordBatch:
             flat = np.concatenate([np.zeros(0, np.uint64), *words])
-            vocab, tokens = np.unique(flat, return_inverse=True)
+            vocab, tokens, counts = np.unique(flat, return_inverse=True, return_counts=True)
+            frequent = np.argsort(-counts, kind="stable")  # small numbers for frequent words: fewer bytes
+            place = np.empty(len(vocab), np.int32)
+            place[frequent] = np.arange(len(vocab), dtype=np.int32)
             lens = np.array([len(w) for w in words], np.int32)
-            cells = [pa.array([part << 32 | count]), pa.array([ids], pa.list_(at)), pa.array([held], pa.list_(pa.bool_())), pa.array([lens.tobytes()]), pa.array([vocab.tobytes()]), pa.array([tokens.astype(np.int32).tobytes()]), pa.array([len(flat)])]
+            cells = [pa.array([part << 32 | count]), pa.array([ids], pa.list_(at)), pa.array([held], pa.list_(pa.bool_())), pa.array([pack(lens)]), pa.array([pack(vocab[frequent])]), pa.array([pack(place[tokens])]), pa.array([len(flat)])]
             return pa.RecordBatch.from_arrays(cells, ["block", "ids", "held", "lens", "vocab", "tokens", "n"])
 
         for b in by_batches(batches):
@@ -66,11 +69,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 class Block:
-    """A block's tokens with one end for each document: cur and prev are places in vocab, then the end and the start."""
+    """A block's tokens with one end for each document: cur and prev are places in vocab, then the end and the start.
 
-    def __init__(self, held: list[bool], lens: bytes, vocab: bytes, tokens: bytes):
-        self.lens = np.frombuffer(lens, np.int32).astype(np.int64)
-        self.vocab, words = np.frombuffer(vocab, np.uint64), np.frombuffer(tokens, np.int32)
+    Without vocab, size tells how many words it had.
+    """
+
+    def __init__(self, held: list[bool], lens: bytes, vocab: bytes, tokens: bytes, size: int = 0):
+        self.lens = unpack(lens, np.int32).astype(np.int64)
+        self.vocab, words = unpack(vocab, np.uint64) if vocab else np.zeros(size, np.uint64), unpack(tokens, np.int32)
         v, total = len(self.vocab), int(self.lens.sum()) + len(self.lens)
         self.stops = np.cumsum(self.lens + 1)
         self.starts = self.stops - self.lens - 1
@@ -104,11 +110,12 @@ def _counted(blocks: DataFrame, ranges: int) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 x = Block(row["held"], row["lens"], row["vocab"], row["tokens"])
-                words = np.bincount(x.cur[x.train], minlength=len(x.vocab) + 2)[: len(x.vocab)].astype(np.uint32)
+                by_hash = np.argsort(x.vocab)
+                vocab, words = x.vocab[by_hash], np.bincount(x.cur[x.train], minlength=len(x.vocab) + 2)[: len(x.vocab)][by_hash]
                 keys, at = x.pairs()
-                pairs = np.bincount(at[x.train], minlength=len(keys)).astype(np.uint32)
-                w, p = _ranges(x.vocab, ranges), _ranges(keys, ranges)
-                cells = [[v[i].tobytes() for i in (slice(s[r], s[r + 1]) for r in range(ranges))] for v, s in ((x.vocab, w), (words, w), (keys, p), (pairs, p))]
+                pairs = np.bincount(at[x.train], minlength=len(keys))
+                w, p = _ranges(vocab, ranges), _ranges(keys, ranges)
+                cells = [[pack(v[s[r] : s[r + 1]], up) for r in range(ranges)] for v, s, up in ((vocab, w, True), (words, w, False), (keys, p, True), (pairs, p, False))]
                 yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([row["block"]] * ranges, pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], ["range", "block", "words", "word_n", "pairs", "pair_n"])
 
     return blocks.select("block", "held", "lens", "vocab", "tokens").mapInArrow(run, "range int, block long, words binary, word_n binary, pairs binary, pair_n binary")
@@ -118,32 +125,30 @@ def _totals(table: pa.Table) -> pa.Table:
     """One range: each block's entries answered with totals; the number of training words goes with the first block."""
     out, distinct = [], 0
     for keys, counts in (("words", "word_n"), ("pairs", "pair_n")):
-        parts = [np.frombuffer(x, np.uint64) for x in table.column(keys).to_pylist()]
-        own = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(counts).to_pylist()])
+        parts = [unpack(x, np.uint64, True) for x in table.column(keys).to_pylist()]
+        own = np.concatenate([unpack(x, np.int64) for x in table.column(counts).to_pylist()])
         known, at = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(at, own, len(known)).astype(np.int64)
         if keys == "words":
             distinct = int((total > 0).sum())
-        cuts = np.cumsum([len(p) for p in parts])[:-1]
-        out.append([x.astype(np.uint32 if total.max(initial=0) < 1 << 32 else np.uint64).tobytes() for x in np.split(total[at], cuts)])
-    n = table.num_rows
-    wide = [any(len(t) > len(k) // 2 for t, k in zip(o, table.column(c).to_pylist(), strict=True)) for o, c in zip(out, ("words", "pairs"), strict=True)]
-    return pa.table({"range": table.column("range"), "block": table.column("block"), "word_n": pa.array(out[0], pa.binary()), "pair_n": pa.array(out[1], pa.binary()), "word_wide": pa.array([wide[0]] * n), "pair_wide": pa.array([wide[1]] * n), "distinct": pa.array([distinct] + [0] * (n - 1), pa.int64())})
+        out.append([pack(x) for x in np.split(total[at], np.cumsum([len(p) for p in parts])[:-1])])
+    return pa.table({"range": table.column("range"), "block": table.column("block"), "word_n": pa.array(out[0], pa.binary()), "pair_n": pa.array(out[1], pa.binary()), "distinct": pa.array([distinct] + [0] * (table.num_rows - 1), pa.int64())})
 
 
 def _answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """Blocks with the totals of their words (by place in vocab) and of their pairs (by token)."""
 
     def read(table: pa.Table, what: str) -> np.ndarray:
-        kinds = [np.uint64 if w else np.uint32 for w in table.column(f"{what}_wide").to_pylist()]
-        return np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x, k).astype(np.int64) for x, k in zip(table.column(f"{what}_n").to_pylist(), kinds, strict=True)])
+        return np.concatenate([np.zeros(0, np.int64)] + [unpack(x, np.int64) for x in table.column(f"{what}_n").to_pylist()])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("range")
         row = left.to_pylist()[0]
         x = Block(row["held"], row["lens"], row["vocab"], row["tokens"])
+        words = np.empty(len(x.vocab), np.int64)
+        words[np.argsort(x.vocab)] = read(right, "word")
         pairs = read(right, "pair")[x.pairs()[1]]
-        return pa.table({"ids": left.column("ids"), "held": left.column("held"), "lens": left.column("lens"), "tokens": left.column("tokens"), "word_n": pa.array([read(right, "word").tobytes()], pa.binary()), "pair_n": pa.array([pairs.astype(np.uint32 if pairs.max(initial=0) < 1 << 32 else np.uint64).tobytes()], pa.binary()), "distinct": pa.array([sum(right.column("distinct").to_pylist())], pa.int64())})
+        return pa.table({"ids": left.column("ids"), "held": left.column("held"), "lens": left.column("lens"), "tokens": left.column("tokens"), "word_n": pa.array([pack(words)], pa.binary()), "pair_n": pa.array([pack(pairs)], pa.binary()), "distinct": pa.array([sum(right.column("distinct").to_pylist())], pa.int64())})
 
     kind = blocks.schema["ids"].dataType.simpleString()
     schema = f"ids {kind}, held array<boolean>, lens binary, tokens binary, word_n binary, pair_n binary, distinct long"
@@ -152,9 +157,8 @@ def _answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
 
 def _read(row: dict, train_docs: int) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
     """A block with, for each token, the totals of its word, of its context and of the pair."""
-    words = np.frombuffer(row["word_n"], np.int64)
-    x = Block(row["held"], row["lens"], bytes(8 * len(words)), row["tokens"])
-    pairs = np.frombuffer(row["pair_n"], np.uint32 if len(row["pair_n"]) == 4 * len(x.cur) else np.uint64).astype(np.int64)
+    words, pairs = unpack(row["word_n"], np.int64), unpack(row["pair_n"], np.int64)
+    x = Block(row["held"], row["lens"], b"", row["tokens"], len(words))
     known = np.concatenate([words, [train_docs, train_docs]])
     return x, known[x.cur], known[x.prev], pairs
 
@@ -206,7 +210,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col
     blocks = materialize(_blocks(rows), "lm-blocks")
     tokens = blocks.agg(F.sum("n")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(tokens / RANGE_ENTRIES))
-    answers = _counted(blocks, ranges).groupBy("range").applyInArrow(_totals, "range int, block long, word_n binary, pair_n binary, word_wide boolean, pair_wide boolean, distinct long")
+    answers = _counted(blocks, ranges).groupBy("range").applyInArrow(_totals, "range int, block long, word_n binary, pair_n binary, distinct long")
     full = materialize(_answered(blocks, answers), "lm-totals")
     discard(blocks)
 
@@ -218,7 +222,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col
         n = 0
         for b in batches:
             for held, lens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n += int((np.frombuffer(lens, np.int32)[~np.array(held, bool)].astype(np.int64) + 1).sum())
+                n += int((unpack(lens, np.int32)[~np.array(held, bool)].astype(np.int64) + 1).sum())
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
     total = full.select("held", "lens").mapInArrow(train_tokens, "n long").agg(F.sum("n")).first()[0] or 0
