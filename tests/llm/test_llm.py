@@ -1,0 +1,469 @@
+"""The text operators against brute force, exact round trips and held-out accuracy, and on odd tables."""
+
+import collections
+import hashlib
+import html
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ticklake.llm import ann, bpe, decontaminate, graph, html_text, lm_score, near_dup, pii, quality, secret_scan, token_counts
+from ticklake.llm.queries import QUERIES, tokenizer
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Null text and id, empty, blank, repeated rows, a very long text, one word, ties.
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "null id text here now"), (5, "a b c d e f g h"), (6, "a b c d e f g h"), (7, "long text " * 30_000), (8, "x" * 50_000), (9, "A\x00B é 日本 <|endoftext|> ▁ a  b")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows, with an extra column whose name operators use inside."""
+    rows = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t)) for i, t in ODD], SCHEMA)
+    return rows.withColumns({"id": F.lit("x"), "spans": F.lit(1), "_text": F.lit(2), "comp": F.lit(3)}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def all_texts(docs):
+    return {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+
+
+# 1: near-duplicates
+
+
+def shingles(text, k):
+    w = text.encode().lower().split()
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or (frozenset([tuple(w)]) if w else frozenset())
+
+
+def components_by_force(sets, percent):
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
+def test_near_duplicates_equal_brute_force(docs, all_texts, k, percent):
+    got = {r.doc_id: r for r in near_dup.near_duplicates(docs, k, percent).collect()}
+    sets = {i: shingles(t, k) for i, t in all_texts.items()}
+    want = components_by_force(sets, percent)
+    assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert all(r.kept == (r.component_id == i) for i, r in got.items())
+
+
+def test_a_group_of_edited_copies_equals_brute_force(spark, monkeypatch):
+    """Copies with few and many edits, exact copies, and a bucket size that sends them through every path."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        own = list(words)
+        for at in r.sample(range(120), r.choice((0, 1, 2, 3, 5, 8))):
+            own[at] = f"e{r.randrange(40) if r.random() < 0.2 else i * 1000 + at}"
+        rows.append((i, " ".join(own)))
+    rows += [(200 + i, "the same words in every copy of it") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(df, 3, 85).collect()}
+    assert got == components_by_force({i: shingles(t, 3) for i, t in rows}, 85)
+
+
+def test_estimate_is_close():
+    rng = np.random.default_rng(0)
+    for share in (0.3, 0.6, 0.9):
+        found = []
+        for _ in range(40):
+            common, a, b = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)) for n in (int(1000 * share), int(500 * (1 - share)), int(500 * (1 - share))))
+            x, y = (np.unique(np.concatenate([common, z])) for z in (a, b))
+            same = (near_dup.registers(x) == near_dup.registers(y)).mean()
+            found.append(near_dup.estimate(np.array([same]), np.array([len(x)]), np.array([len(y)]))[0])
+        assert np.mean(found) == pytest.approx(share, abs=0.03)
+
+
+def test_components(spark):
+    edges = [(5, 4), (4, 3), (3, 9), (10, 11), (7, 7), (None, 2), (12, 20), (20, 13), (13, 5)] + [(i, i + 1) for i in range(100, 140)]
+    got = {r.node: r.comp for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {4: 3, 5: 3, 9: 3, 11: 10, 12: 3, 13: 3, 20: 3} | {i: 100 for i in range(101, 141)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_near_duplicates_of_odd_rows(odd, empty):
+    rows = near_dup.near_duplicates(odd, 3, 85).collect()
+    assert len(rows) == len(ODD)
+    by = {r.doc_id: r for r in rows}
+    assert by[1].n_shingles == by[2].n_shingles == by[3].n_shingles == 0 and by[1].component_id == 1 and by[3].kept
+    assert by[4].n_shingles == 1 and by[6].component_id == 5 and not by[6].kept
+    assert by[None].component_id is None and by[None].kept
+    kept = near_dup.drop_near_duplicates(odd, 3, 85)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, None, 5, 7, 8, 9]))
+    assert near_dup.near_duplicates(empty).isEmpty()
+
+
+# 2 and 7: spans
+
+
+def check_report(got, base, kinds, text):
+    ordered = sorted(base, key=lambda s: (s[1], kinds.index(s[0])))
+    assert got["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in ordered).encode()).hexdigest()
+    for k in kinds:
+        assert got[f"n_{k}"] == sum(s[0] == k for s in base)
+
+
+def secrets_by_force(t):
+    out = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m.group(2)) >= 12]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 18]
+    return out + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 16]
+
+
+def personal_by_force(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m)) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits(m)[::-1])) % 10 == 0]
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m)) <= 15]
+
+
+@pytest.mark.parametrize("name,force,kinds", [("op2_secrets", secrets_by_force, secret_scan.KINDS), ("op7_pii", personal_by_force, pii.KINDS)])
+def test_span_queries_equal_brute_force(spark, sf, all_texts, name, force, kinds):
+    rows = QUERIES[name](spark, sf).collect()
+    assert len(rows) == len(all_texts)
+    for r in rows:
+        check_report(r.asDict(), force(all_texts[r.doc_id]), list(kinds), all_texts[r.doc_id])
+
+
+def test_base_spans_of_random_texts():
+    r = random.Random(3)
+    for _ in range(5000):
+        t = "".join(r.choice(("a", "b@", "@", "c.d", ".", "1", "25", "4.", "+", "-", " ", "(", "1.2.3.4", "99 ", "é")) for _ in range(r.randint(1, 16)))
+        assert pii.base(t) == personal_by_force(t)
+        t = "".join(r.choice(("token", "= ", ":", "api_key", "AKIA", "ABCDE0123456", "deadbeef01", " ", '"', "x", "f00", "PassWord", "ſecret", "toKen")) for _ in range(r.randint(1, 12)))
+        assert secret_scan.Scanner().base(t) == secrets_by_force(t)
+
+
+def test_entropy_windows_equal_recounting():
+    r = random.Random(1)
+    for _ in range(200):
+        s = "".join(r.choice("abcdef0123456789XYZ"[: r.randint(2, 19)]) for _ in range(r.randint(1, 60)))
+        hit = set()
+        for i in range(len(s) - 19):
+            n = collections.Counter(s[i : i + 20])
+            if -sum(c / 20 * math.log2(c / 20) for c in n.values()) >= 3.2 - 1e-9:
+                hit |= set(range(i, i + 20))
+        assert {i for a, b in secret_scan.entropy_windows(s, 20, 3.2) for i in range(a, b)} == hit
+
+
+def test_allow_list_and_added_secrets():
+    scan = secret_scan.Scanner().scan
+    assert [s[0] for s in scan("see Qz7Lm2Xp9Rt4Wv6Yb1Nc8 now")] == ["entropy"]
+    assert not scan("see example7Lm2Xp9Rt4Wv6Yb1Nc8 now") and not scan("thehandontheanestionwhithered")
+
+
+def test_random_field_finds_what_patterns_miss():
+    finder = pii.Finder(pii.fit())
+    kinds = lambda t: {k for k, _, _ in finder.find_batch([t])[0]}
+    assert "crf_id" in kinds("anre ssn 123-45-6789 thon")
+    assert not kinds("Licensed under the Apache License, Version 2.0.") and not kinds("plain words, nothing else.")
+    sequences, tags = pii.labelled_table(200, 99)
+    decoded = pii.fit().decode(sequences)
+    assert np.mean([a == b for x, y in zip(tags, decoded) for a, b in zip(x, y)]) > 0.97
+
+
+def test_masking(odd, spark):
+    df = spark.createDataFrame([(1, "mail a.b@c.org or +1 (269) 555-3296"), (2, None)], "doc_id long, text string")
+    assert [r.text for r in pii.mask_personal_data(df).orderBy("doc_id").collect()] == ["mail [EMAIL] or [PHONE]", None]
+    assert pii.mask_personal_data(odd).columns == odd.columns
+
+
+# 3: neighbours
+
+
+def test_neighbours_recall_and_scores(spark, sf):
+    path = sf.replace("sf0.001", "sf0.1")
+    table = spark.read.parquet(f"{path}/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.collect() if r.embedding is not None]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    hit = total = 0
+    got = collections.defaultdict(dict)
+    for r in ann.nearest(table).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    for q, v in rows:
+        if q % 50 == 0:
+            s = ann.cosines(x, v)
+            s[ids == q] = -9
+            want = ids[np.lexsort((ids, -s))[:5]].tolist()
+            assert sorted(got[q]) == [1, 2, 3, 4, 5]
+            hit += len(set(want) & {i for i, _ in got[q].values()})
+            total += 5
+            assert all(score == pytest.approx(s[ids == i][0], abs=1e-12) for i, score in got[q].values())
+    assert hit / total >= 0.9
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [0.5, 0.5]), (6, [1.0]), (7, [None, 1.0]), (None, [1.0, 0.0])]
+    got = collections.defaultdict(list)
+    for r in sorted(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append(r.vec_id)
+    assert got == {0: [1, 50, 5], 50: [0, 1, 5]}
+    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
+
+
+def test_hilbert_curve_is_a_path():
+    for d, bits in ((2, 3), (3, 2)):
+        cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d), -1).reshape(-1, d)
+        keys = ann.hilbert_keys(cells, bits)
+        assert sorted(keys.tolist()) == list(range(len(cells)))
+        path = cells[np.argsort(keys)]
+        assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+# 4: language model
+
+
+def test_language_model_equals_brute_force(docs, all_texts):
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in all_texts}
+    tokens = {i: [*t.encode().lower().split(), None] for i, t in all_texts.items()}
+    words = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(words.values()), len(words)
+    for i, ws in tokens.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(w in words for w in ws), n)
+        assert r.base_score == pytest.approx(sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
+    # the mixture, with the weights that the operator learns from the same deleted counts
+    pairs = collections.Counter(p for i, ws in tokens.items() if not held[i] for p in zip([0, *ws], ws))
+    context = collections.Counter(words) + collections.Counter({0: words[None]})
+    cells = collections.Counter()
+    step = lambda a, b: math.floor(-math.log2(a / b) * lm_score.STEPS) if a > 0 and b > 0 else -1
+    bucket = lambda c: int(lm_score.context_bucket(np.array([c]))[0])
+    for (a, b), c in pairs.items():
+        cells[bucket(context[a] - 1), step(c - 1, context[a] - 1), step(words[b] - 1, n - 1)] += c
+    weights = lm_score.learn_weights(sorted((*k, c) for k, c in cells.items()), 1 / (v + 1))
+    for i in list(tokens)[:60]:
+        want = 0.0
+        for a, b in zip([0, *tokens[i]], tokens[i]):
+            w = weights[bucket(context[a])]
+            want += math.log10(w[0] / (v + 1) + w[1] * words[b] / n + (w[2] * pairs[a, b] / context[a] if context[a] else 0))
+        assert got[i].score == pytest.approx(want, rel=1e-9)
+    mean = lambda f: sum(f(r) for r in got.values() if r.held_out)
+    assert mean(lambda r: r.score) > mean(lambda r: r.base_score)
+
+
+def test_language_model_of_odd_rows(odd, empty):
+    rows = lm_score.lm_scores(odd).collect()
+    assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
+    assert all(math.isfinite(r.score) for r in rows)
+    assert lm_score.lm_scores(empty).isEmpty()
+
+
+# 5 and 8: tokens
+
+
+def odd_texts():
+    r = random.Random(1)
+    return [t or "" for _, t in ODD if t is None or len(t) < 1000] + ["  a b", " x   y", "don't we'll 's I'D"] + ["".join(r.choice("ab \n'st<|>1é.—😀　▁") for _ in range(r.randint(1, 40))) for _ in range(1500)]
+
+
+def test_bpe_equals_the_library(all_texts):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), bpe.load(tokenizer("byte_bpe_50k.json"))
+    batch = odd_texts() + list(all_texts.values())
+    for text, ids in zip(batch, own.encode_batch(batch)):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
+
+
+def test_counts_equal_the_library(all_texts):
+    import sentencepiece
+
+    library, own = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model")), token_counts.load(tokenizer("piece_bpe_32k.model"))
+    batch = odd_texts() + list(all_texts.values())[:80]
+    assert own.safe and own.count(batch) == [len(library.encode(t)) for t in batch]
+
+
+def test_tokens_of_odd_rows(odd, empty):
+    rows = bpe.bpe_round_trip(odd, tokenizer("byte_bpe_50k.json")).collect()
+    assert sorted((str(r.doc_id), r.decoded) for r in rows) == sorted((str(i), t or "") for i, t in ODD) and all(r.same for r in rows)
+    counts = token_counts.token_counts(odd, tokenizer("piece_bpe_32k.model"), 4096).collect()
+    assert len(counts) == len(ODD) and all(r.over_limit == (r.n_tokens > 4096) for r in counts)
+    assert {(r.n_bytes, r.n_tokens) for r in counts if r.doc_id in (1, 2)} == {(0, 0)}
+    assert bpe.bpe_round_trip(empty, tokenizer("byte_bpe_50k.json")).isEmpty()
+
+
+# 6: quality
+
+
+def test_quality_on_held_out_rows(spark, sf):
+    path = sf.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    rows = QUERIES["op6_quality"](spark, path).collect()
+    assert len(rows) == spark.read.parquet(f"{path}/documents.parquet").count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+    assert np.mean([a == b for a, b in held]) > 0.9
+
+
+def test_quality_of_odd_rows(odd, empty, spark):
+    labels = spark.createDataFrame([(4, 1), (4, 0), (5, 0), (6, None), (None, 1), (7, 1)], "doc_id long, quality int")
+    rows = quality.quality_scores(odd, labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    assert {r.score for r in quality.quality_scores(odd, labels.limit(0)).collect()} == {0.5}
+    assert quality.quality_scores(empty, labels).isEmpty()
+    assert quality.keep_good(odd, labels, threshold=0.0).columns == odd.columns
+
+
+def test_isotonic_fit():
+    knots, levels = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
+    assert (np.diff(levels) >= 0).all() and levels[0] < levels[-1]
+
+
+# 9: pages
+
+
+def article_by_force(page):
+    inner = re.search(r"<article>(.*?)(</article>|<footer>|$)", page, re.S).group(1)
+    blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", q.replace("<br>", " "))).split()) for q in re.split(r"</?(?:p|h1)>", inner))
+    return "\n".join(b for b in blocks if b)
+
+
+def test_pages_equal_brute_force(spark, sf):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in QUERIES["op9_html_text"](spark, sf).collect():
+        assert r.text == article_by_force(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
+LAYOUTS = [
+    "<body><header><h1>Site</h1></header><nav class=menu><a href=/>Home</a></nav><main><div class='post-17 content'><h1>T</h1><p>x &amp; <i>y</i>z</p><div class='cookie-notice'>ok?</div><p>more\n  text</p></div><section id=comments><p>first!</p></section></main><aside>side</aside><form><p>send</p></form><footer>end</footer>",
+    "<body><div id=sidebar><p>a b c d e f g</p></div><div class=story><p>T</p><p>x &amp; yz</p><p>more text<div class=ad>buy</div></div><script>var a='<p>no</p>'</script><div class=footer-links><a href=/>l</a></div>",
+]
+
+
+@pytest.mark.parametrize("page,want", [(p, "T\nx & yz\nmore text") for p in LAYOUTS])
+def test_layouts(page, want):
+    assert html_text.extract(page, None) == want
+
+
+def test_hosts_outvote_odd_pages(spark):
+    good = "<body><article class=main><h1>A{0}</h1><p>some words of text here {0}</p></article><div class=box><p>{1}</p></div>"
+    rows = [(i, f"https://h.example/{i}", good.format(i, "short")) for i in range(8)] + [(8, "https://h.example/8", good.format(8, "a much longer box than the article " * 5))]
+    rows += [(9, None, "<div><p>alone</p></div>"), (10, "https://h.example/x", None), (10, "https://h.example/x", ""), (11, "not a url [", "<p>bare")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit(1))
+    few = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    many = {r.page_id: r.text for r in html_text.main_text(df, broadcast_hosts=0).collect()}
+    assert few == many and few[8] == "A8\nsome words of text here 8" and few[9] == "alone" and few[10] == "" and few[11] == "bare"
+    assert html_text.main_text(df.limit(0)).isEmpty()
+
+
+# 10: decontamination
+
+
+def local_alignment(a, b):
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            h[i + 1][j + 1] = max(0, h[i][j] + (2 if x == y else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
+    return max(map(max, h))
+
+
+def test_alignment_equals_brute_force():
+    r = np.random.default_rng(1)
+    a, b = ([r.integers(1, 5, r.integers(1, n)).astype(np.uint64) for _ in range(100)] for n in (12, 20))
+    assert decontaminate.align(a, b)[0].tolist() == [local_alignment(x.tolist(), y.tolist()) for x, y in zip(a, b)]
+
+
+def test_planted_passages(spark, docs):
+    """Exact, edited and partial copies of items among clean documents."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice(("an", "er", "th", "on", "re")) for _ in range(3))
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(10)]
+    rows, want = [], set()
+    for i, (item, text) in enumerate(items):
+        words = text.split()
+        edited = [w if j % 7 else word() for j, w in enumerate(words)]
+        del edited[10]
+        fill = " ".join(word() for _ in range(200))
+        rows += [(10 * i, f"{fill} {text}. {fill}"), (10 * i + 1, f"{fill} {' '.join(edited)} {fill}"), (10 * i + 2, f"{fill} {' '.join(words[:5])} {fill}"), (10 * i + 3, fill)]
+        want |= {(10 * i, item), (10 * i + 1, item)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (97, None), (98, ""), (99, "uniqueword")], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(df, bench).collect()}
+    assert found == want
+    assert {x.doc_id for x in decontaminate.drop_contaminated(df, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_contamination_equals_alignment_of_all(spark, sf, docs, all_texts):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    clean = lambda t: t.encode().translate(None, b".,;:!?\"'()[]").lower().split()
+    exact = {(d, b.item_id) for b in bench.collect() for d, t in all_texts.items() if b" ".join(clean(b.text)) in b" ".join(clean(t))}
+    assert exact <= found and len(found) <= len(exact) + 2
+
+
+def test_contamination_of_odd_rows(odd, empty, spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h"), (2, "one"), (None, "x")], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, bench).collect())
+    assert found == [(4, 2), (4, 2), (5, 1), (6, 1)]
+    assert decontaminate.contaminated(empty, bench).isEmpty() and decontaminate.contaminated(odd, bench.limit(0)).isEmpty()
+
+
+# the pipeline
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    for name, stage in cp.STAGES:
+        before = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+        out = stage(spark, docs, sf).cache()
+        after = {r.doc_id: r for r in out.collect()}
+        assert set(after) <= set(before)
+        if name != "bpe":
+            assert out.columns == columns
+        if name == "near_dup":
+            want = components_by_force({i: shingles(t or "", 5) for i, t in before.items()}, 80)
+            assert set(after) == set(want.values())
+        if name == "pii":
+            assert set(after) == set(before) and not any(personal_by_force(r.text or "") for r in after.values())
+            assert all(r.n_chars == len(r.text) for r in after.values())
+        if name == "bpe":
+            assert set(after) == set(before) and all(r.round_trip for r in after.values())
+        docs = out
+    assert {r.doc_id for r in cp.run(spark, sf).select("doc_id").collect()} == set(after)
+
+
+def test_pipeline_stages_take_odd_and_empty_tables(spark, sf, odd, empty):
+    import corpus_pipeline as cp
+
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in cp.STAGES:
+        stage(spark, plain, sf).collect()
+        assert stage(spark, empty, sf).isEmpty()

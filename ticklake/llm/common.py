@@ -58,7 +58,7 @@ def id_bucket(col: str, n: int):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+def texts(batch: pa.RecordBatch, column: str | int = "text") -> list[str]:
     """The column as Python strings; null counts as empty."""
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
 

@@ -82,18 +82,16 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return knots, np.maximum.accumulate(levels)
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, stats (array of doubles) of every whole text, and the columns to keep."""
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id and _stats (array of doubles) of every whole text."""
     arrow_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_batches(batches):
-            stats = pa.array([statistics(t) for t in texts(b, "_text")], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([c for c, n in zip(b.columns, b.schema.names, strict=True) if n != "_text"] + [stats], [n for n in b.schema.names if n != "_text"] + ["_stats"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in texts(b, "_text")], pa.list_(pa.float64()))], ["_id", "_stats"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text"]
-    return rows.mapInArrow(run, ", ".join([*fields, "_stats array<double>"]))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _stats array<double>")
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 60_000, features: int = 256, gamma: float = 0.02, ridge: float = 1e-4, seed: int = 11) -> Model | None:
@@ -164,9 +162,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
     return out.select(F.col("_id").alias(id_col), (id_bucket("_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit_options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **fit_options) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns."""
-    model = fit(materialize(document_statistics(docs), "quality-stats"), labels.where(id_bucket("doc_id", 5) != 0), **fit_options)
-    names = docs.columns
-    rows = docs.withColumn("_copy", F.col("text"))
-    return score(document_statistics(rows, text_col="_copy", keep=tuple(names)), model).where(F.col("_score") >= threshold).select(*names)
+    model = fit(materialize(document_statistics(docs, id_col, text_col), "quality-stats"), labels.where(id_bucket("doc_id", 5) != 0), **fit_options)
+    if model is None:
+        return docs.where(F.lit(threshold <= 0.5))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_batches(batches):
+            if b.num_rows:
+                yield b.filter(pa.array(model.score(np.array([statistics(t) for t in texts(b, at)])) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
