@@ -5,8 +5,9 @@ value and the mantissa bits after them (16 bits in all). Bands of registers are
 Pairs are estimated from their registers, corrected for chance collisions, and confirmed on the full shingle sets.
 
 Nothing expands a group into all its pairs: documents with one set are one class; in each band bucket, members are
-first compared with the bucket's smallest id alone; only buckets that then still hold more than one component are
-compared block by block, and of these pairs only those between different components are looked at.
+first compared with the bucket's smallest id alone; of buckets that then still hold more than one component, only
+pairs between different components are looked at: by their registers in small buckets, and among all members of large
+ones those that an exact prefix filter leaves.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, by_batches, materialize, texts, word_windows
@@ -27,8 +28,8 @@ from .graph import components
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Members of a bucket that are compared in one go.
-BLOCK = 64
+#: Members of a bucket up to which all its pairs are estimated; rows of a prefix group that are compared in one go.
+BLOCK, HOT_BLOCK = 64, 2048
 #: An empty bucket takes the register of the first filled bucket in its own fixed order of all buckets.
 _ORDERS = np.stack([np.random.default_rng(4000 + j).permutation(REGISTERS) for j in range(REGISTERS)])
 
@@ -148,42 +149,30 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return wide.select("a", "b", "sid_a", "sid_b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different components within one bucket that are worth checking.
+def _units(rows: DataFrame, keys: list[str], size: int, pairs, kind: str) -> DataFrame:
+    """Pairs (a, b), a < b, found by pairs(left, right, same) within each group of rows by keys; rows: keys, size, rep, ...
 
-    members: key, size, rep, comp, n, regs. A bucket of more than BLOCK members is cut into blocks by a hash of the
-    id; each pair of blocks is a unit of work of its own.
+    A group of more than size rows is cut into blocks by a hash of rep; each two blocks are a unit of work of their own.
     """
-    kind = members.schema["rep"].dataType.simpleString()
-    blocks = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    units = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "regs")
-
-    def unit(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        rep, comp, n = (np.array([r[x] for r in rows]) for x in (4, 5, 6))
-        own, (i, j) = np.array([r[3] for r in rows]), rows[0][1:3]
-        regs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = ([], [])
-        for x in left:
-            y = right[(rep[right] != rep[x]) & (comp[right] != comp[x]) & ((i != j) | (rep[right] > rep[x]))]
-            if len(y):
-                y = y[worth_checking((regs[y] == regs[x]).mean(1), n[y], np.full(len(y), n[x]), percent)]
-                out[0].append(np.minimum(rep[y], rep[x]))
-                out[1].append(np.maximum(rep[y], rep[x]))
-        none = np.zeros(0, rep.dtype)
-        return tuple(np.concatenate([none, *o]) for o in out)
+    blocks = rows.withColumn("blocks", F.ceil(F.col("size") / size).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    once = blocks.where("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}).drop("blocks", "size")
+    many = blocks.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "size", "other")
+    by, n = [*keys, "i", "j"], len(keys) + 2
+    units = once.unionByName(many).select(*by, "own", *[c for c in rows.columns if c not in (*keys, "size")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
-            a, b = unit(rows)
-            return pa.RecordBatch.from_arrays([pa.array(a, at), pa.array(b, at)], ["a", "b"])
+        def emit(held: list[tuple]) -> pa.RecordBatch:
+            i, j = held[0][n - 2 : n]
+            left, right = ([r[n + 1 :] for r in held if r[n] == x] for x in (i, j))
+            found = pairs(left, right, i == j) if left and right else []
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], at), pa.array([max(p) for p in found], at)], ["a", "b"])
 
         held: list[tuple] = []
         for b in batches:
             at = b.schema.field("rep").type
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
+                if held and row[:n] != held[0][:n]:
                     if len(held) > 1:
                         yield emit(held)
                     held = []
@@ -191,7 +180,69 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         if len(held) > 1:
             yield emit(held)
 
-    return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return units.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _candidates(left: list[tuple], right: list[tuple], same: bool, test) -> list[tuple]:
+    """Pairs of ids of different components that pass test(x, others); rows: rep, comp, then what the test takes."""
+    rep, comp = (np.array([r[c] for r in right]) for c in (0, 1))
+    columns = [np.array([r[c] for r in right], dtype=object if isinstance(right[0][c], bytes) else None) for c in range(2, len(right[0]))]
+    out = []
+    for x in left:
+        y = np.flatnonzero((comp != x[1]) & ((rep > x[0]) if same else (rep != x[0])))
+        if len(y):
+            out += [(x[0], r) for r in rep[y[test(x[2:], [c[y] for c in columns])]].tolist()]
+    return out
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components within small buckets whose registers allow the similarity, unless both are hot.
+
+    members: key, size, rep, comp, n, regs, hot.
+    """
+
+    def test(x: tuple, y: list[np.ndarray]) -> np.ndarray:
+        regs = np.frombuffer(b"".join(y[1]), np.uint16).reshape(-1, REGISTERS)
+        allowed = worth_checking((regs == np.frombuffer(x[1], np.uint16)).mean(1), y[0], np.full(len(y[0]), x[0]), percent)
+        return allowed & ~(y[2] & x[2])
+
+    return _units(members, ["key"], BLOCK, lambda a, b, same: _candidates(a, b, same, test), members.schema["rep"].dataType.simpleString())
+
+
+def _shingles(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """rep, comp, n, shingle: every shingle of each member (rep, comp, n, sid)."""
+    kind = members.schema["rep"].dataType.simpleString()
+    wide = members.join(docs, F.col("rep") == F.col("id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_batches(batches):
+            sets = [(i, s) for i, (t, sid) in enumerate(zip(texts(b), b.column("sid").to_pylist(), strict=True)) if set_id(s := shingle_set(t, k)) == sid]
+            at = pa.array(np.repeat([i for i, _ in sets], [len(s) for _, s in sets]).astype(np.int64))
+            values = np.concatenate([np.zeros(0, np.uint64), *(s for _, s in sets)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("rep", "comp", "n")), pa.array(values)], ["rep", "comp", "n", "shingle"])
+
+    return wide.select("rep", "comp", "n", "sid", "text").mapInArrow(run, f"rep {kind}, comp {kind}, n long, shingle long")
+
+
+def _across_hot(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of different components among the members of large buckets that can reach the similarity.
+
+    members: rep, comp, n, sid. An exact prefix join: with shingles ordered from rare to frequent among the members,
+    two sets that reach the similarity t share one of the first n - ceil(t * n) + 1 shingles of each, and what comes
+    after it is enough for the overlap that the sizes ask for. The rarest shingles are the edits by which a copy
+    differs, so copies that have nothing but a common original in common do not meet.
+    """
+    by = Window.partitionBy("shingle")
+    rows = _shingles(members, docs, k).withColumn("df", F.count(F.lit(1)).over(by))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")) - 1)
+    heads = rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).drop("df")
+    mixed = heads.withColumns({"size": F.count(F.lit(1)).over(by), "low": F.min("comp").over(by), "high": F.max("comp").over(by)}).where("low <> high")
+
+    def test(x: tuple, y: list[np.ndarray]) -> np.ndarray:
+        most = 1 + np.minimum(x[0] - x[1] - 1, y[0] - y[1] - 1)
+        return (100 + percent) * most >= percent * (x[0] + y[0])
+
+    return _units(mixed.select("shingle", "size", "rep", "comp", "n", "place"), ["shingle"], HOT_BLOCK, lambda a, b, same: _candidates(a, b, same, test), members.schema["rep"].dataType.simpleString())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,12 +269,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     labels = components(links)
 
     # Buckets of three or more that still hold several components: pairs between these.
-    named = lambda f: f.join(labels, f.rep == labels.node, "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
-    large = named(met.where("size > 2"))
+    large = met.where("size > 2").join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
     mixed = large.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rest = large.join(mixed, "key", "left_semi").join(reps.select(F.col("rep").alias("r"), "n", "regs"), F.col("rep") == F.col("r"))
-    across = _across(rest.select("key", "size", "rep", "comp", "n", "regs"), percent).join(stars, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(_estimated(materialize(across, "across"), reps, percent), base, k, percent).distinct(), "links")
+    rest = materialize(large.join(mixed, "key", "left_semi").join(reps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r"), "mixed")
+    hot = rest.where(F.col("size") > BLOCK).select("rep", "comp", "n", "sid").distinct()
+    marked = rest.where(F.col("size") <= BLOCK).join(hot.select(F.col("rep").alias("h")), F.col("rep") == F.col("h"), "left").withColumn("hot", F.col("h").isNotNull())
+    few = _across(marked.select("key", "size", "rep", "comp", "n", "regs", "hot"), percent)
+    many = _across_hot(hot, base, k, percent)
+    across = materialize(few.unionByName(many).distinct().join(stars, ["a", "b"], "left_anti"), "across")
+    more = materialize(_confirmed(_estimated(across, reps, percent), base, k, percent).distinct(), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
