@@ -274,3 +274,14 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert got.keys() == want.keys()
     for k, v in want.items():
         assert np.allclose(got[k], v, rtol=1e-9, atol=1e-9)
+
+
+def test_features_in_blocks_equal_those_of_whole_sessions(spark, sf):
+    from ticklake.operators.features import FEATURES, tob_features, tob_features_in_blocks
+    from ticklake.sources.views import quotes
+
+    rows = quotes(spark, sf.replace("sf0.001", "sf0.1"))
+    key = ["session_id", "event_ix", "ix", "session_rows", "target", *FEATURES]
+    whole, parts = tob_features(rows, 20).select(key), tob_features_in_blocks(rows, 20, blocks=8, least=10_000).select(key)
+    rounded = lambda df: df.select(*key[:4], *(F.round(c, 6).alias(c) for c in key[4:]))
+    assert rounded(whole).exceptAll(rounded(parts)).isEmpty() and rounded(parts).exceptAll(rounded(whole)).isEmpty()

@@ -66,6 +66,7 @@ _simple("tob_rolling_vol", "realized_volatility_20", lagged, LAGGED_SQL)
 _simple("tob_qty_change", "log_total_quantity_change_1", lagged, LAGGED_SQL)
 _simple("tob_forward_label", "mid future_mid future_best_bid future_best_ask future_bid_qty future_ask_qty target", features, FEATURES_SQL)
 _simple("tob_features_16", " ".join((*f.FEATURES, "target")), features, FEATURES_SQL)
+_simple("tob_features_in_blocks", " ".join((*f.FEATURES, "target")), lambda s, d: f.tob_features_in_blocks(quotes(s, d), HORIZON), FEATURES_SQL)
 
 
 @register("tob_valid_quotes", f"SELECT session_id, count(*) AS n, CAST(count(*) FILTER (WHERE ts_ns > 0 AND best_bid > 0 AND best_ask > 0 AND best_bid <= best_ask) AS BIGINT) AS valid FROM ({QUOTES_SQL}) GROUP BY session_id")

@@ -136,3 +136,42 @@ def recording_summary(quotes: DataFrame) -> DataFrame:
 def delayed(column: str, delay: int) -> Column:
     """The column as it was delay events before, 0 at the start of a session."""
     return F.coalesce(F.lag(column, delay).over(in_order()), F.lit(0.0))
+
+
+def in_blocks(rows: DataFrame, before: int, after: int, blocks: int, least: int) -> DataFrame:
+    """rows with block, first (place in the session of the block's first row), session_rows and halo.
+
+    Sessions of at least least rows are cut at approximate quantiles of event_ix into about that many blocks; the
+    before last rows of a block are repeated in the next one and the after first rows in the one before it (halo true).
+    """
+    shares = F.array(*(F.lit(i / blocks) for i in range(1, blocks)))
+    known = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("session_rows"), F.percentile_approx("event_ix", shares, F.lit(100 * blocks)).alias("_cuts"))
+    known = known.withColumn("_cuts", F.when(F.col("session_rows") >= max(least, 20 * blocks * (before + after)), F.array_distinct("_cuts")).otherwise(F.array().cast("array<bigint>")))
+    placed = rows.join(known, "session_id").withColumn("block", F.size(F.filter("_cuts", lambda c: c < F.col("event_ix")))).drop("_cuts")
+    sizes = placed.groupBy("session_id", "block").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("first", F.coalesce(F.sum("_n").over(w), F.lit(0)))  # one row a block
+    inside = Window.partitionBy("session_id", "block").orderBy("event_ix")
+    own = placed.join(sizes, ["session_id", "block"]).withColumns({"_i": F.row_number().over(inside), "halo": F.lit(False)})
+    to = lambda step, which: own.where(which).withColumns({"block": F.col("block") + step, "halo": F.lit(True)})
+    copies = to(1, F.col("_i") > F.col("_n") - before).unionByName(to(-1, F.col("_i") <= after)).drop("first", "_n")
+    starts = sizes.select("session_id", "block", "first")
+    return own.drop("first", "_n").unionByName(copies).join(starts, ["session_id", "block"]).drop("_i")
+
+
+def tob_features_in_blocks(quotes: DataFrame, horizon: int = 20, blocks: int = 64, least: int = 1_000_000) -> DataFrame:
+    """tob_features() for sessions of any length: a long session is worked on in blocks, side by side.
+
+    A feature looks back WARM_UP rows and a label ahead horizon rows, so these many rows of its neighbours are all that
+    a block needs.
+    """
+    keys = ("session_id", "block")
+    rows = in_blocks(quotes.where(q.valid_quote()), WARM_UP, horizon, blocks, least)
+    out = labelled(lagged(rows, keys), horizon, keys)
+    lead = F.when(F.col("block") > 0, WARM_UP).otherwise(0)
+    out = out.withColumn("ix", F.col("first") + F.col("ix") - lead).where(~F.col("halo"))
+    out = out.where((F.col("ix") >= WARM_UP) & F.col("target").isNotNull() & (F.col("session_rows") >= WARM_UP + horizon + 2))
+    good = F.lit(True)
+    for c in (*FEATURES, "target"):
+        good = good & q.finite(F.col(c))
+    return out.where(good).drop("block", "first", "halo")
