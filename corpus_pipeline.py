@@ -32,8 +32,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with its size in tokens and whether decoding gives the text back."""
-    out = bpe.bpe_round_trip(docs.withColumn("_same", F.coalesce("text", F.lit(""))), tokenizer("byte_bpe_50k.json"), keep=("lang", "source", "n_chars", "_same"))
-    return out.select("doc_id", "lang", "source", "n_chars", bpe.n_tokens("token_ids").alias("n_tokens"), "token_ids", (F.col("decoded") == F.col("_same")).alias("round_trip"))
+    out = bpe.bpe_round_trip(docs, tokenizer("byte_bpe_50k.json"), keep=("lang", "source", "n_chars"), with_text=False)
+    return out.select("doc_id", "lang", "source", "n_chars", bpe.n_tokens("token_ids").alias("n_tokens"), "token_ids", F.col("same").alias("round_trip"))
 
 
 STAGES = [("quality", quality_stage), ("near_dup", near_dup_stage), ("decontaminate", decontaminate_stage), ("pii", pii_stage), ("bpe", bpe_stage)]

@@ -64,7 +64,7 @@ class ByteBPE:
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
         self.chunks = re.compile(CHUNKS).findall
         self.pieces = regex.compile(PIECES).findall
-        self.cache = TwoGenerationCache(250_000)
+        self.cache = TwoGenerationCache(100_000)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at one edge of token while it is being built, each with the rank that ends it."""
@@ -85,7 +85,7 @@ class ByteBPE:
         if known is None:
             right = self._edge(b, 0)
             known = not any((m := self.merge.get((x, y))) is not None and m < x_end and m <= y_end for x, x_end in self._edge(a, 1) for y, y_end in right)
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) > 300_000:
                 self.follows.clear()
             self.follows[key] = known
         return known
@@ -156,8 +156,9 @@ def load(path: str) -> ByteBPE:
     return _LOADED[path]
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Encodes every whole text and decodes it again: id_col, columns to keep, token_ids (binary: little-endian unsigned 32-bit), decoded.
+def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
+    """Encodes every whole text and decodes it again: id_col, columns to keep, token_ids (binary: little-endian unsigned 32-bit),
+    same (whether decoding gave the text back), and, with_text, decoded.
 
     A null text counts as empty (no ids, decoded ''); rows with equal or null ids each get a row; an empty table
     gives an empty result; other columns are not read.
@@ -168,11 +169,14 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for b in by_batches(batches):
-            ids = bpe.encode_batch(texts(b, "_text"))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], [*b.schema.names[:-1], "token_ids", "decoded"])
+            given = texts(b, b.num_columns - 1)
+            ids = bpe.encode_batch(given)
+            decoded = [bpe.decode(x) for x in ids]
+            out = {"token_ids": pa.array(ids, pa.binary()), "same": pa.array([x == y for x, y in zip(given, decoded, strict=True)], pa.bool_())} | ({"decoded": pa.array(decoded, pa.string())} if with_text else {})
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out.values()], [*b.schema.names[:-1], *out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, token_ids binary, decoded string")
+    return rows.mapInArrow(run, f"{fields}, token_ids binary, same boolean" + ", decoded string" * with_text)
 
 
 def n_tokens(token_ids) -> F.Column:
