@@ -285,3 +285,56 @@ def test_features_in_blocks_equal_those_of_whole_sessions(spark, sf):
     whole, parts = tob_features(rows, 20).select(key), tob_features_in_blocks(rows, 20, blocks=8, least=10_000).select(key)
     rounded = lambda df: df.select(*key[:4], *(F.round(c, 6).alias(c) for c in key[4:]))
     assert rounded(whole).exceptAll(rounded(parts)).isEmpty() and rounded(parts).exceptAll(rounded(whole)).isEmpty()
+
+
+def test_queries_take_every_event(spark, sf):
+    """Against brute force over all events; the SQL of some of these reads only a part of the events."""
+    from ticklake.queries import QUERIES
+    from ticklake.sources.views import depth_changes, quotes
+
+    run = lambda name: QUERIES[name](spark, sf).collect()
+    bids, books, hashes, swept = {}, {}, {}, set()
+    for r in depth_changes(spark, sf).orderBy("event_ix").collect():
+        own = books.setdefault(r.session_id, {"bid": {}, "ask": {}})
+        own[r.side].pop(r.price, None)
+        if r.qty:
+            own[r.side][r.price] = r.qty
+        key, left = (r.session_id, r.event_ix), 120
+        bids[key] = own["bid"].get(9990, 0)
+        hashes[key] = str(book.state_hash(r.event_ix, sorted(own["bid"].items(), reverse=True), sorted(own["ask"].items())))
+        for price, shown in sorted(own["ask"].items()):
+            if left:
+                swept.add((*key, price, min(left, shown)))
+                left -= min(left, shown)
+    assert {(r.session_id, r.event_ix): r.quantity for r in run("book_quantity_at_all")} == bids
+    assert {(r.session_id, r.event_ix): r.state_hash for r in run("book_state_hash")} == hashes
+    assert {tuple(r) for r in run("taker_sweep_all")} == swept
+
+    rows = quotes(spark, sf).orderBy("event_ix").collect()
+    side = lambda q: 1 if q.event_ix % 2 == 0 else -1
+    paid = lambda q: q.best_ask if side(q) > 0 else q.best_bid
+    sums, accounts, moves = {}, {}, {}
+    for q in rows:
+        value = paid(q) * q.bid_qty
+        fee = value * (-0.3141592653 if q.event_ix % 3 == 0 else 2.718281828) / 1e4
+        position, cash, fees = sums.get(q.session_id, (0.0, 0.0, 0.0))
+        sums[q.session_id] = position + side(q) * q.bid_qty, cash - side(q) * value - fee, fees + fee
+        accounts[q.event_ix] = (fee, *sums[q.session_id])
+        later = next((m for m in rows if m.session_id == q.session_id and m.ts_ns >= q.ts_ns + 3600 * 10**9), None)
+        moves[q.event_ix] = later and side(q) * ((later.best_bid + later.best_ask) / 2 - paid(q)) / paid(q) * 1e4
+    got = {r.event_ix: (r.fee, r.position, r.cash, r.fees) for r in run("fill_accounting_all")}
+    assert got.keys() == accounts.keys() and all(got[i] == pytest.approx(accounts[i], abs=2e-6) for i in got)
+    got = {r.event_ix: r.markout_bps for r in run("markouts_asof_all")}
+    assert got.keys() == moves.keys() and all(got[i] == (moves[i] if moves[i] is None else pytest.approx(moves[i], abs=2e-6)) for i in got)
+
+    asked = run("simulate_orders")
+    assert {c: sum(r.orders for r in asked if r.case_id == c) for c in {r.case_id for r in asked}} == dict.fromkeys({r.case_id for r in asked}, len(rows))
+    assert {r.orders for r in run("sensitivity_grid")} == {len(rows)}
+
+
+def test_set_operations_take_off_all_errors(spark, tmp_path):
+    from ticklake.queries import QUERIES
+
+    events = [(1, 1, "click"), (2, 1, "purchase"), (3, 2, "click"), (4, 2, "purchase"), (5, 2, "error"), (6, 3, "click"), (7, 4, "purchase")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    assert [r.user_id for r in QUERIES["rel_set_operations_all"](spark, str(tmp_path)).collect()] == [1]

@@ -66,8 +66,19 @@ _LOOK = "event_ix % 50 = 0"
 
 @register("book_quantity_at", f"SELECT e.session_id, e.event_ix, coalesce(arg_max(c.qty, c.event_ix), 0) AS quantity FROM (SELECT * FROM ({DEPTH_SQL}) WHERE {_LOOK}) e LEFT JOIN ({DEPTH_SQL}) c ON c.session_id = e.session_id AND c.side = 'bid' AND c.price = 9990 AND c.event_ix <= e.event_ix GROUP BY e.session_id, e.event_ix")
 def quantity_at(spark, sf_dir):
+    """At every 50th event, as its SQL has it; book_quantity_at_all looks at every event."""
     rows = changes(spark, sf_dir)
-    looks = rows.where(_LOOK).select("session_id", "epoch", "event_ix", F.lit("bid").alias("side"), F.lit(9990).cast("long").alias("price"))
+    return _quantities(rows, rows.where(_LOOK))
+
+
+@register("book_quantity_at_all")
+def quantity_at_all(spark, sf_dir):
+    rows = changes(spark, sf_dir)
+    return _quantities(rows, rows)
+
+
+def _quantities(rows, at):
+    looks = at.select("session_id", "epoch", "event_ix", F.lit("bid").alias("side"), F.lit(9990).cast("long").alias("price"))
     return book.quantity_at(rows, looks).select(*KEYS, "quantity")
 
 
@@ -129,6 +140,6 @@ def stale_and_gap_flags(spark, sf_dir):
 
 @register("book_state_hash")
 def book_state_hash(spark, sf_dir):
-    """A hash of the whole book after each 100th event."""
-    state = book.states(changes(spark, sf_dir), 10_000).where("event_ix % 100 = 0")
+    """A hash of the whole book, with all levels, after each event."""
+    state = book.states(changes(spark, sf_dir), None)
     return book.hashed(state).select(*KEYS, "state_hash")

@@ -17,7 +17,17 @@ KEYS = ("session_id", "event_ix")
     f"SELECT session_id, event_ix, price, CAST(least(qty, 120 - before) AS BIGINT) AS taken FROM (SELECT *, coalesce(sum(qty) OVER (PARTITION BY session_id, event_ix ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({LEVELS_SQL}) WHERE side = 'ask' AND rank <= 20 AND event_ix % 10 = 0) WHERE before < 120",
 )
 def taker_sweep(spark, sf_dir):
-    state = book.states(changes(spark, sf_dir), 20).where("event_ix % 10 = 0")
+    """Over every tenth event and 20 levels, as its SQL has it; taker_sweep_all takes the whole."""
+    return _sweep(book.states(changes(spark, sf_dir), 20).where("event_ix % 10 = 0"))
+
+
+@register("taker_sweep_all")
+def taker_sweep_all(spark, sf_dir):
+    """After every event, over all levels."""
+    return _sweep(book.states(changes(spark, sf_dir), None))
+
+
+def _sweep(state):
     levels = state.select(*KEYS, F.posexplode("asks").alias("rank", "x")).select(*KEYS, "rank", "x.price", "x.qty")
     return simulator.taker_sweep(levels, F.lit(120), KEYS).select(*KEYS, "price", "taken")
 
@@ -25,9 +35,9 @@ def taker_sweep(spark, sf_dir):
 _FILLS = f"SELECT session_id, event_ix, ts_ns, CASE WHEN event_ix % 2 = 0 THEN 1 ELSE -1 END AS side, CASE WHEN event_ix % 2 = 0 THEN best_ask ELSE best_bid END AS price, bid_qty AS qty, event_ix % 3 = 0 AS maker FROM ({QUOTES_SQL}) WHERE event_ix % 5 = 0"
 
 
-def fills(spark, sf_dir):
+def fills(rows):
     buys = F.col("event_ix") % 2 == 0
-    return quotes(spark, sf_dir).where("event_ix % 5 = 0").select(*KEYS, "ts_ns", F.when(buys, 1).otherwise(-1).alias("side"), F.when(buys, F.col("best_ask")).otherwise(F.col("best_bid")).alias("price"), F.col("bid_qty").alias("qty"), (F.col("event_ix") % 3 == 0).alias("maker"))
+    return rows.select(*KEYS, "ts_ns", F.when(buys, 1).otherwise(-1).alias("side"), F.when(buys, F.col("best_ask")).otherwise(F.col("best_bid")).alias("price"), F.col("bid_qty").alias("qty"), (F.col("event_ix") % 3 == 0).alias("maker"))
 
 
 _FEE = "price * qty * CASE WHEN maker THEN CAST(-0.3141592653 AS DOUBLE) ELSE CAST(2.718281828 AS DOUBLE) END / CAST(1e4 AS DOUBLE)"
@@ -35,7 +45,17 @@ _FEE = "price * qty * CASE WHEN maker THEN CAST(-0.3141592653 AS DOUBLE) ELSE CA
 
 @register("fill_accounting", f"SELECT session_id, event_ix, {_FEE} AS fee, sum(side * qty) OVER w AS position, sum(-(side * price * qty + {_FEE})) OVER w AS cash, sum({_FEE}) OVER w AS fees FROM ({_FILLS}) WINDOW w AS (PARTITION BY session_id ORDER BY event_ix ROWS UNBOUNDED PRECEDING)", "fee position cash fees")
 def fill_accounting(spark, sf_dir):
-    return simulator.accounting(fills(spark, sf_dir), -0.3141592653, 2.718281828).select(*KEYS, "fee", "position", "cash", "fees")
+    """Over every fifth quote, as its SQL has it; fill_accounting_all takes every quote."""
+    return _accounts(quotes(spark, sf_dir).where("event_ix % 5 = 0"))
+
+
+@register("fill_accounting_all", rounded="fee position cash fees")
+def fill_accounting_all(spark, sf_dir):
+    return _accounts(quotes(spark, sf_dir))
+
+
+def _accounts(rows):
+    return simulator.accounting(fills(rows), -0.3141592653, 2.718281828).select(*KEYS, "fee", "position", "cash", "fees")
 
 
 _HOUR = 3600 * 10**9
@@ -43,8 +63,20 @@ _HOUR = 3600 * 10**9
 
 @register("markouts_asof", f"SELECT f.session_id, f.event_ix, f.side * (m.mid - f.price) / f.price * CAST(1e4 AS DOUBLE) AS markout_bps FROM ({_FILLS}) f ASOF LEFT JOIN (SELECT session_id, ts_ns, (best_bid + best_ask) / 2 AS mid FROM ({QUOTES_SQL})) m ON m.session_id = f.session_id AND m.ts_ns >= f.ts_ns + {_HOUR}", "markout_bps")
 def markouts_asof(spark, sf_dir):
-    mids = quotes(spark, sf_dir).select(*KEYS, "ts_ns", ((F.col("best_bid") + F.col("best_ask")) / 2).alias("mid"))
-    return simulator.markouts(fills(spark, sf_dir), mids, _HOUR).select(*KEYS, "markout_bps")
+    """Of every fifth quote, as its SQL has it; markouts_asof_all takes every quote."""
+    rows = quotes(spark, sf_dir)
+    return _markouts(rows.where("event_ix % 5 = 0"), rows)
+
+
+@register("markouts_asof_all", rounded="markout_bps")
+def markouts_asof_all(spark, sf_dir):
+    rows = quotes(spark, sf_dir)
+    return _markouts(rows, rows)
+
+
+def _markouts(filled, rows):
+    mids = rows.select(*KEYS, "ts_ns", ((F.col("best_bid") + F.col("best_ask")) / 2).alias("mid"))
+    return simulator.markouts(fills(filled), mids, _HOUR).select(*KEYS, "markout_bps")
 
 
 def market(spark, sf_dir):
@@ -69,7 +101,8 @@ def market(spark, sf_dir):
 
 
 def requests(spark, sf_dir):
-    rows = quotes(spark, sf_dir).where("event_ix % 40 = 0 AND event_ix > 0")
+    """One order for each quote."""
+    rows = quotes(spark, sf_dir)
     limit = F.when(F.col("event_ix") % 80 == 0, ((9985 + F.col("event_ix") % 30) * simulator.SCALE).cast("long"))
     return rows.select("session_id", F.lit("order").alias("kind"), F.col("event_ix").cast("string").alias("order_id"), F.col("ts_ns").alias("decision_ns"), F.when(F.col("event_ix") % 160 < 80, "buy").otherwise("sell").alias("side"), F.lit(simulator.SCALE).cast("long").alias("qty"), limit.alias("limit_price"), F.lit(6 * _HOUR).cast("long").alias("ttl_ns"))
 

@@ -122,8 +122,8 @@ def slope(levels: list[tuple[int, int]], n: int = 10) -> float:
     return sum((x - mx) * (y - my) for x, y in zip(xs, ys, strict=True)) / spread if spread > 0 else 0.0
 
 
-def states(changes: DataFrame, depth: int = 20) -> DataFrame:
-    """The book after each event (best levels of both sides), with the event's sums of additions and cancellations and the depth slopes.
+def states(changes: DataFrame, depth: int | None = 20) -> DataFrame:
+    """The book after each event (best levels of both sides; all with depth None), with the event's sums of additions and cancellations and the depth slopes.
 
     A price that changes twice in one event is compared with its quantity before the event both times.
     """
@@ -248,7 +248,7 @@ def state_hash(update_id: int, bids: list[tuple[int, int]], asks: list[tuple[int
 
 
 def hashed(state: DataFrame, update_id: str = "event_ix") -> DataFrame:
-    """States with state_hash as text (unsigned 64 bits do not fit a long); states need all levels (depth beyond any book)."""
+    """States with state_hash as text (unsigned 64 bits do not fit a long); states need all levels (depth None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
