@@ -338,3 +338,42 @@ def test_set_operations_take_off_all_errors(spark, tmp_path):
     events = [(1, 1, "click"), (2, 1, "purchase"), (3, 2, "click"), (4, 2, "purchase"), (5, 2, "error"), (6, 3, "click"), (7, 4, "purchase")]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     assert [r.user_id for r in QUERIES["rel_set_operations_all"](spark, str(tmp_path)).collect()] == [1]
+
+
+def test_statistics_take_every_session(spark, sf):
+    from ticklake.queries import QUERIES  # first: the catalog registers itself with it
+    from ticklake.catalog.quotes import features, scored
+    from ticklake.operators.features import FEATURES
+
+    targets = {}
+    for r in scored(spark, sf).orderBy("event_ix").collect():
+        targets.setdefault(r.session_id, []).append(r.target)
+    got = {r.session_id: r for r in QUERIES["newey_west_by_session"](spark, sf).collect()}
+    assert got.keys() == targets.keys() and len(got) == 5
+    for session, x in targets.items():
+        x = np.array(x)
+        n, c = len(x), x - x.mean()
+        lags = int(4 * (n / 100) ** (2 / 9))
+        variance = (c @ c + sum(2 * (1 - k / (lags + 1)) * (c[k:] @ c[:-k]) for k in range(1, lags + 1))) / n
+        assert (got[session].n, got[session].lags) == (n, lags) and got[session].t == pytest.approx(x.mean() / np.sqrt(variance / n), abs=2e-6)
+
+    every = [r.session_id for r in QUERIES["session_strategy_table_all"](spark, sf).collect() if r.trades]
+    assert sorted(every) == sorted(r.session_id for r in QUERIES["greedy_trades"](spark, sf).select("session_id").distinct().collect()) and 3 in every
+
+    whole = research.coefficient_bootstrap(features(spark, sf), FEATURES, 1.0, 50)
+    got = QUERIES["coefficient_bootstrap"](spark, sf).collect()
+    assert [r.feature for r in got] == [x["feature"] for x in whole] and [r.median for r in got] == pytest.approx([x["median"] for x in whole])
+
+
+def test_sessions_of_unlike_sizes_and_without_trades(spark):
+    from ticklake.operators import strategy
+
+    trades = spark.createDataFrame([(0, 1.0), (0, 3.0)], "session_id int, net_bps double")
+    sessions = spark.createDataFrame([(0,), (0,), (3,)], "session_id int")
+    assert sorted(tuple(r) for r in strategy.session_table(trades, sessions).collect()) == [(0, 2, 2.0, 4.0), (3, 0, 0.0, 0.0)]
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(s, i, float(x)) for s, n in ((0, 700), (1, 60), (2, 2), (3, 1)) for i, x in enumerate(rng.normal(1, 1, n))], "session_id int, ix int, x double")
+    got = {r.session_id: r for r in stats.newey_west_by(rows, "x", "ix", ("session_id",)).collect()}
+    for session in range(4):
+        one = stats.newey_west(rows.where(F.col("session_id") == session), "x", "ix").first()
+        assert (got[session].n, got[session].lags) == (one.n, one.lags) and got[session].t == pytest.approx(one.t) and got[session].mean == pytest.approx(one.mean)

@@ -85,9 +85,15 @@ _SOME = "threshold = CAST(0.4 AS DOUBLE) AND session_id <> 3"
 
 @register("session_strategy_table", f"SELECT s.session_id, count(net_bps) AS trades, coalesce(avg(net_bps), 0) AS mean_bps, coalesce(sum(net_bps), 0) AS total_bps FROM (SELECT DISTINCT session_id FROM ({SCORED_SQL})) s LEFT JOIN (SELECT * FROM {TRADES} WHERE {_SOME}) t ON s.session_id = t.session_id GROUP BY s.session_id", "mean_bps total_bps")
 def session_strategy_table(spark, sf_dir):
+    """Without session 3's trades, as its SQL has it; session_strategy_table_all has those of every session."""
     return strategy.session_table(trades(spark, sf_dir)[0].where((F.col("threshold") == 0.4) & (F.col("session_id") != 3)), scored(spark, sf_dir))
 
 
+@register("session_strategy_table_all", rounded="mean_bps total_bps")
+def session_strategy_table_all(spark, sf_dir):
+    return strategy.session_table(trades(spark, sf_dir)[0].where(F.col("threshold") == 0.4), scored(spark, sf_dir))
+
+
 @register("regime_buckets", f"SELECT CASE WHEN spread_bps <= a THEN 'low' WHEN spread_bps <= b THEN 'middle' ELSE 'high' END AS regime, count(*) AS samples, corr(score, target) AS ic, avg(abs(score - target)) AS mae FROM ({SCORED_SQL}), (SELECT quantile_cont(spread_bps, CAST(1 AS DOUBLE) / 3) AS a, quantile_cont(spread_bps, CAST(2 AS DOUBLE) / 3) AS b FROM ({SCORED_SQL})) GROUP BY regime", "ic mae")
 def regime_buckets(spark, sf_dir):
     return strategy.regimes(scored(spark, sf_dir), "spread_bps", "score", "target")
@@ -137,7 +143,7 @@ def walk_forward(spark, sf_dir):
 
 @register("coefficient_bootstrap")
 def coefficient_bootstrap(spark, sf_dir):
-    found = research.coefficient_bootstrap(features(spark, sf_dir).where("session_id <= 2"), FEATURES, 1.0, 50)
+    found = research.coefficient_bootstrap(features(spark, sf_dir), FEATURES, 1.0, 50)
     return spark.createDataFrame([tuple(x.values()) for x in found], "feature string, p05 double, median double, p95 double, sign_consistency double")
 
 

@@ -135,9 +135,15 @@ _NW = f"""WITH v AS (SELECT target AS x, row_number() OVER (ORDER BY event_ix) A
 
 @register("newey_west_t", _NW, "mean t")
 def newey_west_t(spark, sf_dir):
+    """Of session 0, as its SQL has it; newey_west_by_session has every session."""
     return s.newey_west(scored(spark, sf_dir).where("session_id = 0"), T, "event_ix")
 
 
+@register("newey_west_by_session", rounded="mean t")
+def newey_west_by_session(spark, sf_dir):
+    return s.newey_west_by(scored(spark, sf_dir), T, "event_ix", ("session_id",))
+
+
 _DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 _BOOT = f"""WITH r AS (SELECT session_id, sum(target) AS s, count(*) AS n, row_number() OVER (ORDER BY session_id) - 1 AS i FROM ({SCORED_SQL}) GROUP BY session_id), k AS (SELECT count(*) AS k, sum(s) / sum(n) AS mean FROM r),
   d AS (SELECT draw, {_DRAW.format("'7|' || draw || '|' || slot")} % k AS i FROM k, (SELECT unnest(range(200)) AS draw) a, (SELECT unnest(range(100)) AS slot) b WHERE slot < k),

@@ -114,6 +114,31 @@ def stability_index(rows: DataFrame, features: tuple[str, ...], part: str = "par
     return grid.groupBy("feature", part).agg(F.sum((a - b) * F.ln(a / b)).alias("psi"), F.first((F.col("_all") / F.col("_total") - F.col("_m")) / scale).alias("shift"))
 
 
+def _newey_west_lags(n: int) -> int:
+    return min(max(math.floor(4 * (n / 100) ** (2 / 9)), 0), max(n - 1, 0))
+
+
+def newey_west_by(rows: DataFrame, value: str, order: str, keys: tuple[str, ...]) -> DataFrame:
+    """keys, n, mean, lags, t: newey_west() of each key's rows, in one pass over all of them.
+
+    The driver reads one count a key; each key's own number of lags decides which of the lagged products count for it.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_m"))
+    most = _newey_west_lags(sizes.agg(F.max("_n")).first()[0] or 0)
+    w = Window.partitionBy(*keys).orderBy(order)
+    n = F.col("_n")
+    lags = F.greatest(F.least(F.floor(4 * F.pow(n / 100, F.lit(2 / 9))), n - 1), F.lit(0)).cast("int")
+    centred = rows.join(F.broadcast(sizes.withColumn("_lags", lags)), list(keys)).withColumn("_c", F.col(value) - F.col("_m"))  # one row a key
+    products = centred.withColumns({f"_p{k}": F.col("_c") * F.lag("_c", k).over(w) for k in range(1, most + 1)})
+    sums = products.groupBy(*keys).agg(F.first("_n").alias("n"), F.first("_m").alias("mean"), F.first("_lags").alias("lags"), F.sum(F.col("_c") * F.col("_c")).alias("_v"), *(F.sum(f"_p{k}").alias(f"_p{k}") for k in range(1, most + 1)))
+    variance = F.col("_v")
+    for k in range(1, most + 1):
+        weight = F.when(F.col("lags") >= k, 2 * (1 - k / (F.col("lags") + 1))).otherwise(F.lit(0.0))
+        variance = variance + weight * F.coalesce(F.col(f"_p{k}"), F.lit(0.0))
+    of_mean = F.greatest(variance / F.col("n"), F.lit(0.0)) / F.col("n")
+    return sums.select(*keys, "n", "mean", "lags", F.when(of_mean > 1e-30, F.col("mean") / F.sqrt(of_mean)).otherwise(F.lit(0.0)).alias("t"))
+
+
 def newey_west(rows: DataFrame, value: str, order: str, max_lag: int | None = None) -> DataFrame:
     """n, mean, lags, t: the mean's t-statistic with Bartlett weights over trades in order.
 
@@ -121,7 +146,7 @@ def newey_west(rows: DataFrame, value: str, order: str, max_lag: int | None = No
     lag over the trade order. Trades are far fewer than quotes, so one ordered task holds them.
     """
     n = rows.count()
-    lags = min(max(math.floor(4 * (n / 100) ** (2 / 9)) if max_lag is None else max_lag, 0), max(n - 1, 0))
+    lags = _newey_west_lags(n) if max_lag is None else min(max(max_lag, 0), max(n - 1, 0))
     mean = rows.agg(F.avg(value).alias("_m"))
     w = Window.orderBy(order)
     centred = rows.crossJoin(F.broadcast(mean)).withColumn("_c", F.col(value) - F.col("_m")).withColumns({f"_l{k}": F.lag("_c", k).over(w) for k in range(1, lags + 1)} | {"_c0": F.lag(F.col("_c"), 0).over(w)})
