@@ -370,6 +370,26 @@ def test_layouts(page, want):
     assert html_text.extract(page, None) == want
 
 
+ARTICLE = "<article><h1>T</h1><p>x y z of the article</p></article>"
+WRAPPED = ["<div class='content-sidebar-wrap'>{}</div>", "<div class=has-sidebar>{}</div>", "<div class='no-sidebar'>{}</div>", "<div id='page-with-comments'>{}</div>", "<form id=aspnet><div class=sidebar-left>{}</div></form>", "<main><p>hi</p><div class=sidebar>{}</div></main>"]
+
+
+@pytest.mark.parametrize("around", WRAPPED)
+def test_wrappers_of_the_article_stay(around):
+    page = f"<body><nav>menu menu menu</nav>{around.format(ARTICLE)}<div class=sidebar-left><p>aside aside aside aside aside</p></div>"
+    assert "T\nx y z of the article" in html_text.extract(page, None) and "aside" not in html_text.extract(page, None)
+    page = page.replace("article>", "div>").replace("main>", "div>").replace("of the article", "of the div " * 50)
+    assert "x y z of the div" in html_text.extract(page, None) and "aside" not in html_text.extract(page, None)
+
+
+def test_nothing_else_is_dropped():
+    kept = "<p>start of it</p><div class=toc>one</div><div class=tags>two</div><div class=related>three</div><div class=share>four</div><p>a <math><mi>m</mi></math> b</p>"
+    assert html_text.extract(f"<body><article>{kept}<div class=comments-area><p>first! {'long talk ' * 50}</p></div></article>", None) == "start of it\none\ntwo\nthree\nfour\na m b"
+    talk = "<div id=comments>" + "<article class=comment-body><p>long talk of others</p></article>" * 9 + "</div>"
+    assert html_text.extract(f"<body><main>{ARTICLE}{talk}</main>", None).endswith("x y z of the article")
+    assert html_text.extract("<body><nav>only a menu</nav>", None) == "only a menu"
+
+
 def test_hosts_outvote_odd_pages(spark):
     good = "<body><article class=main><h1>A{0}</h1><p>some words of text here {0}</p></article><div class=box><p>{1}</p></div>"
     rows = [(i, f"https://h.example/{i}", good.format(i, "short")) for i in range(8)] + [(8, "https://h.example/8", good.format(8, "a much longer box than the article " * 5))]

@@ -23,13 +23,17 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp".split())
 #: Elements whose text belongs to the block around them.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr math semantics annotation mrow mi mn mo ms mtext mspace mstyle mpadded mfenced msup msub msubsup mfrac msqrt mroot mover munder munderover".split())
 #: Blocks of running text; their surroundings are the container.
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr tbody thead table ul ol dl figcaption figure caption address".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Elements that are never main text, and the words in class, id or role that mark such elements.
-DROP = frozenset("nav header footer aside form script style noscript template iframe svg math button select option object dialog menu head title canvas audio video input textarea".split())
-MARKS = re.compile(r"^(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disclaimer|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|pager|pagination|popup|promo|promoted|promotion|related|recommended|reply|replies|respond|search|share|sharing|sidebar|sidenav|skip|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|topbar|toc|widget|widgets|banner|complementary|contentinfo|alert|alertdialog)$")
+#: Elements that are never main text, those that are not unless they hold it, and the words in class, id or role that mark such elements.
+NEVER = frozenset("script style noscript template iframe button select option head title canvas audio video input textarea".split())
+DROP = frozenset("nav header footer aside form dialog menu".split())
+MARKS = re.compile(r"^(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disclaimer|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|pager|pagination|popup|promo|promoted|promotion|reply|replies|respond|search|sidebar|sidenav|skip|sponsor|sponsored|subscribe|subscription|toolbar|topbar|widget|widgets|banner|complementary|contentinfo|alert|alertdialog)$")
+#: What may follow a mark in a name (sidebar-left), and what turns one into a statement about a layout (has-sidebar).
+AFTER = frozenset("area author bar block body bottom box button buttons container content group holder inner item items left link links list meta outer panel primary region right secondary section slot text title top unit wrap wrapper zone".split())
+ABOUT = frozenset("has have hide hides no not with without".split())
 GOOD = re.compile(r"^(?:article|articlebody|body|content|entry|main|post|story|text)$")
 
 
@@ -41,9 +45,17 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _words(attributes: str) -> tuple[list[str], list[str]]:
-    """Class tokens, and all words of class, id and role."""
-    classes, marks = [], []
+def _is_mark(parts: list[str]) -> bool:
+    """Whether a name's parts end with a mark, or start with one that only places and kinds of boxes follow."""
+    parts = [p for p in parts if not p.isdigit()]
+    if not parts or not ABOUT.isdisjoint(parts):
+        return False
+    return bool(MARKS.match(parts[-1]) or MARKS.match(parts[0]) and all(p in AFTER or MARKS.match(p) for p in parts[1:]))
+
+
+def _words(attributes: str) -> tuple[list[str], list[str], bool]:
+    """Class tokens, all words of class, id and role, and whether one of the names marks something besides the text."""
+    classes, words, marked = [], [], False
     for m in ATTRIBUTE.finditer(attributes):
         name = m.group(1).lower()
         if name in ("class", "id", "role"):
@@ -51,10 +63,13 @@ def _words(attributes: str) -> tuple[list[str], list[str]]:
             tokens = value.split()
             if name == "class":
                 classes = tokens
-            marks += [w for t in tokens for w in (t, *re.split(r"[-_]+|(?<=\D)(?=\d)", t))]
+            for t in tokens:
+                parts = [w for w in re.split(r"[-_]+|(?<=\D)(?=\d)", t) if w]
+                words += [t, *parts]
+                marked = marked or _is_mark(parts)
         elif name in ("hidden", "aria-hidden") and (m.group(2) or m.group(3) or m.group(4)) == "true":
-            marks.append("popup")
-    return classes, marks
+            marked = True
+    return classes, words, marked
 
 
 def step(tag: str, classes: list[str]) -> str:
@@ -63,14 +78,23 @@ def step(tag: str, classes: list[str]) -> str:
 
 
 class Page:
-    """The blocks of a page: (text, characters in links, containers around it); dropped elements leave none."""
+    """The blocks of a page: (text, characters in links, containers around it); dropped elements leave none.
+
+    What is marked as something besides the text is dropped only when the page has been read: an element stays if it
+    holds more text in an article or main element than stands outside all marked ones, or, on a page without such
+    text, the most of all and more than three times what stands outside. A page of which nothing would be left is read without regard to marks.
+    """
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, drop: bool = True):
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
+        #: The innermost marked element around each block (-1: none), and whether an article or main stands between.
+        places: list[tuple[int, bool]] = []
+        #: Marked elements: the next one around it, and whether an article or main stands between.
+        marked_in: list[tuple[int, bool]] = []
         self.paths: list[str] = []
         self.bonus: list[int] = []
-        #: Open elements: (tag, container number or -1, whether it is dropped)
-        stack: list[tuple[str, int, bool]] = []
+        #: Open elements: (tag, container number or -1, whether it is never text, place of what is in it)
+        stack: list[tuple[str, int, bool, tuple[int, bool]]] = []
         parts: list[str] = []
         linked = at = 0
         dropped = links = 0
@@ -80,12 +104,13 @@ class Page:
             if parts:
                 text = " ".join("".join(parts).split())
                 if text:
-                    self.blocks.append((text, linked, tuple(c for _, c, _ in stack if c >= 0)))
+                    self.blocks.append((text, linked, tuple(x[1] for x in stack if x[1] >= 0)))
+                    places.append(stack[-1][3] if stack else (-1, False))
             parts, linked = [], 0
 
         def pop() -> None:
             nonlocal dropped, links
-            tag, _, gone = stack[-1]
+            tag, _, gone, _ = stack[-1]
             if tag not in INLINE:
                 flush()
             stack.pop()
@@ -146,20 +171,53 @@ class Page:
                 flush()
             if tag in VOID or m.group(3).endswith("/") and tag not in INLINE | LEAF and tag not in ("div", "section", "article", "main", "body", "html"):
                 continue
-            classes, marks = _words(m.group(3)) if "=" in m.group(3) else ([], [])
-            gone = tag in DROP or tag not in ("html", "body", "article", "main") and any(MARKS.match(w) for w in marks)
+            classes, marks, marked = _words(m.group(3)) if "=" in m.group(3) else ([], [], False)
+            main = tag in ("article", "main")
+            soft = drop and (tag in DROP or marked and not main and tag not in ("html", "body"))
+            gone = tag in NEVER or soft and tag in INLINE
+            place = stack[-1][3] if stack else (-1, False)
+            if soft and not gone and not dropped:
+                marked_in.append(place)
+                place = (len(marked_in) - 1, False)
+            elif main and not marked:
+                place = (place[0], True)
             number = -1
             if not gone and not dropped and tag not in INLINE and tag not in LEAF and tag not in ("html",):
                 number = len(self.paths)
-                above = next((self.paths[c] for _, c, _ in reversed(stack) if c >= 0), "")
+                above = next((self.paths[x[1]] for x in reversed(stack) if x[1] >= 0), "")
                 self.paths.append(f"{above}>{step(tag, classes)}" if above else step(tag, classes))
-                self.bonus.append(2 * (tag in ("article", "main")) + any(GOOD.match(w) for w in marks))
-            stack.append((tag, number, gone))
+                self.bonus.append(2 * main + any(GOOD.match(w) for w in marks))
+            stack.append((tag, number, gone, place))
             dropped += gone
             links += tag == "a"
         if not dropped and at < len(html):
             parts.append(unescape(html[at:]))
         flush()
+        if marked_in:
+            kept = self._kept(places, marked_in)
+            self.blocks = [b for b, (i, _) in zip(self.blocks, places, strict=True) if i < 0 or kept[i]]
+        if drop and not self.blocks:
+            self.__init__(html, False)
+
+    def _kept(self, places: list[tuple[int, bool]], marked_in: list[tuple[int, bool]]) -> list[bool]:
+        """For each marked element, whether it and all around it stay: inner ones are judged first, and count for outer ones if they stay."""
+        worth, main = [0] * (len(marked_in) + 1), [0] * (len(marked_in) + 1)  # the last is outside all
+        for (text, linked, _), (i, inside) in zip(self.blocks, places, strict=True):
+            w = max(len(text) - 2 * linked, 0)
+            worth[i] += w
+            main[i] += w * inside
+        outside, outside_main, most = worth[-1], main[-1], max(worth[:-1])
+        any_main = any(main) or any(inside for _, inside in marked_in)
+        kept = [False] * len(marked_in)
+        for i in range(len(marked_in) - 1, -1, -1):
+            kept[i] = main[i] > outside_main if any_main else worth[i] >= most and worth[i] > 3 * outside
+            around, inside = marked_in[i]
+            if kept[i] and around >= 0:
+                worth[around] += worth[i]
+                main[around] += worth[i] if inside else main[i]
+        for i, (around, _) in enumerate(marked_in):
+            kept[i] = kept[i] and (around < 0 or kept[around])
+        return kept
 
     def scores(self) -> dict[int, float]:
         """Text outside links in the blocks right below each container, a third of it for the one above; times its bonus."""
@@ -186,7 +244,10 @@ class Page:
 def extract(html: str, path: str | None) -> str:
     page = Page(html)
     text = page.text(path) if path else None
-    return text if text else page.text(page.best()) or ("" if page.paths else "\n".join(t for t, _, _ in page.blocks))
+    if not text:
+        best = page.best()
+        text = page.text(best) if best else "\n".join(t for t, _, _ in page.blocks)
+    return text or ""
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -221,7 +282,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """id_col, url_col, text, n_chars (code points) of every page.
 
     The text is that of the article, without menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-    styles and comments; white space inside a block is one space, blocks are joined by one newline. A null or empty
+    styles and comments, but with those that hold the article (see Page); white space inside a block is one space, blocks are joined by one newline. A null or empty
     page has the text ''; a page without a host uses its own best container; rows with equal or null ids each get a
     row; an empty table gives an empty result; other columns are not read. The table of winning paths is broadcast
     only up to that many hosts; beyond, pages are joined to it by host, each host's row repeated for 16 salts, so
