@@ -390,6 +390,24 @@ def test_nothing_else_is_dropped():
     assert html_text.extract("<body><nav>only a menu</nav>", None) == "only a menu"
 
 
+BODY = "<p>" + "long text of the story " * 30 + "</p>"
+PARTS = [
+    "<article class='post'><h1>Title</h1><p>Lead</p><div class='entry-content'>{}</div><div class=epilogue><p>After</p></div></article>",
+    "<div><section class=lead><p>Title</p><p>Lead</p></section><section class=body>{}</section><section class=end><p>After</p></section></div>",
+    "<main><h1>Title</h1><p>Lead</p><article>{}<p>After</p></article><section class=more><a href=/1>One other</a> <a href=/2>Two others</a></section></main>",
+    "<div id=page><div class=story><h1>Title</h1><p>Lead</p><div class=text>{}</div><p>After</p></div><ul><li><a href=/1>One other</a></ul><div><a href=/2>Two others</a></div></div>",
+]
+
+
+@pytest.mark.parametrize("layout", PARTS)
+def test_all_parts_of_an_article_stay(spark, layout):
+    text = html_text.extract(f"<body>{layout.format(BODY)}", None).split("\n")
+    assert [t.split()[0] for t in text][:4] == ["Title", "Lead", "long", "After"] and ("other" not in " ".join(text) or "<main>" in layout)
+    rows = [(i, f"https://h.example/{i}", f"<body>{layout.format(BODY)}") for i in range(3)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text.split("\n") for r in got] == [text] * 3
+
+
 def test_hosts_outvote_odd_pages(spark):
     good = "<body><article class=main><h1>A{0}</h1><p>some words of text here {0}</p></article><div class=box><p>{1}</p></div>"
     rows = [(i, f"https://h.example/{i}", good.format(i, "short")) for i in range(8)] + [(8, "https://h.example/8", good.format(8, "a much longer box than the article " * 5))]

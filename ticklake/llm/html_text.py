@@ -1,7 +1,7 @@
 """Main text of web pages by consensus of their hosts.
 
-Each page votes for the generalised tag-class path of its best container; votes are counted per host in Spark; every
-page is then read again along its host's winning path (along its own best container where the host's path is not on
+Each page votes for the generalised tag-class path of its article, the best container or what is around it; votes are counted per host in Spark; every
+page is then read again along its host's winning path (along its own article where the host's path is not on
 the page). Both passes read one page at a time; what meets in Spark is one row per host and path.
 """
 
@@ -93,6 +93,9 @@ class Page:
         marked_in: list[tuple[int, bool]] = []
         self.paths: list[str] = []
         self.bonus: list[int] = []
+        self.tags: list[str] = []
+        #: The container around each container, or -1.
+        self.above: list[int] = []
         #: Open elements: (tag, container number or -1, whether it is never text, place of what is in it)
         stack: list[tuple[str, int, bool, tuple[int, bool]]] = []
         parts: list[str] = []
@@ -184,8 +187,10 @@ class Page:
             number = -1
             if not gone and not dropped and tag not in INLINE and tag not in LEAF and tag not in ("html",):
                 number = len(self.paths)
-                above = next((self.paths[x[1]] for x in reversed(stack) if x[1] >= 0), "")
-                self.paths.append(f"{above}>{step(tag, classes)}" if above else step(tag, classes))
+                above = next((x[1] for x in reversed(stack) if x[1] >= 0), -1)
+                self.paths.append(f"{self.paths[above]}>{step(tag, classes)}" if above >= 0 else step(tag, classes))
+                self.tags.append(tag)
+                self.above.append(above)
                 self.bonus.append(2 * main + any(GOOD.match(w) for w in marks))
             stack.append((tag, number, gone, place))
             dropped += gone
@@ -228,10 +233,40 @@ class Page:
                 out[c] = out.get(c, 0.0) + share * worth
         return {c: s * (1 + self.bonus[c]) for c, s in out.items()}
 
-    def best(self) -> str | None:
-        """The path of the best container; of equal ones the first."""
+    def best(self) -> tuple[str, float] | None:
+        """The path of the article, and the score of the container that it was found by: the best one, of equal ones the first."""
         s = self.scores()
-        return self.paths[max(s, key=lambda c: (s[c], -c))] if s else None
+        if not s:
+            return None
+        c = max(s, key=lambda c: (s[c], -c))
+        return self.paths[self._whole(c)], s[c]
+
+    def _whole(self, c: int) -> int:
+        """The article that a container is a part of.
+
+        That is the outermost article or main element around it. Without one it is what is around the container, up to
+        the body, as long as the text that is added is mostly outside links.
+        """
+        around = [c]
+        while self.above[around[-1]] >= 0:
+            around.append(self.above[around[-1]])
+        tags = [self.tags[x] for x in around]
+        if not {"article", "main"}.isdisjoint(tags):
+            return around[max(i for i, t in enumerate(tags) if t in ("article", "main"))]
+        at, end = 0, tags.index("body") if "body" in tags else len(tags)
+        chars, linked = dict.fromkeys(around, 0), dict.fromkeys(around, 0)
+        for text, links, inside in self.blocks:
+            for x in inside:
+                if x in chars:
+                    chars[x] += len(text)
+                    linked[x] += links
+        for i in range(1, end):
+            more, links = (of[around[i]] - of[around[at]] for of in (chars, linked))
+            if more and 2 * links >= more:
+                break
+            if more:
+                at = i
+        return around[at]
 
     def text(self, path: str | None) -> str | None:
         """The blocks in all containers with that path, in page order, joined by newlines; None if there is no such container."""
@@ -246,7 +281,7 @@ def extract(html: str, path: str | None) -> str:
     text = page.text(path) if path else None
     if not text:
         best = page.best()
-        text = page.text(best) if best else "\n".join(t for t, _, _ in page.blocks)
+        text = page.text(best[0]) if best else "\n".join(t for t, _, _ in page.blocks)
     return text or ""
 
 
@@ -263,13 +298,10 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             votes: dict[tuple[str, str], list[float]] = {}
             for url, html in zip(texts(b, "url"), texts(b, "html"), strict=True):
                 if host := host_of(url):
-                    page = Page(html)
-                    s = page.scores()
-                    if s:
-                        c = max(s, key=lambda c: (s[c], -c))
-                        v = votes.setdefault((host, page.paths[c]), [0, 0.0])
+                    if best := Page(html).best():
+                        v = votes.setdefault((host, best[0]), [0, 0.0])
                         v[0] += 1
-                        v[1] += s[c]
+                        v[1] += best[1]
             keys = list(votes)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([votes[k][0] for k in keys], pa.int64()), pa.array([int(votes[k][1]) for k in keys], pa.int64())], ["host", "path", "votes", "score"])
 
@@ -283,7 +315,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     The text is that of the article, without menus, headers, footers, sidebars, notices, adverts, forms, scripts,
     styles and comments, but with those that hold the article (see Page); white space inside a block is one space, blocks are joined by one newline. A null or empty
-    page has the text ''; a page without a host uses its own best container; rows with equal or null ids each get a
+    page has the text ''; a page without a host uses its own article; rows with equal or null ids each get a
     row; an empty table gives an empty result; other columns are not read. The table of winning paths is broadcast
     only up to that many hosts; beyond, pages are joined to it by host, each host's row repeated for 16 salts, so
     that no task gets all pages of a heavy host.
