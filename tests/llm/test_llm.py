@@ -464,6 +464,22 @@ def test_contamination_equals_alignment_of_all(spark, sf, docs, all_texts):
     assert exact <= found and len(found) <= len(exact) + 2
 
 
+def test_copies_without_three_words_in_a_row(spark, sf, docs):
+    """Every third word replaced, against the alignment of each copy with its item."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows, want = [], set()
+    for b in bench.collect():
+        for phase in range(3):
+            doc = 1_000_000 + 3 * b.item_id + phase
+            copy = " ".join(w if j % 3 != phase else f"zz{doc}x{j}" for j, w in enumerate(b.text.split()))
+            x, y = decontaminate.word_hashes(b.text), decontaminate.word_hashes(copy)
+            if decontaminate.align([x], [y])[0][0] >= decontaminate.THRESHOLD * decontaminate.MATCH * len(x):
+                want.add((doc, b.item_id))
+            rows.append((doc, copy))
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    assert want and want <= {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+
+
 def test_contamination_of_odd_rows(odd, empty, spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h"), (2, "one"), (None, "x")], "item_id long, text string")
     found = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, bench).collect())

@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds bring training passages and test items together, local alignment scores them.
 
-Seeds are word n-grams of the test items, of each item the rarest ones by document frequency in the whole corpus, so
+Seeds are three words of the test items, in a row or with one left out between them (so that a copy of which every
+third word is another one still has some), of each item and form the rarest ones by document frequency in the whole corpus, so
 that phrases everybody uses start no alignment, while a passage that leaked into very many documents keeps its seeds.
 Around each shared seed a stretch of the document is aligned with the item by Smith-Waterman over words; the score is
 divided by that of the item with itself.
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits, by_batches, mix64, texts, word_windows
 
-#: Words of a seed; share of an item's n-grams, rarest first, that serve as seeds; and at least so many.
-SEED_WORDS, SEED_SHARE, SEED_LEAST = 3, 0.75, 6
+#: Words of a seed; share of an item's n-grams of a form, rarest first, that serve as seeds; and at least so many; up to so many words all do.
+SEED_WORDS, SEED_SHARE, SEED_LEAST, SEED_SHORT = 3, 0.75, 6, 24
+#: Forms of seeds: the places of their words.
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score from which a document counts as contaminated.
 THRESHOLD = 0.5
@@ -35,17 +38,23 @@ def word_hashes(text: str) -> np.ndarray:
     return word_windows(text.encode().translate(None, _PUNCTUATION), 1)[0]
 
 
-def grams(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n words in a row."""
-    if len(words) < n:
+def grams(words: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """A hash of the words at these places from each word on."""
+    n = len(words) - shape[-1]
+    if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        h = np.full(len(words) - n + 1, np.uint64(n))
-        for i in range(n):
-            h = h * _ODD[0] + words[i : len(words) - n + 1 + i] * _ODD[1 + i % 2]
+        h = np.full(n, np.uint64(sum(1 << p for p in shape)))
+        for i, p in enumerate(shape):
+            h = h * _ODD[0] + words[p : n + p] * _ODD[1 + i % 2]
     return mix64(h)
 
 
+def shapes_of(n: int) -> list[tuple[int, ...]]:
+    """The forms of an item of n words; one shorter than a seed is a seed as a whole."""
+    return [s for s in SHAPES if s[-1] < n] if n >= SEED_WORDS else [tuple(range(n))] if n else []
+
+
 def align(items: list[np.ndarray], stretches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of each item with its stretch, and the stretch's word at which it ends; padded batches.
 
@@ -78,10 +87,9 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         self.words = [word_hashes(t) for _, t in items]
-        #: Items shorter than a seed are seeds as a whole.
-        self.sizes = sorted({min(SEED_WORDS, len(w)) for w in self.words if len(w)})
-        self.grams = [grams(w, min(SEED_WORDS, len(w))) if len(w) else np.zeros(0, np.uint64) for w in self.words]
-        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.grams]))
+        self.shapes = sorted({s for w in self.words for s in shapes_of(len(w))})
+        self.grams = [[grams(w, s) for s in shapes_of(len(w))] for w in self.words]
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(g for of in self.grams for g in of)]))
         self._filter()
 
     def _filter(self) -> None:
@@ -89,10 +97,10 @@ class Index:
         self.bits[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def choose(self, frequency: np.ndarray) -> None:
-        """Keeps the rarest grams of each item; frequency: document counts in the order of self.known. Equal counts: by hash."""
+        """Keeps the rarest grams of each item and form; frequency: document counts in the order of self.known. Equal counts: by hash."""
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, g in enumerate(self.grams):
-            keep = max(SEED_LEAST, math.ceil(SEED_SHARE * len(g)))
+        for item, g in ((item, g) for item, of in enumerate(self.grams) for g in of):
+            keep = max(SEED_LEAST, math.ceil(SEED_SHARE * len(g))) if len(self.words[item]) > SEED_SHORT else len(g)
             count = frequency[np.searchsorted(self.known, g)]
             for at in np.lexsort((g, count))[:keep].tolist():
                 self.places[int(g[at])].append((item, at))
@@ -104,8 +112,8 @@ class Index:
         if not len(self.known):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, which = [], []
-        for size in self.sizes:
-            g = grams(words, size)
+        for shape in self.shapes:
+            g = grams(words, shape)
             p = np.flatnonzero(self.bits[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
             w = np.searchsorted(self.known, g[p])
             ok = self.known[np.minimum(w, len(self.known) - 1)] == g[p]
