@@ -3,7 +3,8 @@
 A candidate is a maximal run of letters, digits and + / _ = -. A window of fixed width slides over it; the sum of
 c*log2(c) over the window's character counts is kept up by one step out and one step in, so that the entropy of
 every window costs constant time. The threshold depends on the candidate's character class (hexadecimal, letters and
-digits, base64). Windows at or above it are joined into spans, unless the allow-list knows the string.
+digits, base64). Windows at or above it are joined into spans, less what known forms cover, unless the allow-list
+knows the span.
 """
 
 from __future__ import annotations
@@ -82,19 +83,34 @@ class Scanner:
         return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
     def mixed(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """High-entropy spans that touch no base span."""
+        """High-entropy spans without what base spans cover; what is left of a span beside one counts from a window on.
+
+        The allow-list is held against each span and, for forms of a whole string, against the whole candidate.
+        """
         found = []
         for m in CANDIDATE.finditer(text):
             s = m.group()
             kind = char_class(s)
-            if kind is None or any(a.search(s) for a in self.allow):
+            if kind is None or any(a.fullmatch(s) for a in self.allow):
                 continue
             for a, b in entropy_windows(s, self.window, self.thresholds[kind]):
-                a, b = a + m.start(), b + m.start()
-                if not any(x < b and a < y for _, x, y in base):
-                    found.append(("entropy", a, b))
+                for a, b in self._outside(a + m.start(), b + m.start(), base):
+                    if not any(p.search(text[a:b]) for p in self.allow):
+                        found.append(("entropy", a, b))
         return found
 
+    def _outside(self, a: int, b: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+        """The parts of a span between base spans, of a window's length at least if it was cut."""
+        covered = sorted((x, y) for _, x, y in base if x < b and a < y)
+        if not covered:
+            return [(a, b)]
+        parts = []
+        for x, y in (*covered, (b, b)):
+            if x - a >= self.window:
+                parts.append((a, x))
+            a = max(a, y)
+        return parts
+
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         base = self.base(text)
         order = {k: i for i, k in enumerate((*KINDS, "entropy"))}
