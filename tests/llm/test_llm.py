@@ -431,6 +431,14 @@ def test_hosts_outvote_odd_pages(spark):
     assert html_text.main_text(df.limit(0)).isEmpty()
 
 
+def test_both_joins_read_hosts_alike(spark):
+    page = "<body><article class=main><p>some words of text here</p></article><div class=box><p>{}</p></div>"
+    rows = [(i, f"https://h.example/{i}", page.format("short")) for i in range(5)] + [(5 + i, u, page.format("a much longer box than the article " * 5)) for i, u in enumerate(("//h.example/a", "  https://h.example/b", "HTTPS://u:p@H.example:80/c"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few, many = ({r.page_id: r.text for r in html_text.main_text(df, broadcast_hosts=n).collect()} for n in (50_000, 0))
+    assert few == many == dict.fromkeys(range(8), "some words of text here")
+
+
 # 10: decontamination
 
 

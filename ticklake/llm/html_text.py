@@ -337,8 +337,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         known = {x.host: x.path for x in few}
         out = rows.mapInArrow(lambda bs: run(bs, known), schema)
     else:
-        host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?\[?([^/?#:\]]*)", 1))
-        dealt = rows.withColumn("host", host).withColumn("salt", (F.rand(1) * 16).cast("int"))
+
+        def with_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in by_batches(batches):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([host_of(u) for u in texts(b, "url")], pa.string())], ["id", "url", "html", "host"])
+
+        dealt = rows.mapInArrow(with_hosts, f"id {kind}, url string, html string, host string").withColumn("salt", (F.rand(1) * 16).cast("int"))
         wide = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
         out = dealt.join(wide, ["host", "salt"], "left").select("id", "url", "html", "path").mapInArrow(run, schema)
     return out.withColumnsRenamed({"id": id_col, "url": url_col})
