@@ -313,6 +313,54 @@ def test_bpe_equals_the_library(all_texts):
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_word_patterns_agree_on_common_characters():
+    """Letters and numbers that the plain engine's pattern spells out are those that the other engine knows."""
+    import regex
+
+    own = bpe.load(tokenizer("byte_bpe_50k.json"))
+    common = [chr(i) for i in range(0x2100) if own.common(chr(i))]
+    assert len(common) == 0x250 + 0x70 + 0x20
+    for c in common:
+        for text in (c, f"a{c}", f" {c}", f"1{c}{c}", f"{c}a {c}1", f"'{c} {c}", f"{c}  {c}"):
+            assert own.common_pieces(text) == own.all_pieces(text)
+    assert not any(regex.match(r"[\p{L}\p{N}]", chr(i)) for i in (*range(0x2000, 0x2070), *range(0x20A0, 0x20C0)) if i not in (0x2070, 0x2071))
+
+
+def test_caches_are_bounded_and_lose_nothing(monkeypatch, all_texts):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 50_000)
+    own, wide = bpe.ByteBPE(tokenizer("byte_bpe_50k.json")), bpe.load(tokenizer("byte_bpe_50k.json"))
+    batch = list(all_texts.values())
+    for i in range(0, len(batch), 10):
+        assert own.encode_batch(batch[i : i + 10]) == wide.encode_batch(batch[i : i + 10])
+    assert own.cache.old and sum(map(len, own.cache.young)) < 10 * max(map(len, batch)) + 50_000
+
+
+@pytest.mark.parametrize("name", ["op5_bpe", "op8_token_counts"])
+def test_token_queries_equal_the_libraries(spark, sf, all_texts, name):
+    """All columns of the queries over the whole table, from the libraries' own results."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    got = {r.doc_id: tuple(r)[1:] for r in QUERIES[name](spark, sf).collect()}
+    if name == "op5_bpe":
+        library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+        library.no_truncation()
+        library.no_padding()
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        of = lambda ids: (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids, skip_special_tokens=False).encode()))
+        want = {i: of(library.encode(t, add_special_tokens=False).ids) for i, t in all_texts.items()}
+    else:
+        library = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+        of = lambda t, n: (len(t.encode()), n, n > 4096)
+        want = {i: of(t, len(library.encode(t))) for i, t in all_texts.items()}
+    assert got == want
+
+
+def test_batches_are_balanced_by_bytes():
+    segments = ["a" * 90, "é" * 60, "日" * 100, "b", "c" * 500, "d"]
+    assert list(token_counts.balanced(segments, 240)) == [["a" * 90, "é" * 60], ["日" * 100], ["b"], ["c" * 500], ["d"]] and list(token_counts.balanced([], 10)) == []
+
+
 def test_counts_equal_the_library(all_texts):
     import sentencepiece
 

@@ -24,9 +24,13 @@ from .common import TwoGenerationCache, arrow_limits, by_batches, texts
 
 # White space and the word pattern of the byte-level pre-tokeniser.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+"
-#: Cuts at white space only; each chunk's pieces do not depend on its neighbours.
-CHUNKS = rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])|[{W}]+"
+PIECES = _WORDS.format(L=r"\p{L}", N=r"\p{N}", W=WHITE)
+#: Bytes of words and their ids that stay known in one process (twice, while the older half is on its way out), and bytes of ids that are decoded at once.
+CACHE_BYTES, DECODE_BYTES = 48 << 20, 1 << 20
+#: Texts of these characters alone go through the plain engine, with letters and numbers spelled out.
+COMMON = r"\x00-\u024f\u2000-\u206f\u20a0-\u20bf"
+COMMON_PIECES = _WORDS.format(L="A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", N="0-9\xb2\xb3\xb9\xbc-\xbe", W=WHITE)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -55,16 +59,42 @@ class ByteBPE:
             a, b = (raw(s) for s in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merge[self.ids[a], self.ids[b]] = rank
             self.parts.setdefault(self.ids[a + b], (self.ids[a], self.ids[b], rank))
-        tails: dict[bytes, set[int]] = {}
-        for b in self.ids:
-            tails.setdefault(b[-2:], set()).add(len(b))
-        #: For two bytes that end a prefix, the lengths of vocabulary entries with that end, longest first, then 1.
-        self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in tails.items() if len(k) == 2}
+        self.sizes = {i: len(b) for b, i in self.ids.items()}
+        self.marks = {i: array("I", [i]).tobytes() for i in self.ids.values()}
+        #: All beginnings of vocabulary entries; a state is the longest of them that a prefix ends with.
+        self.starts = {b[:n] for b in self.ids for n in range(1, len(b) + 1)}
+        #: By state: the lengths and tokens of the vocabulary entries that it ends with, longest first.
+        self.endings: list[tuple[tuple[int, int], ...]] = [()]
+        self.states: dict[bytes, int] = {b"": 0}
+        self.names = [b""]
+        #: The next state by state and byte, worked out when first met.
+        self.moves: dict[int, int] = {}
         self.follows: dict[int, bool] = {}
+        n = max(self.bytes) + 1
+        self.lengths = np.array([len(self.bytes.get(i, b"")) for i in range(n)], np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(n)), np.uint8)
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
-        self.chunks = re.compile(CHUNKS).findall
-        self.pieces = regex.compile(PIECES).findall
-        self.cache = TwoGenerationCache(100_000)
+        self.common = re.compile(f"[{COMMON}]*").fullmatch
+        self.common_pieces = re.compile(COMMON_PIECES).findall
+        self.all_pieces = regex.compile(PIECES).findall
+        self.cache = TwoGenerationCache(CACHE_BYTES)
+
+    def pieces(self, text: str) -> list[str]:
+        return self.common_pieces(text) if self.common(text) else self.all_pieces(text)
+
+    def _move(self, state: int, byte: int) -> int:
+        """The state after one more byte."""
+        name = self.names[state] + bytes((byte,))
+        while name not in self.starts and name:
+            name = name[1:]
+        to = self.states.get(name)
+        if to is None:
+            to = self.states[name] = len(self.names)
+            self.names.append(name)
+            self.endings.append(tuple((len(name) - i, t) for i in range(len(name)) if (t := self.ids.get(name[i:])) is not None))
+        self.moves[state << 8 | byte] = to
+        return to
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at one edge of token while it is being built, each with the rank that ends it."""
@@ -92,58 +122,76 @@ class ByteBPE:
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of distinct words as little-endian unsigned 32-bit integers; each trie node is visited once."""
-        ids, lengths, can_follow, size = self.ids, self.lengths, self.can_follow, {i: len(b) for b, i in self.ids.items()} if not hasattr(self, "_size") else self._size
-        self._size = size
-        follows, out, last, before = self.follows, {}, [-1], b""
+        moves, endings, follows, sizes, marks, out = self.moves, self.endings, self.follows, self.sizes, self.marks, {}
+        # along the path to the current node: the state, and the last token's id, of every prefix
+        states, last, before = [0], [-1], b""
         for word in sorted(words):
-            n, depth = len(word), 0
+            depth, n = 0, len(word)
             for x, y in zip(word, before, strict=False):
                 if x != y:
                     break
                 depth += 1
-            del last[depth + 1 :]
+            del states[depth + 1 :], last[depth + 1 :]
+            state = states[depth]
             for end in range(depth + 1, n + 1):
-                token = None
-                for k in lengths.get(word[end - 2 : end], (1,)) if end > 1 else (1,):
-                    if k <= end and (t := ids.get(word[end - k : end])) is not None:
-                        if k == end:
-                            token = t
-                            break
-                        ok = follows.get(last[end - k] << 32 | t)
-                        if can_follow(last[end - k], t) if ok is None else ok:
-                            token = t
-                            break
+                to = moves.get(state << 8 | word[end - 1])
+                state = self._move(state, word[end - 1]) if to is None else to
+                states.append(state)
+                for k, token in endings[state]:
+                    if k == end:
+                        break
+                    ok = follows.get(last[end - k] << 32 | token)
+                    if ok or ok is None and self.can_follow(last[end - k], token):
+                        break
                 last.append(token)
             tokens, end = [], n
             while end:
-                tokens.append(t := last[end])
-                end -= size[t]
+                tokens.append(marks[t := last[end]])
+                end -= sizes[t]
             tokens.reverse()
-            out[word] = array("I", tokens).tobytes()
+            out[word] = b"".join(tokens)
             before = word
         return out
 
-    def learn(self, chunks: list[str]) -> None:
-        """Puts the encodings of chunks that are not known yet into the cache."""
-        new = self.cache.missing(chunks)
+    def learn(self, pieces: list[str]) -> None:
+        """Puts the encodings of pieces that are not known yet into the cache."""
+        new = self.cache.missing(pieces)
         if new:
-            parts = [[p.encode() for p in self.pieces(c)] for c in new]
-            known = self.encode_words(list({p for ps in parts for p in ps}))
-            young = self.cache.young
-            for c, ps in zip(new, parts, strict=True):
-                young[c] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+            raw = [p.encode() for p in new]
+            known = self.encode_words(raw)
+            self.cache.add(new, [known[p] for p in raw])
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; strings of special tokens become those tokens."""
         cut = [self.split(t) if self.split and any(s in t for s in self.special) else [t] for t in batch]
-        found = [[self.chunks(p) if i % 2 == 0 else p for i, p in enumerate(ps)] for ps in cut]
+        found = [[self.pieces(p) if i % 2 == 0 else p for i, p in enumerate(ps)] for ps in cut]
         self.learn([c for ps in found for p in ps[::2] for c in p])
         get = self.cache.young.__getitem__
         mark = {s: array("I", [i]).tobytes() for s, i in self.special.items()}
         return [b"".join([b"".join(map(get, p)) if i % 2 == 0 else mark[p] for i, p in enumerate(ps)]) for ps in found]
 
+    def decode_batch(self, batch: list[bytes]) -> list[str]:
+        """The text of each one's ids, gathered from the bytes of all tokens in a row; not valid UTF-8 becomes U+FFFD."""
+        out, at = [], 0
+        while at < len(batch):
+            stop, held = at, 0
+            while stop < len(batch) and (stop == at or held + len(batch[stop]) <= DECODE_BYTES):
+                held += len(batch[stop])
+                stop += 1
+            part = batch[at:stop]
+            at = stop
+            ids = np.frombuffer(b"".join(part), "<u4")
+            sizes = self.lengths[ids]
+            ends = np.cumsum(sizes)
+            place = np.arange(ends[-1] if len(ends) else 0)
+            place += np.repeat(self.offsets[ids] - ends + sizes, sizes)
+            data = self.blob[place].tobytes()
+            cuts = [0, *np.concatenate([[0], ends])[np.cumsum([len(x) // 4 for x in part])].tolist()]
+            out += [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.decode_batch([ids])[0]
 
 
 _LOADED: dict[str, ByteBPE] = {}
@@ -171,7 +219,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         for b in by_batches(batches):
             given = texts(b, b.num_columns - 1)
             ids = bpe.encode_batch(given)
-            decoded = [bpe.decode(x) for x in ids]
+            decoded = bpe.decode_batch(ids)
             out = {"token_ids": pa.array(ids, pa.binary()), "same": pa.array([x == y for x, y in zip(given, decoded, strict=True)], pa.bool_())} | ({"decoded": pa.array(decoded, pa.string())} if with_text else {})
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out.values()], [*b.schema.names[:-1], *out])
 

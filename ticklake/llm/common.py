@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_C = ctypes.CDLL(None)
+
 #: What counts as white space between words in the word-based operators.
 ASCII_SPACE = "\x20\x09-\x0d"
 
@@ -81,24 +87,37 @@ def spans_text(col):
 
 
 class TwoGenerationCache:
-    """A dict bounded to two generations: frequent keys stay, rare ones go; lookups are plain dict reads."""
+    """A dict bounded to two generations of so many bytes: frequent keys stay, rare ones go; lookups are plain dict reads."""
+
+    #: What an entry takes in the dict, beside its key and value.
+    ENTRY = 100
 
     def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+        self.size, self.held, self.young, self.old = size, 0, {}, {}
 
     def missing(self, keys) -> list:
         """Distinct keys without a value; values of the old generation move to the young one."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
+        if self.held > self.size:
+            self.old, self.young, self.held = self.young, {}, 0
+        young, old, out, moved = self.young, self.old, [], []
         for k in set(keys).difference(young):
             v = old.get(k)
             if v is None:
                 out.append(k)
             else:
                 young[k] = v
+                moved.append(k)
+        self._count(moved)
         return out
 
+    def add(self, keys: list, values: list) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        self._count(keys)
+
+    def _count(self, keys: list) -> None:
+        young = self.young
+        self.held += self.ENTRY * len(keys) + sum(map(getsizeof, keys)) + sum(getsizeof(young[k]) for k in keys)
+
 
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15

@@ -18,18 +18,21 @@ from pyspark.sql import functions as F
 from .common import TwoGenerationCache, arrow_limits, by_batches, texts
 
 MARK = "▁"
+#: Bytes of segments and their counts that stay known in one process (twice, while the older half is on its way out).
+CACHE_BYTES = 64 << 20
 _CUT = re.compile(r"(?<=[^ ]) (?=[^ ])")
 
 
 def balanced(segments: list[str], size: int) -> Iterator[list[str]]:
-    """Batches of about size characters."""
+    """Batches of about size bytes in UTF-8, and a few for each segment; a longer segment is a batch of its own."""
     batch, held = [], 0
     for s in segments:
-        batch.append(s)
-        held += len(s) + 8
-        if held >= size:
+        own = 8 + (len(s) if s.isascii() else len(s.encode()))
+        if batch and held + own > size:
             yield batch
             batch, held = [], 0
+        batch.append(s)
+        held += own
     if batch:
         yield batch
 
@@ -43,7 +46,7 @@ class PieceCounter:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.safe = not any(MARK in p.lstrip(MARK) for p in pieces) and self.sp.encode("a b") == self.sp.encode("a") + self.sp.encode("b")
-        self.batch_bytes, self.cache = batch_bytes, TwoGenerationCache(400_000)
+        self.batch_bytes, self.cache = batch_bytes, TwoGenerationCache(CACHE_BYTES)
 
     def segments(self, text: str) -> list[str]:
         if MARK in text:
@@ -56,13 +59,9 @@ class PieceCounter:
 
     def count(self, batch: list[str]) -> list[int]:
         cut = [self.segments(t) for t in batch]
-        young = None
-        new = self.cache.missing([s for c in cut for s in c])
-        young = self.cache.young
-        for part in balanced(new, self.batch_bytes):
-            for s, ids in zip(part, self.sp.encode(part, num_threads=1), strict=True):
-                young[s] = len(ids)
-        get = young.__getitem__
+        for part in balanced(self.cache.missing([s for c in cut for s in c]), self.batch_bytes):
+            self.cache.add(part, [len(ids) for ids in self.sp.encode(part, num_threads=1)])
+        get = self.cache.young.__getitem__
         return [sum(map(get, c)) for c in cut]
 
 
