@@ -95,6 +95,91 @@ def test_fees_and_markouts():
     assert m.fills[0].markouts[1_000_000] == pytest.approx((101 - 101) / 101 * 1e4)
 
 
+def test_queue_equals_orders_one_by_one():
+    """Offsets in a level's volume against a count of what stands before each order; every order sees all volume."""
+    r = random.Random(3)
+    for _ in range(200):
+        queue, before, open_, t = simulator.Queue(), {}, {}, 0
+        for _ in range(40):
+            t += 1
+            what = r.random()
+            if what < 0.4:
+                o = simulator.Order(f"o{t}", "bid", r.randint(1, 30), 100, t, None)
+                shown = r.randint(0, 20) * r.choice((0.0, 0.5, 1.0))
+                before[o.turn] = shown + sum(x.left for x in open_.values())
+                open_[o.turn] = o
+                queue.join(o, shown)
+            elif what < 0.5 and open_:
+                queue.leave(open_.pop(r.choice(list(open_))))
+            else:
+                volume = r.randint(1, 25) * r.choice((0.5, 1.0))
+                offers = {turn: qty for turn, _, qty in queue.flow(volume) if qty}
+                want = {turn: int(max(0.0, volume - before[turn])) for turn in open_}
+                assert offers == {turn: qty for turn, qty in want.items() if qty}
+                for turn, o in list(open_.items()):
+                    before[turn] = max(0.0, before[turn] - volume)
+                    done = min(o.left, want[turn])
+                    o.filled += done
+                    queue.resting -= done
+                    if not o.left:
+                        queue.leave(open_.pop(turn))
+            assert queue.resting == sum(o.left for o in open_.values())
+
+
+def test_position_limit_within_a_fill_leaves_the_order_open():
+    sell = event("trade", 3_000, 2, trade_price=100 * SCALE, trade_qty=20 * SCALE, buyer_is_maker=True)
+    m = simulate([*market(), sell], [order("a", qty=8, limit=100), order("b", qty=8, limit=100)], Case(transmission_ns=0, queue_share=0.0))
+    assert (m.orders["a"].status, m.orders["a"].filled // SCALE) == ("filled", 8)
+    assert (m.orders["b"].status, m.orders["b"].reason, m.position // SCALE) == ("expired", "position_limit_during_partial_fill", 8)
+
+
+def test_summary_has_status_counts_and_markouts():
+    later = event("depth", 2_000_000, 3, [(100, 0), (100.5, 1)], [(101, 0), (101.5, 1)], 3, 3)
+    trade = event("trade", 3_000, 2, trade_price=100 * SCALE, trade_qty=6 * SCALE, buyer_is_maker=True)
+    asked = [order("a", qty=2), order("b", limit=100), order("c", limit=99, ttl=100), order("d", at=9_000_000), order("e", qty=20)]
+    got = simulate([*market(), trade, later], asked, Case(transmission_ns=0, taker_bps=10, horizons=(1_000_000, 10**12))).summary()
+    assert dict(got["status_counts"]) == {"pending": 0, "open": 0, "partially_filled": 0, "filled": 2, "cancelled": 0, "rejected": 1, "expired": 2}
+    assert (got["maker_qty"], got["taker_qty"], got["maker_share"]) == (1.0, 2.0, pytest.approx(1 / 3))
+    assert got["mean_markout_bps"] == [("1000000_ns", pytest.approx((0.0 + 100.0) / 2))]
+    with pytest.raises(ValueError):
+        Case(horizons=(5, 5))
+    with pytest.raises(TypeError):
+        Case(decision_ns=1.5)
+
+
+def test_grid_streams_requests_beside_events(spark):
+    """All cases in one pass over sorted rows against each case alone, with requests at, before and after events, and cancels."""
+    r = random.Random(8)
+    events, asked = [], []
+    for s in range(3):
+        own = [event("snapshot", 1_000, 0, [(100, 5), (99, 10)], [(101, 5), (102, 10)], 1, 1)]
+        for i in range(1, 120):
+            ts = 1_000 + i * 10 + r.choice((0, 0, -15))
+            if r.random() < 0.4:
+                own.append(event("trade", ts, i, trade_price=r.choice((99, 100, 101)) * SCALE, trade_qty=r.randint(1, 4) * SCALE, buyer_is_maker=r.random() < 0.5))
+            else:
+                own.append(event("depth", ts, i, [(r.choice((99, 100)), r.randint(1, 9))], [(r.choice((101, 102)), r.randint(1, 9))], max(e["final_id"] for e in own) + 1, max(e["final_id"] for e in own) + 1))
+        events += [{"session_id": s, "trade_price": None, "trade_qty": None, "buyer_is_maker": None} | e for e in own]
+        for i in range(60):
+            at = r.randint(900, 2_500)
+            asked.append({"session_id": s} | order(f"o{i}", r.choice(("buy", "sell")), 1, r.choice((None, 99, 100, 101, 102)), at, r.choice((None, 100))))
+            if r.random() < 0.3:
+                asked.append(asked[-1] | {"kind": "cancel", "decision_ns": at + r.randint(-20, 100)})
+    cases = {m: Case(model=m, transmission_ns=d, cancel_ns=5, most_position=5 * SCALE, queue_share=0.5, horizons=(50,)) for m, d in zip(simulator.MODELS, (0, 10, 40))}
+    level = "array<struct<price:bigint,qty:bigint>>"
+    shaped = [e | {k: [{"price": p, "qty": q} for p, q in e[k]] for k in ("bids", "asks")} for e in events]
+    got = simulator.sensitivity_grid(
+        spark.createDataFrame(shaped, f"session_id int, event_ix long, ts_ns long, kind string, first_id long, final_id long, bids {level}, asks {level}, trade_price long, trade_qty long, buyer_is_maker boolean"),
+        spark.createDataFrame(asked, "session_id int, kind string, order_id string, decision_ns long, side string, qty long, limit_price long, ttl_ns long"),
+        cases,
+    ).collect()
+    assert len(got) == 9
+    for row in got:
+        alone = simulate([e for e in events if e["session_id"] == row.session_id], [a for a in asked if a["session_id"] == row.session_id], cases[row.case_id]).summary()
+        alone |= {"status_counts": dict(alone["status_counts"]), "mean_markout_bps": dict(alone["mean_markout_bps"])}
+        assert row.asDict() == {"case_id": row.case_id, "session_id": row.session_id} | alone and alone["fills"] > 5
+
+
 def test_gap_raises():
     with pytest.raises(RuntimeError):
         simulate([*market(), event("depth", 3_000, 2, [(97, 1)], [], 9, 9)], [], FAST)

@@ -72,8 +72,8 @@ class Book:
         return [(p, levels[p]) for p in chosen]
 
 
-def fold(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], start: Callable, step: Callable, schema: str) -> DataFrame:
-    """A sequential fold: start() makes a key's state, step(state, rows of one place) gives output rows.
+def fold(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], start: Callable, step: Callable, schema: str, end: Callable = lambda state: ()) -> DataFrame:
+    """A sequential fold: start() makes a key's state, step(state, rows of one place) and end(state) give output rows.
 
     Rows are dealt by keys and sorted; they stream through, with the state of one key at a time in memory. A place is
     all rows that agree in keys and in the first column of order.
@@ -93,13 +93,15 @@ def fold(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], start:
                     out += step(state, held)
                     held = []
                 if own != key:
+                    if key is not None:
+                        out += end(state)
                     key, state = own, start()
                 place = row[at]
                 held.append(dict(zip(names, row, strict=True)))
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
         if held:
-            yield pa.RecordBatch.from_pylist(step(state, held), schema=arrow)
+            yield pa.RecordBatch.from_pylist([*step(state, held), *end(state)], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
