@@ -450,6 +450,33 @@ def test_nothing_else_is_dropped():
     assert html_text.extract("<body><nav>only a menu</nav>", None) == "only a menu"
 
 
+RAW = [
+    "<script>var a='<!-- x';</script>",
+    "<style>p{content:'<!-- '} a>b{}</style>",
+    "<script>if (a<b && c>d) { document.write('<p>\\'no\\\"</p>'); }</script>",
+    "<textarea><!-- <article><p>no</textarea>",
+    "<noscript><img src='x' alt='<!--'></noscript>",
+    "<!-- <article><p>no</p></article> -->",
+    "<SCRIPT TYPE=x>'</ script>' <article></SCRIPT >",
+    "<title>a < b <!-- c</title>",
+    "<template><article><p>no</p></article></template>",
+]
+
+
+@pytest.mark.parametrize("raw", RAW)
+def test_raw_elements_and_comments(raw):
+    page = f"<html><head>{raw}</head><body>{raw}<article><h1>T</h1>{raw}<p>x &amp; y{raw}</p><p>z</p></article>{raw}<footer>end</footer></body></html>"
+    assert html_text.extract(page, None) == "T\nx & y\nz"
+
+
+def test_marks_spare_headings_and_paragraphs():
+    kept = "<header class='entry-header'><h1 class='entry-header page-header'>T</h1></header><p class=sidebar>one</p><h2 class=banner>two</h2><blockquote class=widget>three</blockquote>"
+    gone = "<p class=advert>buy</p><p class='cookie-notice'>ok?</p><footer>by</footer><nav><p>menu</p></nav><div class=post-footer>tags</div>"
+    for outer in ("article", "article class=post"):
+        assert html_text.extract(f"<body><header><h1>Site</h1></header><{outer}>{kept}{gone}</article><p class=sidebar>aside</p></body>", None) == "T\none\ntwo\nthree"
+    assert html_text.extract("<body><div class=header><p>Site</p></div><div class=post><div class=post-header><h1 class=header>T</h1></div><p>text of it, long enough</p></div>", None) == "T\ntext of it, long enough"
+
+
 BODY = "<p>" + "long text of the story " * 30 + "</p>"
 PARTS = [
     "<article class='post'><h1>Title</h1><p>Lead</p><div class='entry-content'>{}</div><div class=epilogue><p>After</p></div></article>",
@@ -481,10 +508,11 @@ def test_hosts_outvote_odd_pages(spark):
 
 def test_both_joins_read_hosts_alike(spark):
     page = "<body><article class=main><p>some words of text here</p></article><div class=box><p>{}</p></div>"
-    rows = [(i, f"https://h.example/{i}", page.format("short")) for i in range(5)] + [(5 + i, u, page.format("a much longer box than the article " * 5)) for i, u in enumerate(("//h.example/a", "  https://h.example/b", "HTTPS://u:p@H.example:80/c"))]
+    urls = ("//h.example/a", "  https://h.example/b", "HTTPS://u:p@H.example:80/c", "https://u@v@h.example/a")
+    rows = [(i, f"https://h.example/{i}", page.format("short")) for i in range(5)] + [(5 + i, u, page.format("a much longer box than the article " * 5)) for i, u in enumerate(urls)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     few, many = ({r.page_id: r.text for r in html_text.main_text(df, broadcast_hosts=n).collect()} for n in (50_000, 0))
-    assert few == many == dict.fromkeys(range(8), "some words of text here")
+    assert few == many == dict.fromkeys(range(9), "some words of text here")
 
 
 # 10: decontamination

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, by_batches, materialize, texts
+from .common import arrow_limits, by_batches, discard, materialize, texts
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -30,11 +30,15 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 #: Elements that are never main text, those that are not unless they hold it, and the words in class, id or role that mark such elements.
 NEVER = frozenset("script style noscript template iframe button select option head title canvas audio video input textarea".split())
 DROP = frozenset("nav header footer aside form dialog menu".split())
-MARKS = re.compile(r"^(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disclaimer|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|pager|pagination|popup|promo|promoted|promotion|reply|replies|respond|search|sidebar|sidenav|skip|sponsor|sponsored|subscribe|subscription|toolbar|topbar|widget|widgets|banner|complementary|contentinfo|alert|alertdialog)$")
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion reply replies respond search sidebar sidenav skip sponsor sponsored subscribe subscription toolbar topbar widget widgets complementary contentinfo alert alertdialog".split())
+#: Those of them that say the same of a heading or a paragraph; the others name places on a page, which these are not.
+OFFERS = frozenset("ad ads adv advert adverts advertisement advertising comment comments consent cookie cookies newsletter notice notices notification promo promoted promotion reply replies sponsor sponsored subscribe subscription".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+RUNNING = HEADINGS | frozenset("p blockquote pre li dt dd figcaption caption td th tr".split())
 #: What may follow a mark in a name (sidebar-left), and what turns one into a statement about a layout (has-sidebar).
 AFTER = frozenset("area author bar block body bottom box button buttons container content group holder inner item items left link links list meta outer panel primary region right secondary section slot text title top unit wrap wrapper zone".split())
 ABOUT = frozenset("has have hide hides no not with without".split())
-GOOD = re.compile(r"^(?:article|articlebody|body|content|entry|main|post|story|text)$")
+GOOD = frozenset("article articlebody body content entry main post story text".split())
 
 
 def host_of(url: str | None) -> str:
@@ -45,17 +49,22 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _is_mark(parts: list[str]) -> bool:
-    """Whether a name's parts end with a mark, or start with one that only places and kinds of boxes follow."""
+def _mark(parts: list[str]) -> str:
+    """The mark that a name's parts end with, or start with if only places and kinds of boxes follow; '' if there is none.
+
+    The header of an entry, a post or an article is a part of it.
+    """
     parts = [p for p in parts if not p.isdigit()]
-    if not parts or not ABOUT.isdisjoint(parts):
-        return False
-    return bool(MARKS.match(parts[-1]) or MARKS.match(parts[0]) and all(p in AFTER or MARKS.match(p) for p in parts[1:]))
+    if not parts or not ABOUT.isdisjoint(parts) or parts[-1] == "header" and not GOOD.isdisjoint(parts):
+        return ""
+    if parts[-1] in MARKS:
+        return parts[-1]
+    return parts[0] if parts[0] in MARKS and all(p in AFTER or p in MARKS for p in parts[1:]) else ""
 
 
-def _words(attributes: str) -> tuple[list[str], list[str], bool]:
-    """Class tokens, all words of class, id and role, and whether one of the names marks something besides the text."""
-    classes, words, marked = [], [], False
+def _words(attributes: str) -> tuple[list[str], list[str], set[str]]:
+    """Class tokens, all words of class, id and role, and the marks of something besides the text among the names ('hidden' is one)."""
+    classes, words, marks = [], [], set()
     for m in ATTRIBUTE.finditer(attributes):
         name = m.group(1).lower()
         if name in ("class", "id", "role"):
@@ -66,10 +75,10 @@ def _words(attributes: str) -> tuple[list[str], list[str], bool]:
             for t in tokens:
                 parts = [w for w in re.split(r"[-_]+|(?<=\D)(?=\d)", t) if w]
                 words += [t, *parts]
-                marked = marked or _is_mark(parts)
+                marks.add(_mark(parts))
         elif name in ("hidden", "aria-hidden") and (m.group(2) or m.group(3) or m.group(4)) == "true":
-            marked = True
-    return classes, words, marked
+            marks.add("hidden")
+    return classes, words, marks - {""}
 
 
 def step(tag: str, classes: list[str]) -> str:
@@ -129,11 +138,7 @@ class Page:
                 if stack[i][0] in stops:
                     return
 
-        scan = TOKEN.finditer(html)
-        skip_to = 0
-        for m in scan:
-            if m.start() < skip_to:
-                continue
+        while (m := TOKEN.search(html, at)) is not None:
             if not dropped and m.start() > at:
                 piece = unescape(html[at : m.start()])
                 parts.append(piece)
@@ -151,7 +156,7 @@ class Page:
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                skip_to = at = end.end() if end else len(html)
+                at = end.end() if end else len(html)
                 continue
             if tag == "br":
                 parts.append(" ")
@@ -174,9 +179,14 @@ class Page:
                 flush()
             if tag in VOID or m.group(3).endswith("/") and tag not in INLINE | LEAF and tag not in ("div", "section", "article", "main", "body", "html"):
                 continue
-            classes, marks, marked = _words(m.group(3)) if "=" in m.group(3) else ([], [], False)
+            classes, words, marks = _words(m.group(3)) if "=" in m.group(3) else ([], [], set())
             main = tag in ("article", "main")
-            soft = drop and (tag in DROP or marked and not main and tag not in ("html", "body"))
+            inside = bool(stack) and stack[-1][3][1]
+            if tag in HEADINGS or inside and tag in RUNNING:
+                marks &= OFFERS | {"hidden"}
+            marked = bool(marks)
+            # the header of an article is that of its title, not of the page
+            soft = drop and (tag in DROP and not (tag == "header" and any(x[0] == "article" for x in stack)) or marked and not main and tag not in ("html", "body"))
             gone = tag in NEVER or soft and tag in INLINE
             place = stack[-1][3] if stack else (-1, False)
             if soft and not gone and not dropped:
@@ -191,7 +201,7 @@ class Page:
                 self.paths.append(f"{self.paths[above]}>{step(tag, classes)}" if above >= 0 else step(tag, classes))
                 self.tags.append(tag)
                 self.above.append(above)
-                self.bonus.append(2 * main + any(GOOD.match(w) for w in marks))
+                self.bonus.append(2 * main + (not GOOD.isdisjoint(words)))
             stack.append((tag, number, gone, place))
             dropped += gone
             links += tag == "a"
@@ -323,7 +333,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     arrow_limits(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     winners = materialize(host_paths(rows), "host-paths")
-    few = winners.limit(broadcast_hosts + 1).collect()
+    few = winners.limit(broadcast_hosts + 1).collect()  # at most so many rows of a host and a path
 
     def run(batches: Iterator[pa.RecordBatch], paths: dict[str, str] | None = None) -> Iterator[pa.RecordBatch]:
         for b in by_batches(batches):
@@ -335,6 +345,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     schema = f"id {kind}, url string, text string, n_chars long"
     if len(few) <= broadcast_hosts:
         known = {x.host: x.path for x in few}
+        discard(winners)
         out = rows.mapInArrow(lambda bs: run(bs, known), schema)
     else:
 
@@ -342,7 +353,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             for b in by_batches(batches):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([host_of(u) for u in texts(b, "url")], pa.string())], ["id", "url", "html", "host"])
 
-        dealt = rows.mapInArrow(with_hosts, f"id {kind}, url string, html string, host string").withColumn("salt", (F.rand(1) * 16).cast("int"))
+        dealt = rows.mapInArrow(with_hosts, f"id {kind}, url string, html string, host string").withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(16)).cast("int"))
         wide = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
         out = dealt.join(wide, ["host", "salt"], "left").select("id", "url", "html", "path").mapInArrow(run, schema)
     return out.withColumnsRenamed({"id": id_col, "url": url_col})
