@@ -59,6 +59,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, as idle Python workers would keep it (where the C library has the call)."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_C, "malloc_trim", None):
+        trim(0)
+
+
 def id_bucket(col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))

@@ -6,13 +6,15 @@ training token in turn is deleted from the counts that predict it. All counts co
 
 Tokens travel in blocks of numpy arrays: each block of documents sends its distinct words and pairs to the hash range
 they belong to, once, with its own counts; ranges add up and answer each block with the totals. A frequent word is one
-entry per block, so no key is heavy. The last two passes (learning weights, scoring) read blocks with their totals and
-need no further shuffle.
+entry per block, so no key is heavy. A block has a row for a range only if it has entries there, so there are never more
+rows than entries. The last two passes (learning weights, scoring) read blocks with their totals and need no further
+shuffle. What a worker holds is bounded by a block, a range, or a slice of tokens.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, by_batches, discard, id_bucket, materialize, mix64, pack, unpack, word_windows
+from .common import arrow_limits, by_batches, discard, id_bucket, materialize, mix64, pack, release_memory, unpack, word_windows
 
-#: UTF-8 bytes of text in a block, and entries in a hash range.
-BLOCK_BYTES, RANGE_ENTRIES = 16 << 20, 3_000_000
+#: UTF-8 bytes of text in a block, tokens for each hash range, and tokens that are looked at together.
+BLOCK_BYTES, RANGE_TOKENS, SLICE = 16 << 20, 1_000_000, 1 << 18
 #: Context-frequency buckets: 0, then powers of two.
 BUCKETS = 34
 #: Steps per doubling in which probabilities are held for learning weights.
@@ -64,6 +66,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     ids, held, words, size = [], [], [], 0
         if ids:
             yield emit()
+        release_memory()
 
     return docs.mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, lens binary, vocab binary, tokens binary, n long")
 
@@ -76,15 +79,15 @@ class Block:
 
     def __init__(self, held: list[bool], lens: bytes, vocab: bytes, tokens: bytes, size: int = 0):
         self.lens = unpack(lens, np.int32).astype(np.int64)
-        self.vocab, words = unpack(vocab, np.uint64) if vocab else np.zeros(size, np.uint64), unpack(tokens, np.int32)
-        v, total = len(self.vocab), int(self.lens.sum()) + len(self.lens)
+        self.vocab, words = unpack(vocab, np.uint64) if vocab else None, unpack(tokens, np.int32)
+        v, total = size if self.vocab is None else len(self.vocab), int(self.lens.sum()) + len(self.lens)
         self.stops = np.cumsum(self.lens + 1)
         self.starts = self.stops - self.lens - 1
         last = np.zeros(total, bool)
         last[self.stops - 1] = True
-        self.cur = np.empty(total, np.int64)
+        self.cur = np.empty(total, np.int32)
         self.cur[~last], self.cur[last] = words, v
-        self.prev = np.empty(total, np.int64)
+        self.prev = np.empty(total, np.int32)
         self.prev[1:] = self.cur[:-1]
         self.prev[self.starts] = v + 1
         self.train = np.repeat(~np.array(held, bool), self.lens + 1)
@@ -93,8 +96,11 @@ class Block:
         """Distinct hashes of word pairs, and each token's place among them."""
         h = np.concatenate([self.vocab, [_END, _START]])
         with np.errstate(over="ignore"):
-            keys = mix64(h[self.prev] * np.uint64(0x9E3779B97F4A7C15) + h[self.cur])
-        return np.unique(keys, return_inverse=True)
+            keys = (h * np.uint64(0x9E3779B97F4A7C15))[self.prev]
+            keys += h[self.cur]
+            keys = mix64(keys)
+        known, at = np.unique(keys, return_inverse=True)
+        return known, at.astype(np.int32)
 
 
 def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
@@ -104,19 +110,25 @@ def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _counted(blocks: DataFrame, ranges: int) -> DataFrame:
-    """For each block and hash range, the block's sorted distinct words and pairs with their training counts."""
+    """For each block and each hash range that it has entries in, its sorted distinct words and pairs there with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
                 x = Block(row["held"], row["lens"], row["vocab"], row["tokens"])
                 by_hash = np.argsort(x.vocab)
                 vocab, words = x.vocab[by_hash], np.bincount(x.cur[x.train], minlength=len(x.vocab) + 2)[: len(x.vocab)][by_hash]
                 keys, at = x.pairs()
                 pairs = np.bincount(at[x.train], minlength=len(keys))
+                del x, at, by_hash
                 w, p = _ranges(vocab, ranges), _ranges(keys, ranges)
-                cells = [[pack(v[s[r] : s[r + 1]], up) for r in range(ranges)] for v, s, up in ((vocab, w, True), (words, w, False), (keys, p, True), (pairs, p, False))]
-                yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([row["block"]] * ranges, pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], ["range", "block", "words", "word_n", "pairs", "pair_n"])
+                some = np.flatnonzero((np.diff(w) > 0) | (np.diff(p) > 0)).tolist()
+                for at in range(0, len(some), 256):
+                    part = some[at : at + 256]
+                    cells = [[pack(v[s[r] : s[r + 1]], up) for r in part] for v, s, up in ((vocab, w, True), (words, w, False), (keys, p, True), (pairs, p, False))]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([row["block"]] * len(part), pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], ["range", "block", "words", "word_n", "pairs", "pair_n"])
+        release_memory()
 
     return blocks.select("block", "held", "lens", "vocab", "tokens").mapInArrow(run, "range int, block long, words binary, word_n binary, pairs binary, pair_n binary")
 
@@ -126,12 +138,19 @@ def _totals(table: pa.Table) -> pa.Table:
     out, distinct = [], 0
     for keys, counts in (("words", "word_n"), ("pairs", "pair_n")):
         parts = [unpack(x, np.uint64, True) for x in table.column(keys).to_pylist()]
+        sizes = [len(p) for p in parts]
         own = np.concatenate([unpack(x, np.int64) for x in table.column(counts).to_pylist()])
-        known, at = np.unique(np.concatenate(parts), return_inverse=True)
+        flat = np.concatenate(parts)
+        del parts
+        known, at = np.unique(flat, return_inverse=True)
+        del flat
         total = np.bincount(at, own, len(known)).astype(np.int64)
         if keys == "words":
             distinct = int((total > 0).sum())
-        out.append([pack(x) for x in np.split(total[at], np.cumsum([len(p) for p in parts])[:-1])])
+        ends = np.cumsum([0, *sizes])
+        out.append([pack(total[at[a:b]]) for a, b in zip(ends, ends[1:])])
+        del known, at, own, total
+    release_memory()
     return pa.table({"range": table.column("range"), "block": table.column("block"), "word_n": pa.array(out[0], pa.binary()), "pair_n": pa.array(out[1], pa.binary()), "distinct": pa.array([distinct] + [0] * (table.num_rows - 1), pa.int64())})
 
 
@@ -148,6 +167,8 @@ def _answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
         words = np.empty(len(x.vocab), np.int64)
         words[np.argsort(x.vocab)] = read(right, "word")
         pairs = read(right, "pair")[x.pairs()[1]]
+        del x
+        release_memory()
         return pa.table({"ids": left.column("ids"), "held": left.column("held"), "lens": left.column("lens"), "tokens": left.column("tokens"), "word_n": pa.array([pack(words)], pa.binary()), "pair_n": pa.array([pack(pairs)], pa.binary()), "distinct": pa.array([sum(right.column("distinct").to_pylist())], pa.int64())})
 
     kind = blocks.schema["ids"].dataType.simpleString()
@@ -155,12 +176,15 @@ def _answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def _read(row: dict, train_docs: int) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
-    """A block with, for each token, the totals of its word, of its context and of the pair."""
-    words, pairs = unpack(row["word_n"], np.int64), unpack(row["pair_n"], np.int64)
-    x = Block(row["held"], row["lens"], b"", row["tokens"], len(words))
-    known = np.concatenate([words, [train_docs, train_docs]])
-    return x, known[x.cur], known[x.prev], pairs
+def _read(batch: pa.RecordBatch, train_docs: int) -> Iterator[tuple[Block, list, Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]]]:
+    """Blocks, their ids and, for slices of their tokens, the totals of the word, of its context and of the pair."""
+    for i in range(batch.num_rows):
+        row = batch.slice(i, 1).to_pylist()[0]
+        words, pairs = unpack(row["word_n"], np.int64), unpack(row["pair_n"], np.int64)
+        x = Block(row["held"], row["lens"], b"", row["tokens"], len(words))
+        known = np.concatenate([words, [train_docs, train_docs]])
+        slices = (slice(j, j + SLICE) for j in range(0, len(pairs), SLICE))
+        yield x, row, ((s, known[x.cur[s]], known[x.prev[s]], pairs[s]) for s in slices)
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -209,7 +233,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = materialize(_blocks(rows), "lm-blocks")
     tokens = blocks.agg(F.sum("n")).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(tokens / RANGE_ENTRIES))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(tokens / RANGE_TOKENS))
     answers = _counted(blocks, ranges).groupBy("range").applyInArrow(_totals, "range int, block long, word_n binary, pair_n binary, distinct long")
     full = materialize(_answered(blocks, answers), "lm-totals")
     discard(blocks)
@@ -229,14 +253,18 @@ def lm_scores(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col
     uniform = 1 / (distinct + 1)
 
     def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter = Counter()  # at most as many cells as there are in all
         for b in batches:
-            for row in b.to_pylist():
-                x, word, context, pair = _read(row, train_docs)
-                t = x.train
-                word, context, pair = word[t] - 1, context[t] - 1, pair[t] - 1
-                steps = [np.where(n > 0, np.floor(-np.log2(np.maximum(_ratio(n, d), 1e-300)) * STEPS), -1).astype(np.int64) for n, d in ((pair, context), (word, np.full(len(word), total - 1)))]
-                cell, at = np.unique((context_bucket(context) << 20) | (steps[0] + 1 << 10) | (steps[1] + 1), return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell >> 20), pa.array((cell >> 10 & 1023) - 1), pa.array((cell & 1023) - 1), pa.array(np.bincount(at, minlength=len(cell)))], ["bucket", "pair", "word", "n"])
+            for x, _, slices in _read(b, train_docs):
+                for s, word, context, pair in slices:
+                    t = x.train[s]
+                    word, context, pair = word[t] - 1, context[t] - 1, pair[t] - 1
+                    steps = [np.where(n > 0, np.floor(-np.log2(np.maximum(_ratio(n, d), 1e-300)) * STEPS), -1).astype(np.int64) for n, d in ((pair, context), (word, np.full(len(word), total - 1)))]
+                    cell, n = np.unique((context_bucket(context) << 20) | (steps[0] + 1 << 10) | (steps[1] + 1), return_counts=True)
+                    sums.update(dict(zip(cell.tolist(), n.tolist(), strict=True)))
+        cell = np.array(list(sums), np.int64)
+        release_memory()
+        yield pa.RecordBatch.from_arrays([pa.array(cell >> 20), pa.array((cell >> 10 & 1023) - 1), pa.array((cell & 1023) - 1), pa.array(list(sums.values()), pa.int64())], ["bucket", "pair", "word", "n"])
 
     # at most BUCKETS * (64 * STEPS)**2 cells, however large the corpus
     cells = full.mapInArrow(deleted, "bucket long, pair long, word long, n long").groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()
@@ -245,14 +273,17 @@ def lm_scores(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.field("ids").type.value_type
-            for row in b.to_pylist():
-                x, word, context, pair = _read(row, train_docs)
-                w = weights[context_bucket(context)]
-                p = w[:, 0] * uniform + w[:, 1] * _ratio(word, np.full(len(word), total)) + w[:, 2] * _ratio(pair, context)
-                base = np.log10((word + 0.1) / (total + 0.1 * (distinct + 1)))
-                sums = [np.add.reduceat(v, x.starts) for v in (base, np.log10(p), (word > 0).astype(np.int64))] if len(x.starts) else [np.zeros(0)] * 3
+            for x, row, slices in _read(b, train_docs):
+                base, mixed, known = np.empty(len(x.cur)), np.empty(len(x.cur)), np.empty(len(x.cur), bool)
+                for s, word, context, pair in slices:
+                    w = weights[context_bucket(context)]
+                    mixed[s] = np.log10(w[:, 0] * uniform + w[:, 1] * _ratio(word, np.full(len(word), total)) + w[:, 2] * _ratio(pair, context))
+                    base[s] = np.log10((word + 0.1) / (total + 0.1 * (distinct + 1)))
+                    known[s] = word > 0
+                sums = [np.add.reduceat(v, x.starts) for v in (base, mixed, known.view(np.int8).astype(np.int64))] if len(x.starts) else [np.zeros(0)] * 3
                 n = len(x.starts)
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], at), pa.array(row["held"], pa.bool_()), pa.array(x.lens + 1), pa.array(sums[2].astype(np.int64)), pa.array(np.full(n, total)), pa.array(sums[0]), pa.array(sums[1])], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        release_memory()
 
     out = full.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
