@@ -28,15 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Small Arrow batches, so that very long texts do not pile up in one Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Small Arrow batches, so that very long texts do not pile up in one Python worker.
+
+    Plans read these settings when they run, after this returns, so they stay; what the caller set lower stays too.
+    """
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        own = spark.conf.get(key)
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the cluster names none (tests)."""
-    conf = spark.sparkContext.getConf()
-    if not (at := conf.get("spark.checkpoint.dir", None)):
+    """The folder that all executors share; a local one only where driver and executors are one process (tests)."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"on {master}, spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "ticklake-scratch")
     return at.rstrip("/")
 
