@@ -1,24 +1,24 @@
-"""Benchmark decontamination: rare n-gram seeds bring training passages and test items together, local alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds join training passages to test items, local alignment scores them.
 
 Seeds are three words of the test items, in a row or with one left out between them (so that a copy of which every
 third word is another one still has some), of each item and form the rarest ones by document frequency in the whole corpus, so
 that phrases everybody uses start no alignment, while a passage that leaked into very many documents keeps its seeds.
-Around each shared seed a stretch of the document is aligned with the item by Smith-Waterman over words; the score is
-divided by that of the item with itself.
+Seeds, items and documents are tables. A bitmap of fixed size tells which of a document's grams may be known; those are
+joined to the seeds. Around each shared seed a stretch of the document is aligned with the item by Smith-Waterman over
+words; the score is divided by that of the item with itself.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, by_batches, mix64, texts, word_windows
+from .common import arrow_limits, by_batches, discard, materialize, mix64, texts, word_windows
 
 #: Words of a seed; share of an item's n-grams of a form, rarest first, that serve as seeds; and at least so many; up to so many words all do.
 SEED_WORDS, SEED_SHARE, SEED_LEAST, SEED_SHORT = 3, 0.75, 6, 24
@@ -27,8 +27,10 @@ SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score from which a document counts as contaminated.
 THRESHOLD = 0.5
-#: Characters of benchmark text that are held in a worker at once; a larger benchmark is taken in parts.
-BENCHMARK_PART = 32_000_000
+#: Bits of the map of known grams (2 MB, whatever the benchmark's size).
+FILTER_BITS = 24
+#: Rows up to which a table of seeds, and words up to which a table of items, is broadcast; salts of the join beyond.
+BROADCAST_SEEDS, BROADCAST_WORDS, BROADCAST_TEXTS, SALTS = 1_000_000, 4_000_000, 300_000, 16
 _PUNCTUATION = b".,;:!?\"'()[]"
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -81,153 +83,221 @@ def align(items: list[np.ndarray], stretches: list[np.ndarray]) -> tuple[np.ndar
     return best, end
 
 
-class Index:
-    """Seeds of a part of the benchmark: gram -> items and places."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.words = [word_hashes(t) for _, t in items]
-        self.shapes = sorted({s for w in self.words for s in shapes_of(len(w))})
-        self.grams = [[grams(w, s) for s in shapes_of(len(w))] for w in self.words]
-        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(g for of in self.grams for g in of)]))
-        self._filter()
-
-    def _filter(self) -> None:
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def choose(self, frequency: np.ndarray) -> None:
-        """Keeps the rarest grams of each item and form; frequency: document counts in the order of self.known. Equal counts: by hash."""
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, g in ((item, g) for item, of in enumerate(self.grams) for g in of):
-            keep = max(SEED_LEAST, math.ceil(SEED_SHARE * len(g))) if len(self.words[item]) > SEED_SHORT else len(g)
-            count = frequency[np.searchsorted(self.known, g)]
-            for at in np.lexsort((g, count))[:keep].tolist():
-                self.places[int(g[at])].append((item, at))
-        self.known = np.array(sorted(self.places), np.uint64)
-        self._filter()
+def grams_of(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The number of each form (that of a whole short item is its number of words, negative) and its grams."""
+    for shape in shapes_of(len(words)):
+        yield (SHAPES.index(shape) if shape in SHAPES else -len(words)), grams(words, shape)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item (a number), item_id, n, words (bytes) and grams (form, gram, place) of the distinct items that have words."""
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count = TaskContext.get().partitionId(), 0
+        for b in by_batches(batches):
+            rows, at = [], []
+            for i, t in enumerate(texts(b)):
+                words = word_hashes(t)
+                if len(words):
+                    found = [{"form": f, "gram": h, "place": p} for f, g in grams_of(words) for p, h in enumerate(g.view(np.int64).tolist())]
+                    rows.append((part << 32 | count, len(words), words.tobytes(), found))
+                    at.append(i)
+                    count += 1
+            cells = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("form", pa.int32()), ("gram", pa.int64()), ("place", pa.int32())]))))]
+            yield pa.RecordBatch.from_arrays([cells[0], b.column(0).take(pa.array(at, pa.int64())), *cells[1:]], ["item", "item_id", "n", "words", "grams"])
+
+    known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
+    return known.mapInArrow(run, f"item long, item_id {kind}, n int, words binary, grams array<struct<form:int,gram:long,place:int>>")
+
+
+class Filter:
+    """A bitmap of grams that may be known: none that is known is missed."""
+
+    def __init__(self, grams_table: DataFrame, forms: list[int]):
+        place = F.col("gram").bitwiseAND((1 << FILTER_BITS) - 1)
+        size = 4096 * 8
+        maps = grams_table.select(F.floor(place / size).alias("at"), F.expr(f"bitmap_bit_position((gram & {(1 << FILTER_BITS) - 1}) % {size} + 1)").alias("bit")).groupBy("at").agg(F.expr("bitmap_construct_agg(bit)").alias("map")).collect()
+        bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)  # of fixed size
+        for m in maps:
+            bits[m["at"] * 4096 : (m["at"] + 1) * 4096] = np.frombuffer(m["map"], np.uint8)
+        self.bits = bits
+        self.shapes = [SHAPES[f] if f >= 0 else tuple(range(-f)) for f in forms]
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a document where a known gram starts, and the number of the gram."""
-        if not len(self.known):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, which = [], []
+        """Grams of a document that may be known, and the words at which they start."""
+        found, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for shape in self.shapes:
             g = grams(words, shape)
-            p = np.flatnonzero(self.bits[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            w = np.searchsorted(self.known, g[p])
-            ok = self.known[np.minimum(w, len(self.known) - 1)] == g[p]
-            at.append(p[ok])
-            which.append(w[ok])
-        return np.concatenate(at), np.concatenate(which)
-
-    def matches(self, batch: list[str], threshold: float) -> list[list[tuple[int, float, int]]]:
-        """For each text (item, score, word at which the alignment ends) of items at or above the threshold, by item."""
-        pairs, spans = [], []
-        docs = []
-        for d, text in enumerate(batch):
-            words = word_hashes(text)
-            docs.append(words)
-            at, which = self.hits(words)
-            starts: dict[int, set[int]] = defaultdict(set)
-            for p, w in zip(at.tolist(), which.tolist(), strict=True):
-                for item, place in self.places[int(self.known[w])]:
-                    starts[item].add(p - place)
-            for item, diagonals in starts.items():
-                size = len(self.words[item])
-                slack = max(3, size // 2)
-                stretch = None
-                for s in sorted(diagonals):
-                    lo, hi = max(0, s - slack), min(len(words), s + size + slack)
-                    if stretch and lo <= stretch[1]:
-                        stretch = (stretch[0], hi)
-                    else:
-                        if stretch:
-                            pairs.append((d, item))
-                            spans.append(stretch)
-                        stretch = (lo, hi)
-                if stretch:
-                    pairs.append((d, item))
-                    spans.append(stretch)
-        out: list[dict[int, tuple[float, int]]] = [{} for _ in batch]
-        order = sorted(range(len(pairs)), key=lambda i: spans[i][1] - spans[i][0])
-        i = 0
-        while i < len(order):
-            # the stretches of a batch are of like length
-            j = i + 1
-            while j < len(order) and (j - i) * (spans[order[j]][1] - spans[order[j]][0]) < 400_000:
-                j += 1
-            part = order[i:j]
-            i = j
-            score, end = align([self.words[pairs[x][1]] for x in part], [docs[pairs[x][0]][slice(*spans[x])] for x in part])
-            for x, s, e in zip(part, score.tolist(), end.tolist(), strict=True):
-                d, item = pairs[x]
-                share = s / (MATCH * len(self.words[item]))
-                if share >= threshold and share > out[d].get(item, (0, 0))[0]:
-                    out[d][item] = (share, spans[x][0] + e)
-        return [sorted((item, *v) for item, v in found.items()) for found in out]
-
-
-def build_indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> list[Index]:
-    """Indexes of the benchmark in parts of bounded size, with seeds chosen by document frequency over all of docs."""
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / BENCHMARK_PART))
-    out = []
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).distinct().orderBy("item_id", "text").collect()  # at most about BENCHMARK_PART characters
-        index = Index([(x.item_id, x.text) for x in own])
-
-        def count(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(index.known), np.int64)
-            for b in by_batches(batches):
-                for t in texts(b):
-                    total[np.unique(index.hits(word_hashes(t))[1])] += 1
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "docs"])
-
-        counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).collect()  # at most one row a gram of the part
-        frequency = np.zeros(len(index.known), np.int64)
-        for x in counted:
-            frequency[x.gram] = x.docs
-        index.choose(frequency)
-        out.append(index)
-    return out
+            low = (g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+            p = np.flatnonzero(self.bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+            found.append(g[p])
+            at.append(p)
+        return np.concatenate(found), np.concatenate(at)
+
+
+def _frequencies(rows: DataFrame, known: Filter) -> DataFrame:
+    """gram, docs: document counts of the grams of rows (id, text) that may be known, added up by batch first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_batches(batches):
+            own = [np.unique(known.hits(word_hashes(t))[0]) for t in texts(b)]
+            gram, docs = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(docs.astype(np.int64))], ["gram", "docs"])
+
+    return rows.select("text").mapInArrow(run, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
+
+
+def _seeds(items: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """gram, item, n, place: the rarest grams of each item and form (of equal ones, by hash and place)."""
+    every = items.select("item", "n", F.explode("grams").alias("g")).select("item", "n", "g.form", "g.gram", "g.place")
+    own = Window.partitionBy("item", "form")
+    ranked = every.join(frequencies, "gram", "left").withColumns({"r": F.row_number().over(own.orderBy(F.coalesce("docs", F.lit(0)), "gram", "place")), "of": F.count(F.lit(1)).over(own)})
+    keep = F.when(F.col("n") > SEED_SHORT, F.greatest(F.lit(SEED_LEAST), F.ceil(SEED_SHARE * F.col("of")))).otherwise(F.col("of"))
+    return ranked.where(F.col("r") <= keep).select("gram", "item", "n", "place")
+
+
+def _candidates(rows: DataFrame, known: Filter) -> DataFrame:
+    """key (a number), id, text and hits (gram, at) of the rows with a gram that may be a seed."""
+    kind = rows.schema["id"].dataType.simpleString()
+    struct = pa.struct([("gram", pa.int64()), ("at", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count = TaskContext.get().partitionId(), 0
+        for b in by_batches(batches):
+            keys, take, hits = [], [], []
+            for i, t in enumerate(texts(b)):
+                found, at = known.hits(word_hashes(t))
+                if len(found):
+                    keys.append(part << 32 | count)
+                    take.append(i)
+                    hits.append(pa.StructArray.from_arrays([pa.array(found.view(np.int64)), pa.array(at.astype(np.int32))], ["gram", "at"]))
+                    count += 1
+            ends = np.cumsum([0, *map(len, hits)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays([pa.array([], struct), *hits]))
+            own = b.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *own.columns, lists], ["key", "id", "text", "hits"])
+
+    return rows.mapInArrow(run, f"key long, id {kind}, text string, hits array<struct<gram:long,at:int>>")
+
+
+def _joined(large: DataFrame, small: DataFrame, on: str, salt: str, broadcast: bool) -> DataFrame:
+    """large with the rows of small: small goes to all tasks if it may, else it is repeated for each salt of the large side's rows."""
+    if broadcast:
+        return large.join(F.broadcast(small), on)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return large.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salted, [on, "_salt"]).drop("_salt")
+
+
+def stretches(diagonals: list[int], item: int, document: int) -> Iterator[tuple[int, int]]:
+    """Parts of a document of so many words around places where an item of so many words may start; those that touch are one."""
+    slack, held = max(3, item // 2), None
+    for d in sorted(diagonals):
+        lo, hi = max(0, d - slack), min(document, d + item + slack)
+        if held and lo <= held[1]:
+            held = (held[0], hi)
+        else:
+            if held:
+                yield held
+            held = (lo, hi)
+    if held:
+        yield held
+
+
+def _stretches(candidates: DataFrame, seeds: DataFrame, broadcast: bool) -> DataFrame:
+    """key, id, item, start, words: the stretches of each document to be aligned with each item that shares a seed."""
+    kind = candidates.schema["id"].dataType.simpleString()
+    hits = _joined(candidates.select("key", F.explode("hits").alias("h")).select("key", "h.gram", "h.at"), seeds, "gram", "key", broadcast)
+    # of one document and item: at most as many diagonals as the document has words
+    pairs = hits.groupBy("key", "item", "n").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
+    of_key = pairs.groupBy("key").agg(F.collect_list(F.struct("item", "n", "diagonals")).alias("pairs"))  # at most the items
+    wide = candidates.select("key", "id", "text").join(of_key, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_batches(batches):
+            rows, at = [], []
+            for i, (key, text, pairs) in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "text", "pairs")), strict=True)):
+                words = word_hashes(text)
+                for p in pairs:
+                    for lo, hi in stretches(p["diagonals"], p["n"], len(words)):
+                        rows.append((key, p["item"], lo, words[lo:hi].tobytes()))
+                        at.append(i)
+            cells = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([cells[0], b.column("id").take(pa.array(at, pa.int64())), *cells[1:]], ["key", "id", "item", "start", "stretch"])
+
+    return wide.mapInArrow(run, f"key long, id {kind}, item long, start long, stretch binary")
+
+
+def _aligned(pairs: DataFrame, threshold: float) -> DataFrame:
+    """key, id, item, item_id, score, end_word of the stretches that reach the threshold; pairs has stretch and words."""
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_batches(batches):
+            items, own, start = ([np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] if c != "start" else b.column(c).to_pylist() for c in ("words", "stretch", "start"))
+            order = sorted(range(b.num_rows), key=lambda i: len(own[i]))
+            score, end, i = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), 0
+            while i < len(order):
+                # the stretches of a batch are of like length
+                j = i + 1
+                while j < len(order) and (j - i) * len(own[order[j]]) < 400_000:
+                    j += 1
+                part = order[i:j]
+                i = j
+                best, at = align([items[x] for x in part], [own[x] for x in part])
+                for x, s, e in zip(part, best.tolist(), at.tolist(), strict=True):
+                    score[x], end[x] = s / (MATCH * len(items[x])), start[x] + e
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "id", "item", "item_id")), pa.array(score), pa.array(end)], ["key", "id", "item", "item_id", "score", "end_word"])
+            yield out.filter(pa.array(score >= threshold))
+
+    columns = ("key", "id", "item", "item_id")
+    return pairs.select(*columns, "start", "stretch", "words").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", score double, end_word long")
+
+
+def _matches(rows: DataFrame, benchmark: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of rows (id, text) that may match (key, text), and key, id, item, item_id, score, end_word of the matches."""
+    arrow_limits(rows.sparkSession)
+    items = materialize(_items(benchmark), "items")
+    every = items.select(F.explode("grams").alias("g")).select("g.gram", "g.form")
+    forms = sorted(r.form for r in every.select("form").distinct().collect())  # at most one a form
+    frequencies = materialize(_frequencies(rows, Filter(every, forms)), "frequencies")
+    seeds = materialize(_seeds(items, frequencies), "seeds")
+    candidates = materialize(_candidates(rows, Filter(seeds, forms)), "candidates")
+    pairs = _stretches(candidates, seeds, seeds.count() <= BROADCAST_SEEDS)
+    words = items.agg(F.sum("n")).first()[0] or 0
+    wide = _joined(pairs, items.select("item", "item_id", "words"), "item", "key", words <= BROADCAST_WORDS)
+    found = _aligned(wide, threshold).groupBy("key", "item").agg(F.max(F.struct("score", (-F.col("end_word")).alias("minus_end"), "id", "item_id")).alias("m"))
+    found = materialize(found.select("key", "m.id", "m.item_id", "m.score", (-F.col("m.minus_end")).alias("end_word")), "matches")
+    for table in (items, frequencies, seeds):
+        discard(table)
+    return candidates, found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, item_id, score, end_word: the pairs of a document and a test item whose alignment reaches the threshold.
 
     score is the best local alignment's score as a share of the item's own; end_word is the number of the document's
-    word at which it ends. A null or empty text, and an item without words, match nothing; rows of docs with equal or
-    null ids are looked at one by one; repeated items count once for each text; empty tables give an empty result;
-    other columns are not read.
+    word at which it ends (of equal scores, the first). Ids of documents and items may be of any type. A null or empty
+    text, a null item id, and an item without words match nothing; rows of docs with equal or null ids are looked at
+    one by one; repeated items count once for each text; empty tables give an empty result; other columns are not read.
     """
-    arrow_limits(docs.sparkSession)
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    found = None
-    for index in build_indexes(docs, benchmark, text_col):
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in by_batches(batches):
-                rows = [(i, *m) for i, found in enumerate(index.matches(texts(b), threshold)) for m in found]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64())], ["id", "item_id", "score", "end_word"])
-
-        part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, item_id {item_kind}, score double, end_word long")
-        found = part if found is None else found.unionByName(part)
-    return found.withColumnRenamed("id", id_col)
+    candidates, found = _matches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, threshold)
+    discard(candidates)
+    return found.select(F.col("id").alias(id_col), "item_id", "score", "end_word")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs that match no test item, with all their columns."""
-    arrow_limits(docs.sparkSession)
-    at = docs.columns.index(text_col)
-    for index in build_indexes(docs, benchmark, text_col):
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in by_batches(batches):
-                ts = ["" if t is None else t for t in b.column(at).to_pylist()]
-                yield b.filter(pa.array([not m for m in index.matches(ts, threshold)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of docs that match no test item, with all their columns.
+
+    A row goes if its text matches, whatever its id; rows with a null or empty text stay, in an empty table as well as
+    beside an empty benchmark all do. Texts that match are known by their SHA-256; up to BROADCAST_TEXTS of them go to
+    all tasks, more are joined by shuffle.
+    """
+    candidates, found = _matches(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), benchmark, threshold)
+    digest = lambda c: F.unhex(F.sha2(F.col(c), 256))
+    bad = materialize(candidates.join(found.select("key").distinct(), "key", "left_semi").select(digest("text").alias("_digest")).distinct(), "contaminated")
+    discard(candidates)
+    discard(found)
+    if bad.count() <= BROADCAST_TEXTS:
+        bad = F.broadcast(bad)
+    return docs.join(bad, digest(text_col) == F.col("_digest"), "left_anti")
