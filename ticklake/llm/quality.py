@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, by_batches, id_bucket, materialize, texts
+from .common import arrow_limits, by_batches, discard, id_bucket, materialize, texts
 
 STATISTICS = ("log_chars", "log_words", "mean_word", "long_words", "upper", "digits", "symbols", "pipes", "stops", "non_ascii", "spaces", "lines", "distinct_words", "distinct_lines", "distinct_pairs", "top_word", "shouted", "marked", "byte_entropy", "squeezed", "capital_words", "bare_words", "short_words")
 _UPPER, _DIGIT = slice(65, 91), slice(48, 58)
@@ -70,11 +70,12 @@ def _design(x, mean, scale, weights, phase) -> np.ndarray:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-decreasing least-squares fit of y on x by pooling adjacent violators: knots and levels for interpolation."""
-    order = np.argsort(x, kind="stable")
+    at, own = np.unique(x, return_inverse=True)  # equal x are one point
+    sums, weights = np.bincount(own, y, len(at)), np.bincount(own, minlength=len(at))
     blocks: list[list[float]] = []  # sum, weight, first x, last x
-    for a, b in zip(x[order], y[order], strict=True):
-        blocks.append([float(b), 1.0, float(a), float(a)])
-        while len(blocks) > 1 and (blocks[-1][2] == blocks[-2][3] or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]):
+    for v, s, w in zip(at.tolist(), sums.tolist(), weights.tolist(), strict=True):
+        blocks.append([s, float(w), v, v])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, w, _, last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + w, blocks[-1][2], last]
     knots = np.array([v for b in blocks for v in (b[2], b[3])])
@@ -82,30 +83,38 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return knots, np.maximum.accumulate(levels)
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id and _stats (array of doubles) of every whole text."""
-    arrow_limits(docs.sparkSession)
+def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, seed: int) -> DataFrame:
+    """_stats, _y and _late of at most about max_rows labelled documents; docs has _id and _text.
+
+    Labels are chosen by a hash of their id and sent to all tasks (max_rows of an id, a number and a mark), so that
+    statistics are computed of chosen rows only. A repeated label counts once, with its largest value; an id that
+    several rows share counts once, with the smallest of their statistics; null ids and labels are left out.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_known")).agg(F.max(label).cast("double").alias("_y"))
+    total = known.count()
+    part = F.pmod(F.xxhash64(F.lit(seed), "_known"), F.lit(1_000_000))
+    late = F.pmod(F.xxhash64(F.lit(seed + 1), "_known"), F.lit(10)) == 0
+    chosen = known.where(part < F.lit(math.ceil(1e6 * min(1.0, max_rows / max(total, 1))))).withColumn("_late", late)
+    rows = docs.join(F.broadcast(chosen), F.col("_id") == F.col("_known")).select("_known", "_y", "_late", "_text")
+    kind = labels.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in texts(b, "_text")], pa.list_(pa.float64()))], ["_id", "_stats"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([statistics(t) for t in texts(b, "_text")], pa.list_(pa.float64()))], ["_known", "_y", "_late", "_stats"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _stats array<double>")
+    found = rows.mapInArrow(run, f"_known {kind}, _y double, _late boolean, _stats array<double>")
+    return found.groupBy("_known", "_y", "_late").agg(F.min("_stats").alias("_stats")).select("_stats", "_y", "_late")
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 60_000, features: int = 256, gamma: float = 0.02, ridge: float = 1e-4, seed: int = 11) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 60_000, features: int = 256, gamma: float = 0.02, ridge: float = 1e-4, seed: int = 11) -> Model | None:
     """The model of label 1 against 0, from at most about max_rows labelled rows (a documented bound).
 
-    stats has _id and _stats; labels has doc_id and the label. Rows beyond the bound are left out by a hash of the
-    id. A repeated label counts once, with its largest value; null ids and labels are left out. A tenth of the
-    labelled rows, by hash, serves the calibration alone. None if there are no labelled rows.
+    docs has _id and _text, labels has doc_id and the label; see labelled_statistics() for what is learned from. A
+    tenth of the labelled rows, by hash, serves the calibration alone; if there is none, as in tables of a few labelled
+    rows, all rows serve both. None if there are no labelled rows.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("double").alias("_y"))
-    total = known.count()
-    part = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1_000_000))
-    chosen = known.where(part < F.lit(math.ceil(1e6 * min(1.0, max_rows / max(total, 1)))))
-    rows = materialize(stats.join(chosen, "_id").select("_stats", "_y", (F.pmod(F.xxhash64(F.lit(seed + 1), "_id"), F.lit(10)) == 0).alias("_late")).coalesce(8), "quality-train")
+    table = materialize(labelled_statistics(docs, labels, label, max_rows, seed), "quality-train")
+    rows = table.coalesce(8)  # of the small table alone: what writes it is not held back
     n = len(STATISTICS)
     moments = rows.select([F.avg(F.col("_stats")[i]).alias(f"m{i}") for i in range(n)] + [F.stddev_pop(F.col("_stats")[i]).alias(f"s{i}") for i in range(n)] + [F.count("*").alias("n")]).first()
     if not moments["n"]:
@@ -128,50 +137,54 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_rows: i
     parts = early.mapInArrow(sums, "g binary, r binary").collect()  # one row of fixed size for each of 8 partitions
     g = sum(np.frombuffer(p.g) for p in parts).reshape(features + 1, -1)
     beta = np.linalg.solve(g + ridge * max(g[0, 0], 1) * np.diag([1e-9] + [1.0] * features), sum(np.frombuffer(p.r) for p in parts))
-    late = rows.where("_late").select("_stats", "_y").collect() or rows.select("_stats", "_y").limit(1000).collect()  # at most a tenth of max_rows
+    late = rows.where("_late").select("_stats", "_y").collect() or rows.select("_stats", "_y").collect()  # about a tenth of max_rows, or a few dozen rows
+    late.sort(key=lambda x: (x._stats, x._y))
+    discard(table)
     model = Model(mean, scale, weights, phase, beta, np.zeros(1), np.zeros(1))
     raw = model.raw(np.array([x._stats for x in late]))
     return Model(mean, scale, weights, phase, beta, *isotonic(raw, np.array([x._y for x in late])))
 
 
-def score(stats: DataFrame, model: Model | None) -> DataFrame:
-    """stats with _score (0 to 1, higher: label 1 likelier) in place of _stats; 0.5 without a model."""
-    if model is None:
-        return stats.withColumn("_score", F.lit(0.5)).drop("_stats")
-    at = stats.columns.index("_stats")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array(b.column(at).to_pylist()).reshape(b.num_rows, len(STATISTICS))
-            s = model.score(x) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(s) if i == at else c for i, c in enumerate(b.columns)], [*b.schema.names[:at], "_score", *b.schema.names[at + 1 :]])
-
-    return stats.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" if f.name != "_stats" else "_score double" for f in stats.schema.fields))
+def _scored(batch_texts: list[str], model: Model | None) -> np.ndarray:
+    """Scores of texts, 0.5 each without a model."""
+    if model is None or not batch_texts:
+        return np.full(len(batch_texts), 0.5)
+    return model.score(np.array([statistics(t) for t in batch_texts]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **fit_options) -> DataFrame:
     """id_col, held_out, score, predicted (1 if score >= threshold, else 0) for every document.
 
-    Learns from labelled rows whose crc32(id as text) mod 5 is not 0; the others are held out. Only the text enters a
-    score. A null text counts as empty and gets the score of zero statistics; rows with equal or null ids each get a
-    row (held_out of a null id is null); an empty table gives an empty result; other columns are not read.
+    Learns from labelled rows whose crc32(id as text) mod 5 is not 0; the others, and null ids, are held out. Only the
+    text enters a score. A null text counts as empty and gets the score of zero statistics; without labelled rows every
+    score is 0.5; rows with equal or null ids each get a row; an empty table gives an empty result; other columns are
+    not read.
     """
-    stats = materialize(document_statistics(docs, id_col, text_col), "quality-stats")
-    model = fit(stats, labels.where(id_bucket("doc_id", 5) != 0), **fit_options)
-    out = score(stats, model)
-    return out.select(F.col("_id").alias(id_col), (id_bucket("_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    arrow_limits(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    model = fit(rows, labels.where(id_bucket("doc_id", 5) != 0), **fit_options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_batches(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scored(texts(b, "_text"), model))], ["_id", "score"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = rows.mapInArrow(run, f"_id {kind}, score double")
+    return out.select(F.col("_id").alias(id_col), F.coalesce(id_bucket("_id", 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **fit_options) -> DataFrame:
-    """The rows of docs that the classifier accepts, with all their columns."""
-    model = fit(materialize(document_statistics(docs, id_col, text_col), "quality-stats"), labels.where(id_bucket("doc_id", 5) != 0), **fit_options)
-    if model is None:
-        return docs.where(F.lit(threshold <= 0.5))
+    """The rows of docs that the classifier accepts, with all their columns.
+
+    Each row is judged by its own text, also where ids are null or repeated; a null text counts as empty, and stays
+    null if its row is accepted. Without labelled rows every score is 0.5; an empty table gives an empty result.
+    """
+    arrow_limits(docs.sparkSession)
+    model = fit(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), labels.where(id_bucket("doc_id", 5) != 0), **fit_options)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_batches(batches):
-            if b.num_rows:
-                yield b.filter(pa.array(model.score(np.array([statistics(t) for t in texts(b, at)])) >= threshold))
+            yield b.filter(pa.array(_scored(texts(b, at), model) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
