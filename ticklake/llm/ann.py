@@ -5,7 +5,9 @@ orders them. Every ordering is cut into ranges of equal size; a query is compare
 and the neighbouring ones, in double precision, and the results of all orderings merge.
 
 The window is a share of the table, not a fixed number of rows: vectors without low-dimensional structure need that to
-keep the recall at any size. Equal vectors are searched for, and found, as one: of copies only as many of the smallest
+keep the recall at any size, at a cost that grows as queries times rows. Work is cut into units of bounded rows and
+queries, and within a unit into blocks: a single-precision product leaves out what is surely farther, the rest is
+measured in double precision. Equal vectors are searched for, and found, as one: of copies only as many of the smallest
 ids enter the index as a result can hold.
 """
 
@@ -19,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, materialize
+from .common import arrow_limits, discard, materialize
 
 #: Orderings; projected dimensions and bits each (64 bits of key); ranges of an ordering; ranges on either side that are searched.
 ORDERINGS, DIMENSIONS, BITS, RANGES, REACH = 12, 8, 8, 40, 2
-#: Least rows of a range (a small table has fewer ranges), and most rows and queries of one unit of work.
-RANGE_ROWS, UNIT_ROWS, UNIT_QUERIES = 200, 16_384, 2_048
+#: Least rows of a range (a small table has fewer ranges); rows and queries of one unit of work, and of a block of it.
+RANGE_ROWS, UNIT_ROWS, UNIT_QUERIES, BLOCK_ROWS, BLOCK_QUERIES = 200, 16_384, 2_048, 8_192, 256
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -95,18 +97,12 @@ def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
-    """id and vec (bytes) of the vectors that take part, and the bytes' kind.
-
-    Null, zero and non-finite vectors, null ids, and vectors of another length than most (of equally frequent lengths
-    the smallest) take no part.
-    """
+    """id and vec (bytes) of the vectors that take part, and the bytes' kind: null, empty, zero and non-finite vectors, and null ids, take none."""
     kind = "<f4" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
-    lengths = vectors.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = lengths[0].d if lengths else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [None if v is None or len(v) != dim or None in v else np.array(v, kind) for v in b.column(1).to_pylist()]
+            rows = [None if v is None or None in v else np.array(v, kind) for v in b.column(1).to_pylist()]
             good = [r is not None and bool(np.isfinite(r).all()) and bool(r.any()) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), pa.array([r.tobytes() for r, g in zip(rows, good, strict=True) if g], pa.binary())], ["id", "vec"])
 
@@ -114,18 +110,51 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, f"id {id_kind}, vec binary"), kind
 
 
+def closest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row of q, ids and exact cosines of its keep nearest rows of x, ties to smaller ids; in blocks."""
+    best: list[tuple[np.ndarray, np.ndarray]] = [(ids[:0], np.zeros(0))] * len(q)
+    slack = 4 * np.finfo(np.float32).eps * max(q.shape[1], 16)  # of a single-precision product of unit vectors
+    asked = _unit(q).astype(np.float32)
+    for at in range(0, len(x), BLOCK_ROWS):
+        rows, own = x[at : at + BLOCK_ROWS], ids[at : at + BLOCK_ROWS]
+        unit = _unit(rows).astype(np.float32).T
+        k = min(keep, len(own))
+        for i in range(0, len(q), BLOCK_QUERIES):
+            rough = asked[i : i + BLOCK_QUERIES] @ unit
+            least = np.partition(rough, len(own) - k, axis=1)[:, len(own) - k] - 2 * slack
+            for j, row in enumerate(rough, i):
+                near = np.flatnonzero(row >= least[j - i])
+                found = np.concatenate([best[j][0], own[near]]), np.concatenate([best[j][1], cosines(rows[near], q[j])])
+                order = np.lexsort((found[0], -found[1]))[:keep]
+                best[j] = found[0][order], found[1][order]
+    yield from best
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by every, its k nearest found by cosine.
 
     Nearest first, ties to the smaller id; all other vectors are candidates, and if there are fewer than k, all are
-    returned. See usable() for vectors that take no part; repeated ids with equal vectors count once; an empty table
-    gives an empty result; other columns are not read. Recall against brute force is measured in the tests.
+    returned. See usable() for vectors that take no part; vectors of one length are compared with each other; repeated
+    ids with equal vectors count once; an empty table gives an empty result; other columns are not read. Recall against
+    brute force is measured in the tests.
     """
     spark = vectors.sparkSession
     arrow_limits(spark)
     rows, kind = usable(vectors, id_col, vector_col)
     id_kind = rows.schema["id"].dataType.simpleString()
     rows = materialize(rows.distinct(), "ann-vectors")
+    out = None
+    for length in sorted(r[0] for r in rows.select(F.octet_length("vec")).distinct().collect()):  # one, as a rule
+        own = _nearest(rows.where(F.octet_length("vec") == length), kind, k, every)
+        out = own if out is None else out.unionByName(own)
+    discard(rows)
+    return spark.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score double") if out is None else out
+
+
+def _nearest(rows: DataFrame, kind: str, k: int, every: int) -> DataFrame:
+    """nearest() of distinct rows (id, vec) of one length."""
+    spark = rows.sparkSession
+    id_kind = rows.schema["id"].dataType.simpleString()
     copies = rows.withColumn("copy", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("copy") <= k + 1).drop("copy")
     copies = materialize(copies, "ann-index")
 
@@ -145,10 +174,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     # each partition sums its own part, 64 groups sum the parts, the driver at most 64 rows of fixed size
     parts = copies.select("vec").mapInArrow(sums, "n long, s binary, c binary").withColumn("g", F.pmod(F.xxhash64("s"), F.lit(64)))
     moments = parts.groupBy("g").applyInArrow(add, "n long, s binary, c binary").collect()
-    schema = f"query_id {id_kind}, rank int, vec_id {id_kind}, score double"
     n = sum(m.n for m in moments)
-    if not n:
-        return spark.createDataFrame([], schema)
     mean = sum(np.frombuffer(m.s) for m in moments) / n
     covariance = sum(np.frombuffer(m.c) for m in moments).reshape(len(mean), -1) / n - np.outer(mean, mean)
     orders = Orderings(mean, covariance)
@@ -170,7 +196,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     else:
         cuts = [np.zeros(0, np.int64)] * ORDERINGS
     used = ORDERINGS if ranges > 2 * REACH + 1 else 1  # one ordering already covers everything
-    pieces = max(1, math.ceil(n / ranges / UNIT_ROWS))
+    queries_here = queries.count() * min(2 * REACH + 1, ranges) / ranges
+    pieces, turns = max(1, math.ceil(n / ranges / UNIT_ROWS)), max(1, math.ceil(queries_here / UNIT_QUERIES))
 
     def dealt(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,31 +214,23 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(order), pa.int32()), pa.array(np.concatenate(at), pa.int32()), b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take))], ["o", "at", "id", "vec"])
 
     placed = f"o int, at int, id {id_kind}, vec binary"
-    stored = index.mapInArrow(lambda b: dealt(b, 0), placed).withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(pieces)))
-    asked = distinct_queries.mapInArrow(lambda b: dealt(b, 1), placed).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)).cast("array<bigint>")))
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"))
+    stored = index.mapInArrow(lambda b: dealt(b, 0), placed).withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(pieces))).withColumn("turn", all_of(turns))
+    asked = distinct_queries.mapInArrow(lambda b: dealt(b, 1), placed).withColumn("piece", all_of(pieces)).withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(turns)))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
-            ids = np.array(right.column("id").to_pylist())
-            x = _matrix(right.column("vec"), kind)
-            unit = _unit(x)
-            asking, q = left.column("id").to_pylist(), _matrix(left.column("vec"), kind)
-            for i in range(0, len(asking), UNIT_QUERIES):
-                rough = _unit(q[i : i + UNIT_QUERIES]) @ unit.T
-                keep = min(k + 1, len(ids))
-                least = np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep] - 1e-9
-                for j, row in enumerate(rough):
-                    near = np.flatnonzero(row >= least[j])
-                    exact = cosines(x[near], q[i + j])
-                    best = np.lexsort((ids[near], -exact))[:keep]
-                    out[0].extend([asking[i + j]] * len(best))
-                    out[1].extend(ids[near][best].tolist())
-                    out[2].extend(exact[best].tolist())
+            asking = left.column("id").to_pylist()
+            found = closest(_matrix(left.column("vec"), kind), _matrix(right.column("vec"), kind), np.array(right.column("id").to_pylist()), k + 1)
+            for q, (ids, scores) in zip(asking, found, strict=True):
+                out[0].extend([q] * len(ids))
+                out[1].extend(ids.tolist())
+                out[2].extend(scores.tolist())
         at = left.schema.field("id").type
         return pa.table({"q": pa.array(out[0], at), "vec_id": pa.array(out[1], at), "score": pa.array(out[2], pa.float64())})
 
-    unit = ("o", "at", "piece")
+    unit = ("o", "at", "piece", "turn")
     found = asked.groupBy(*unit).cogroup(stored.groupBy(*unit)).applyInArrow(search, f"q {id_kind}, vec_id {id_kind}, score double")
     found = found.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
@@ -219,5 +238,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     named = queries.select(F.col("id").alias("query_id"), "vec").join(queries.groupBy("vec").agg(F.min("id").alias("q")), "vec").drop("vec")
     result = named.join(found, "q").where(F.col("query_id") != F.col("vec_id"))
     ranked = result.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    out = materialize(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-found")
+    for table in (copies, index):
+        discard(table)
+    return out
