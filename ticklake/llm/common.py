@@ -163,29 +163,50 @@ def mix64(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def word_windows(text: str | bytes, k: int, whole_if_short: bool = True) -> tuple[np.ndarray, int]:
-    """64-bit hashes of all k-word windows (A-Z lower-cased, words joined by one space) and the number of words.
+#: Bytes of text that are hashed at once; a longer word stands for itself by a digest.
+HASHED = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 
-    With fewer than k words, the whole sequence is one window (or there is none, if not whole_if_short).
-    """
-    words = (text.encode() if isinstance(text, str) else text).lower().split()
-    n = len(words)
-    if n == 0 or (n < k and not whole_if_short):
-        return np.zeros(0, np.uint64), n
+
+def _windows(words: list[bytes], k: int) -> np.ndarray:
+    """Hashes of all windows of k words, at least one of which there is."""
     joined = b" ".join(words)
     data = np.frombuffer(joined, np.uint8)
     gaps = np.flatnonzero(data == 32)
-    starts = np.concatenate([[0], gaps + 1])
-    ends = np.concatenate([gaps, [len(data)]])
-    if n < k:
-        starts, ends = starts[:1], ends[-1:]
-    else:
-        starts, ends = starts[: n - k + 1], ends[k - 1 :]
+    starts = np.concatenate([[0], gaps + 1])[: len(words) - k + 1]
+    ends = np.concatenate([gaps, [len(data)]])[k - 1 :]
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), n
+        return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_windows(text: str | bytes, k: int, whole_if_short: bool = True) -> tuple[np.ndarray, int]:
+    """64-bit hashes of all k-word windows (A-Z lower-cased, words joined by one space) and the number of words.
+
+    With fewer than k words, the whole sequence is one window (or there is none, if not whole_if_short). Long texts
+    are taken in parts, each with the last k - 1 words before it.
+    """
+    data = text.encode() if isinstance(text, str) else text
+    out, words, n, at = [], [], 0, 0
+    while at < len(data):
+        stop = len(data)
+        if stop - at > HASHED:
+            gap = _GAP.search(data, at + HASHED)
+            stop = gap.end() if gap else stop
+        new = data[at:stop].lower().split()
+        if stop - at > HASHED:
+            new = [w if len(w) <= HASHED else xxhash.xxh3_128_hexdigest(w).encode() + b"\0" for w in new]
+        at = stop
+        n += len(new)
+        words = words + new
+        if len(words) >= k:
+            out.append(_windows(words, k))
+            words = words[len(words) - k + 1 :]
+    if n and n < k and whole_if_short:
+        out.append(_windows(words, n))
+    return (out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.uint64), *out])), n
 
 
 def pack(a: np.ndarray, ascending: bool = False) -> bytes:

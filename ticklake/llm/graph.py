@@ -34,7 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
             tree = flat
             if done:
                 break
-        tree = tree.select("hi", "lo")
         low = tree.select(F.col("hi").alias("_at"), F.col("lo").alias("_root"))
         high = tree.select(F.col("hi").alias("_from"), F.col("lo").alias("_to"))
         roots = left.join(high, left.hi == high._from).select("_to", "lo").join(low, F.col("lo") == F.col("_at"), "left").select(F.col("_to").alias("a"), F.coalesce("_root", "lo").alias("b"))
@@ -43,7 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is not None:
             moved = labels.join(low, F.col("comp") == F.col("_at"), "left").select("node", F.coalesce("_root", "comp").alias("comp"))
             new = moved.unionByName(new)
-        labels = materialize(new, "labels")
-        discard(left)
+        before, labels = labels, materialize(new, "labels")
+        for table in (left, tree, before):
+            if table is not None:
+                discard(table)
         left = contracted
     return labels if labels is not None else left.select(F.col("hi").alias("node"), F.col("lo").alias("comp"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, by_batches, materialize, texts, word_windows
+from .common import arrow_limits, by_batches, discard, materialize, texts, word_windows
 from .graph import components
 
 #: 32 bands of 5 registers: a pair at similarity 0.85 is missed with probability 1e-8, at 0.8 with 3e-6.
@@ -30,6 +30,8 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Members of a bucket up to which all its pairs are estimated; rows of a prefix group that are compared in one go.
 BLOCK, HOT_BLOCK = 64, 2048
+#: Groups (a key and a few numbers each) that are broadcast.
+BROADCAST_GROUPS = 100_000
 #: An empty bucket takes the register of the first filled bucket in its own fixed order of all buckets.
 _ORDERS = np.stack([np.random.default_rng(4000 + j).permutation(REGISTERS) for j in range(REGISTERS)])
 
@@ -224,6 +226,16 @@ def _shingles(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return wide.select("rep", "comp", "n", "sid", "text").mapInArrow(run, f"rep {kind}, comp {kind}, n long, shingle long")
 
 
+def _with_groups(rows: DataFrame, key: str, *aggregates: F.Column, where: str = "true") -> DataFrame:
+    """rows, of groups by key that fulfil where, with the group's size and its other aggregates.
+
+    Groups are counted with partial sums, so a heavy one is no heavy task. Up to BROADCAST_GROUPS of them go to all
+    tasks; more are joined by key, and Spark splits the partition of a heavy one.
+    """
+    groups = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"), *aggregates).where(where), "groups")
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, key)
+
+
 def _across_hot(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs of different components among the members of large buckets that can reach the similarity.
 
@@ -232,11 +244,12 @@ def _across_hot(members: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     after it is enough for the overlap that the sizes ask for. The rarest shingles are the edits by which a copy
     differs, so copies that have nothing but a common original in common do not meet.
     """
-    by = Window.partitionBy("shingle")
-    rows = _shingles(members, docs, k).withColumn("df", F.count(F.lit(1)).over(by))
+    shingles = materialize(_shingles(members, docs, k), "shingles")
+    rows = _with_groups(shingles, "shingle").withColumnRenamed("size", "df")
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")) - 1)
-    heads = rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).drop("df")
-    mixed = heads.withColumns({"size": F.count(F.lit(1)).over(by), "low": F.min("comp").over(by), "high": F.max("comp").over(by)}).where("low <> high")
+    heads = materialize(rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).drop("df"), "heads")
+    discard(shingles)
+    mixed = _with_groups(heads, "shingle", F.min("comp").alias("low"), F.max("comp").alias("high"), where="low <> high")
 
     def test(x: tuple, y: list[np.ndarray]) -> np.ndarray:
         most = 1 + np.minimum(x[0] - x[1] - 1, y[0] - y[1] - 1)
@@ -262,16 +275,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     width = 2 * ROWS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * width + 1, F.lit(width))))
     keys = reps.select("rep", F.explode(band).alias("key"))
-    buckets = materialize(keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    met = materialize(keys.join(buckets, "key"), "members")
+    met = materialize(_with_groups(keys, "key", F.min("rep").alias("pivot"), where="size > 1"), "members")
     stars = materialize(met.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = materialize(_confirmed(_estimated(stars, reps, percent), base, k, percent).distinct(), "links")
     labels = components(links)
 
     # Buckets of three or more that still hold several components: pairs between these.
-    large = met.where("size > 2").join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
-    mixed = large.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rest = materialize(large.join(mixed, "key", "left_semi").join(reps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r"), "mixed")
+    large = met.where("size > 2").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    large = materialize(large, "large")
+    discard(met)
+    mixed = _with_groups(large, "key", F.min("comp").alias("low"), F.max("comp").alias("high"), where="low <> high").drop("low", "high")
+    rest = materialize(mixed.join(reps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r"), "mixed")
+    discard(large)
     hot = rest.where(F.col("size") > BLOCK).select("rep", "comp", "n", "sid").distinct()
     marked = rest.where(F.col("size") <= BLOCK).join(hot.select(F.col("rep").alias("h")), F.col("rep") == F.col("h"), "left").withColumn("hot", F.col("h").isNotNull())
     few = _across(marked.select("key", "size", "rep", "comp", "n", "regs", "hot"), percent)
@@ -279,17 +294,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     across = materialize(few.unionByName(many).distinct().join(stars, ["a", "b"], "left_anti"), "across")
     more = materialize(_confirmed(_estimated(across, reps, percent), base, k, percent).distinct(), "links")
     if not more.isEmpty():
+        discard(labels)
         labels = components(links.unionByName(more))
+    for table in (stars, links, rest, across, more):
+        discard(table)
 
     of_set = reps.select("sid", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("sid").alias("s"), F.coalesce("comp", "rep").alias("comp"))
     out = sketched.drop("regs").join(of_set, F.col("sid") == F.col("s"), "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("comp", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    out = materialize(out, "near-duplicates")
+    for table in (sketched, reps, labels):
+        discard(table)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which near_duplicates() keeps the id, with all their columns; of rows with one id, one."""
-    judged = materialize(near_duplicates(docs, k, percent, id_col, text_col), "near-duplicates")
+    judged = near_duplicates(docs, k, percent, id_col, text_col)
     gone = judged.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
     out = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
     ids = judged.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
