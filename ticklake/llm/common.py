@@ -94,6 +94,18 @@ def span_array(rows: list[list[tuple[str, int, int]]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["kind", "start", "end"]))
 
 
+def joined(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the parts of a text that spans cover."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 

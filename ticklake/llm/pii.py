@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPANS, arrow_limits, by_batches, span_array, texts
+from .common import SPANS, arrow_limits, by_batches, joined, span_array, texts
 from .crf import CRF
 
 #: The known forms, in the order in which ties are listed.
@@ -21,15 +23,11 @@ LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+ANY = re.compile("[0-9@]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: The labels of the random field; O is none.
 FIELDS = ("email", "ip", "card", "phone", "id")
-#: Words that start a sequence: those with a digit or an at sign, and spelled-out signs.
-TRIGGER = re.compile(r"[0-9@]|^[\[(]?(?:at|dot)[\])]$")
-REACH = 6
-
-
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -126,66 +124,52 @@ def fit(rows: int = 400, seed: int = 7) -> CRF:
 WORD = re.compile(r"\S+")
 
 
-def sequences(text: str, matters: re.Pattern = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]")) -> list[list[tuple[str, int]]]:
-    """Runs of words, within a line, that have a trigger among the REACH words on either side; (word, start)."""
-    out, line_end = [], -1
-    for m in matters.finditer(text):
-        if m.start() < line_end:
-            continue
-        line_start = text.rfind("\n", 0, m.start()) + 1
-        line_end = text.find("\n", m.start())
-        line_end = len(text) if line_end < 0 else line_end
-        words = [(w.group(), w.start()) for w in WORD.finditer(text, line_start, line_end)]
-        run: list[tuple[str, int]] = []
-        until = -1
-        hits = [i for i, (w, _) in enumerate(words) if TRIGGER.search(w)]
-        for i in hits:
-            first = max(i - REACH, 0)
-            if first > until + 1 and run:
-                out.append(run)
-                run = []
-            first = max(first, until + 1)
-            until = min(i + REACH, len(words) - 1)
-            run += words[first : until + 1]
-        if run:
-            out.append(run)
-    return out
-
-
 class Finder:
-    """Known forms, plus spans of the random field that touch none of them."""
+    """Known forms, plus spans of the random field that touch none of them. A line of a text is a sequence; all are decoded."""
 
     def __init__(self, crf: CRF):
         self.crf = crf
 
     def find_batch(self, batch: list[str]) -> list[list[tuple[str, int, int]]]:
-        found, runs, owner = [], [], []
-        for i, t in enumerate(batch):
-            has = re.search(r"[0-9@]|[\[(](?:at|dot)[\])]", t)
-            found.append(base(t) if has else [])
-            if has:
-                for run in sequences(t):
-                    runs.append(run)
-                    owner.append(i)
-        for i, run, tags in zip(owner, runs, self.crf.decode([[w for w, _ in r] for r in runs]), strict=True):
-            known = found[i]
-            j = 0
-            while j < len(run):
-                kind = tags[j][2:]
-                stop = j + 1
-                if kind:
-                    while stop < len(run) and tags[stop] == f"I-{kind}":
-                        stop += 1
-                    a, b = run[j][1], run[stop - 1][1] + len(run[stop - 1][0])
+        found = [base(t) if ANY.search(t) else [] for t in batch]
+        lines = [t.split("\n") for t in batch]
+        owner = [(i, j) for i, x in enumerate(lines) for j in range(len(x))]
+        tagged = self.crf.tagged([line.split() for x in lines for line in x])
+        by_text: dict[int, list[tuple[int, dict[int, str]]]] = {}
+        for n in sorted(tagged):
+            i, j = owner[n]
+            by_text.setdefault(i, []).append((j, tagged[n]))
+        order = {k: i for i, k in enumerate((*KINDS, *(f"crf_{k}" for k in FIELDS)))}
+        for i, own in by_text.items():
+            starts, ends = joined(found[i])
+            begin = list(accumulate((len(x) + 1 for x in lines[i]), initial=0))
+            for j, tags in own:
+                words = [m.span() for m in WORD.finditer(lines[i][j])]
+                for first, last, kind in chunks(tags):
+                    a, b = begin[j] + words[first][0], begin[j] + words[last][1]
                     a += len(batch[i][a:b]) - len(batch[i][a:b].lstrip("\"'[<,;:"))
                     b -= len(batch[i][a:b]) - len(batch[i][a:b].rstrip("\"'>.,;:!?#*$&%|"))
-                    if a < b and not any(x < b and a < y for _, x, y in known):
-                        known.append((f"crf_{kind}", a, b))
-                j = stop
-        order = {k: i for i, k in enumerate((*KINDS, *(f"crf_{k}" for k in FIELDS)))}
+                    known = bisect_left(ends, a + 1)  # the first part that ends after the span starts
+                    if a < b and not (known < len(starts) and starts[known] < b):
+                        found[i].append((f"crf_{kind}", a, b))
         return [sorted(f, key=lambda s: (s[1], order[s[0]])) for f in found]
 
 
+def chunks(tags: dict[int, str]) -> Iterator[tuple[int, int, str]]:
+    """First and last word and kind of each run of a label with the I- labels of its kind after it."""
+    held: tuple[int, int, str] | None = None
+    for j in sorted(tags):
+        kind = tags[j][2:]
+        if held and held[1] == j - 1 and tags[j] == f"I-{held[2]}":
+            held = (held[0], j, kind)
+        else:
+            if held:
+                yield held
+            held = (j, j, kind)
+    if held:
+        yield held
+
+
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with each span (overlapping ones together) replaced by the first one's kind in brackets."""
     out, at = [], 0

@@ -10,6 +10,7 @@ knows the span.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from math import log2
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPANS, arrow_limits, by_batches, span_array, texts
+from .common import SPANS, arrow_limits, by_batches, joined, span_array, texts
 
 #: The forms of known keys, in the order in which ties are listed.
 KINDS = ("assign", "access", "hex")
@@ -88,27 +89,31 @@ class Scanner:
         The allow-list is held against each span and, for forms of a whole string, against the whole candidate.
         """
         found = []
+        starts, ends = joined(base)
         for m in CANDIDATE.finditer(text):
             s = m.group()
             kind = char_class(s)
             if kind is None or any(a.fullmatch(s) for a in self.allow):
                 continue
             for a, b in entropy_windows(s, self.window, self.thresholds[kind]):
-                for a, b in self._outside(a + m.start(), b + m.start(), base):
+                for a, b in self._outside(a + m.start(), b + m.start(), starts, ends):
                     if not any(p.search(text[a:b]) for p in self.allow):
                         found.append(("entropy", a, b))
         return found
 
-    def _outside(self, a: int, b: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-        """The parts of a span between base spans, of a window's length at least if it was cut."""
-        covered = sorted((x, y) for _, x, y in base if x < b and a < y)
-        if not covered:
+    def _outside(self, a: int, b: int, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+        """The parts of a span between what base spans cover (see joined()), of a window's length at least if it was cut."""
+        i = bisect_left(ends, a + 1)  # the first covered part that ends after a
+        if i == len(starts) or starts[i] >= b:
             return [(a, b)]
         parts = []
-        for x, y in (*covered, (b, b)):
-            if x - a >= self.window:
-                parts.append((a, x))
-            a = max(a, y)
+        while i < len(starts) and starts[i] < b:
+            if starts[i] - a >= self.window:
+                parts.append((a, starts[i]))
+            a = max(a, ends[i])
+            i += 1
+        if b - a >= self.window:
+            parts.append((a, b))
         return parts
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
