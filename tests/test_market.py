@@ -391,9 +391,9 @@ def test_queries_take_every_event(spark, sf):
             if left:
                 swept.add((*key, price, min(left, shown)))
                 left -= min(left, shown)
-    assert {(r.session_id, r.event_ix): r.quantity for r in run("book_quantity_at_all")} == bids
+    assert {(r.session_id, r.event_ix): r.quantity for r in run("book_quantity_at")} == bids
     assert {(r.session_id, r.event_ix): r.state_hash for r in run("book_state_hash")} == hashes
-    assert {tuple(r) for r in run("taker_sweep_all")} == swept
+    assert {tuple(r) for r in run("taker_sweep")} == swept
 
     rows = quotes(spark, sf).orderBy("event_ix").collect()
     side = lambda q: 1 if q.event_ix % 2 == 0 else -1
@@ -407,9 +407,9 @@ def test_queries_take_every_event(spark, sf):
         accounts[q.event_ix] = (fee, *sums[q.session_id])
         later = next((m for m in rows if m.session_id == q.session_id and m.ts_ns >= q.ts_ns + 3600 * 10**9), None)
         moves[q.event_ix] = later and side(q) * ((later.best_bid + later.best_ask) / 2 - paid(q)) / paid(q) * 1e4
-    got = {r.event_ix: (r.fee, r.position, r.cash, r.fees) for r in run("fill_accounting_all")}
+    got = {r.event_ix: (r.fee, r.position, r.cash, r.fees) for r in run("fill_accounting")}
     assert got.keys() == accounts.keys() and all(got[i] == pytest.approx(accounts[i], abs=2e-6) for i in got)
-    got = {r.event_ix: r.markout_bps for r in run("markouts_asof_all")}
+    got = {r.event_ix: r.markout_bps for r in run("markouts_asof")}
     assert got.keys() == moves.keys() and all(got[i] == (moves[i] if moves[i] is None else pytest.approx(moves[i], abs=2e-6)) for i in got)
 
     asked = run("simulate_orders")
@@ -417,14 +417,6 @@ def test_queries_take_every_event(spark, sf):
     assert {r.orders for r in run("sensitivity_grid")} == {len(rows)}
 
 
-def test_set_operations_take_off_all_errors(spark, tmp_path):
-    from ticklake.queries import QUERIES
-
-    events = [(1, 1, "click"), (2, 1, "purchase"), (3, 2, "click"), (4, 2, "purchase"), (5, 2, "error"), (6, 3, "click"), (7, 4, "purchase")]
-    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
-    assert [r.user_id for r in QUERIES["rel_set_operations_all"](spark, str(tmp_path)).collect()] == [1]
-
-
 def test_statistics_take_every_session(spark, sf):
     from ticklake.queries import QUERIES  # first: the catalog registers itself with it
     from ticklake.catalog.quotes import features, scored
@@ -433,7 +425,7 @@ def test_statistics_take_every_session(spark, sf):
     targets = {}
     for r in scored(spark, sf).orderBy("event_ix").collect():
         targets.setdefault(r.session_id, []).append(r.target)
-    got = {r.session_id: r for r in QUERIES["newey_west_by_session"](spark, sf).collect()}
+    got = {r.session_id: r for r in QUERIES["newey_west_t"](spark, sf).collect()}
     assert got.keys() == targets.keys() and len(got) == 5
     for session, x in targets.items():
         x = np.array(x)
@@ -442,7 +434,7 @@ def test_statistics_take_every_session(spark, sf):
         variance = (c @ c + sum(2 * (1 - k / (lags + 1)) * (c[k:] @ c[:-k]) for k in range(1, lags + 1))) / n
         assert (got[session].n, got[session].lags) == (n, lags) and got[session].t == pytest.approx(x.mean() / np.sqrt(variance / n), abs=2e-6)
 
-    every = [r.session_id for r in QUERIES["session_strategy_table_all"](spark, sf).collect() if r.trades]
+    every = [r.session_id for r in QUERIES["session_strategy_table"](spark, sf).collect() if r.trades]
     assert sorted(every) == sorted(r.session_id for r in QUERIES["greedy_trades"](spark, sf).select("session_id").distinct().collect()) and 3 in every
 
     whole = research.coefficient_bootstrap(features(spark, sf), FEATURES, 1.0, 50)
@@ -460,5 +452,51 @@ def test_sessions_of_unlike_sizes_and_without_trades(spark):
     rows = spark.createDataFrame([(s, i, float(x)) for s, n in ((0, 700), (1, 60), (2, 2), (3, 1)) for i, x in enumerate(rng.normal(1, 1, n))], "session_id int, ix int, x double")
     got = {r.session_id: r for r in stats.newey_west_by(rows, "x", "ix", ("session_id",)).collect()}
     for session in range(4):
-        one = stats.newey_west(rows.where(F.col("session_id") == session), "x", "ix").first()
+        one = stats.newey_west(rows.where(F.col("session_id") == session), "x", block=50).first()
         assert (got[session].n, got[session].lags) == (one.n, one.lags) and got[session].t == pytest.approx(one.t) and got[session].mean == pytest.approx(one.mean)
+
+
+def test_quantiles_and_ranks_equal_sorting(spark):
+    """Ties, nulls, one value, keys without values, and many more values than ranges."""
+    rng = np.random.default_rng(2)
+    rows = [(k, None if r < 0.05 else float(v)) for k, n in ((0, 3000), (1, 1), (2, 40)) for r, v in zip(rng.random(n), np.where(rng.random(n) < 0.4, 7, np.round(rng.normal(5, 3, n), 2)))] + [(3, None)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    shares = [0.0, 1 / 3, 0.5, 0.95, 1.0]
+    of = lambda k: [v for i, v in rows if v is not None and (k is None or i == k)]
+    got = {r.k: r["_q"] for r in stats.quantiles(df, "x", shares, ("k",)).collect()}
+    assert got.keys() == {k for k in range(3) if of(k)} and all(got[k] == pytest.approx(np.quantile(of(k), shares).tolist()) for k in got)
+    assert stats.quantiles(df, "x", shares).first()["_q"] == pytest.approx(np.quantile(of(None), shares).tolist())
+    assert stats.quantiles(df.limit(0), "x", shares).isEmpty()
+    for keys in ((), ("k",)):
+        for r in stats.average_ranks(df, "x", "r", keys).collect():
+            values = of(r.k if keys else None)
+            assert r.r == (None if r.x is None else sum(v < r.x for v in values) + (sum(v == r.x for v in values) + 1) / 2)
+
+
+def test_drawdowns_carry_over_sessions(spark):
+    from ticklake.operators import strategy
+
+    rng = np.random.default_rng(4)
+    rows = [(t, s, i, float(x)) for t in (0, 1) for s in range(6) for i, x in enumerate(rng.normal(0, 1, rng.integers(1, 30)))]
+    df = spark.createDataFrame(rows, "threshold int, session_id int, ix int, net_bps double")
+    got = {(r.threshold, r.session_id, r.ix): (r.cumulative, r.drawdown) for r in strategy.drawdowns(df, ("threshold",)).collect()}
+    for t in (0, 1):
+        total = peak = 0.0
+        for k, s, i, x in rows:
+            if k == t:
+                total += x
+                peak = max(peak, total)
+                assert got[t, s, i] == pytest.approx((total, total - peak))
+    plan = strategy.strategy_metrics(df.withColumn("gross_bps", F.col("net_bps")), ("threshold",))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_newey_west_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(s, i, float(x)) for s in range(7) for i, x in enumerate(rng.normal(1, 1, 37))], "session_id int, ix int, net_bps double")
+    whole, cut = (stats.newey_west(rows, "net_bps", block=b).first() for b in (10_000, 11))
+    x = np.array([r.net_bps for r in rows.orderBy("session_id", "ix").collect()])
+    n, c = len(x), x - x.mean()
+    lags = int(4 * (n / 100) ** (2 / 9))
+    t = x.mean() / np.sqrt((c @ c + sum(2 * (1 - k / (lags + 1)) * (c[k:] @ c[:-k]) for k in range(1, lags + 1))) / n / n)
+    assert whole.t == pytest.approx(t) and cut.t == pytest.approx(t) and whole.lags == lags and whole.n == n

@@ -61,18 +61,9 @@ def invariants(spark, sf_dir):
     return columns(spark, sf_dir).groupBy("session_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("best_bid") >= F.col("best_ask")).alias("crossed"))
 
 
-_LOOK = "event_ix % 50 = 0"
-
-
-@register("book_quantity_at", f"SELECT e.session_id, e.event_ix, coalesce(arg_max(c.qty, c.event_ix), 0) AS quantity FROM (SELECT * FROM ({DEPTH_SQL}) WHERE {_LOOK}) e LEFT JOIN ({DEPTH_SQL}) c ON c.session_id = e.session_id AND c.side = 'bid' AND c.price = 9990 AND c.event_ix <= e.event_ix GROUP BY e.session_id, e.event_ix")
+@register("book_quantity_at", f"SELECT e.session_id, e.event_ix, coalesce(arg_max(c.qty, c.event_ix), 0) AS quantity FROM ({DEPTH_SQL}) e LEFT JOIN ({DEPTH_SQL}) c ON c.session_id = e.session_id AND c.side = 'bid' AND c.price = 9990 AND c.event_ix <= e.event_ix GROUP BY e.session_id, e.event_ix")
 def quantity_at(spark, sf_dir):
-    """At every 50th event, as its SQL has it; book_quantity_at_all looks at every event."""
-    rows = changes(spark, sf_dir)
-    return _quantities(rows, rows.where(_LOOK))
-
-
-@register("book_quantity_at_all")
-def quantity_at_all(spark, sf_dir):
+    """After every event."""
     rows = changes(spark, sf_dir)
     return _quantities(rows, rows)
 

@@ -14,16 +14,10 @@ KEYS = ("session_id", "event_ix")
 
 @register(
     "taker_sweep",
-    f"SELECT session_id, event_ix, price, CAST(least(qty, 120 - before) AS BIGINT) AS taken FROM (SELECT *, coalesce(sum(qty) OVER (PARTITION BY session_id, event_ix ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({LEVELS_SQL}) WHERE side = 'ask' AND rank <= 20 AND event_ix % 10 = 0) WHERE before < 120",
+    f"SELECT session_id, event_ix, price, CAST(least(qty, 120 - before) AS BIGINT) AS taken FROM (SELECT *, coalesce(sum(qty) OVER (PARTITION BY session_id, event_ix ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({LEVELS_SQL}) WHERE side = 'ask') WHERE before < 120",
 )
 def taker_sweep(spark, sf_dir):
-    """Over every tenth event and 20 levels, as its SQL has it; taker_sweep_all takes the whole."""
-    return _sweep(book.states(changes(spark, sf_dir), 20).where("event_ix % 10 = 0"))
-
-
-@register("taker_sweep_all")
-def taker_sweep_all(spark, sf_dir):
-    """After every event, over all levels."""
+    """What an order of 120 takes after every event, over all levels."""
     return _sweep(book.states(changes(spark, sf_dir), None))
 
 
@@ -32,7 +26,7 @@ def _sweep(state):
     return simulator.taker_sweep(levels, F.lit(120), KEYS).select(*KEYS, "price", "taken")
 
 
-_FILLS = f"SELECT session_id, event_ix, ts_ns, CASE WHEN event_ix % 2 = 0 THEN 1 ELSE -1 END AS side, CASE WHEN event_ix % 2 = 0 THEN best_ask ELSE best_bid END AS price, bid_qty AS qty, event_ix % 3 = 0 AS maker FROM ({QUOTES_SQL}) WHERE event_ix % 5 = 0"
+_FILLS = f"SELECT session_id, event_ix, ts_ns, CASE WHEN event_ix % 2 = 0 THEN 1 ELSE -1 END AS side, CASE WHEN event_ix % 2 = 0 THEN best_ask ELSE best_bid END AS price, bid_qty AS qty, event_ix % 3 = 0 AS maker FROM ({QUOTES_SQL})"
 
 
 def fills(rows):
@@ -45,12 +39,6 @@ _FEE = "price * qty * CASE WHEN maker THEN CAST(-0.3141592653 AS DOUBLE) ELSE CA
 
 @register("fill_accounting", f"SELECT session_id, event_ix, {_FEE} AS fee, sum(side * qty) OVER w AS position, sum(-(side * price * qty + {_FEE})) OVER w AS cash, sum({_FEE}) OVER w AS fees FROM ({_FILLS}) WINDOW w AS (PARTITION BY session_id ORDER BY event_ix ROWS UNBOUNDED PRECEDING)", "fee position cash fees")
 def fill_accounting(spark, sf_dir):
-    """Over every fifth quote, as its SQL has it; fill_accounting_all takes every quote."""
-    return _accounts(quotes(spark, sf_dir).where("event_ix % 5 = 0"))
-
-
-@register("fill_accounting_all", rounded="fee position cash fees")
-def fill_accounting_all(spark, sf_dir):
     return _accounts(quotes(spark, sf_dir))
 
 
@@ -63,13 +51,6 @@ _HOUR = 3600 * 10**9
 
 @register("markouts_asof", f"SELECT f.session_id, f.event_ix, f.side * (m.mid - f.price) / f.price * CAST(1e4 AS DOUBLE) AS markout_bps FROM ({_FILLS}) f ASOF LEFT JOIN (SELECT session_id, ts_ns, (best_bid + best_ask) / 2 AS mid FROM ({QUOTES_SQL})) m ON m.session_id = f.session_id AND m.ts_ns >= f.ts_ns + {_HOUR}", "markout_bps")
 def markouts_asof(spark, sf_dir):
-    """Of every fifth quote, as its SQL has it; markouts_asof_all takes every quote."""
-    rows = quotes(spark, sf_dir)
-    return _markouts(rows.where("event_ix % 5 = 0"), rows)
-
-
-@register("markouts_asof_all", rounded="markout_bps")
-def markouts_asof_all(spark, sf_dir):
     rows = quotes(spark, sf_dir)
     return _markouts(rows, rows)
 

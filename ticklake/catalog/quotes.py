@@ -185,7 +185,7 @@ def standardize_clip(spark, sf_dir):
     return rows.crossJoin(F.broadcast(moments)).select(*KEYS, q.standardized(F.col("spread_bps"), F.col("m"), F.col("s"), 2.0).alias("z"))
 
 
-@register("content_fingerprint", f"SELECT session_id, count(*) AS n, sha256(string_agg(event_ix || ':' || ts_ns, ',' ORDER BY event_ix)) AS fingerprint FROM ({QUOTES_SQL}) GROUP BY session_id")
+@register("content_fingerprint", f"SELECT session_id, CAST(sum(k) AS BIGINT) AS n, sha256(string_agg(d, ',' ORDER BY b)) AS fingerprint FROM (SELECT session_id, event_ix // 10000 AS b, count(*) AS k, sha256(string_agg(event_ix || ':' || ts_ns, ',' ORDER BY event_ix)) AS d FROM ({QUOTES_SQL}) GROUP BY ALL) GROUP BY session_id")
 def content_fingerprint(spark, sf_dir):
     from ..operators.fingerprints import fingerprint
 

@@ -32,20 +32,14 @@ def anti(spark, sf_dir):
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
-@register("rel_set_operations", "(SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase') EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 3 = 0")
-def set_operations(spark, sf_dir):
-    """Takes off every third error, as its SQL has it; rel_set_operations_all takes off all."""
-    return _buyers_less(table(spark, sf_dir, "events"), "event_type = 'error' AND event_id % 3 = 0")
-
+_DAY = lambda kind: f"SELECT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = '{kind}'"
 
-@register("rel_set_operations_all")
-def set_operations_all(spark, sf_dir):
-    return _buyers_less(table(spark, sf_dir, "events"), "event_type = 'error'")
 
-
-def _buyers_less(events, taken_off: str):
-    of = lambda c: events.where(c).select("user_id")
-    return of("event_type = 'click'").intersect(of("event_type = 'purchase'")).subtract(of(taken_off))
+@register("rel_set_operations", f"({_DAY('click')} INTERSECT {_DAY('purchase')}) EXCEPT {_DAY('error')}")
+def set_operations(spark, sf_dir):
+    """Users and days with a click and a purchase, but no error."""
+    of = lambda kind: table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id", F.to_date("ts").alias("day"))
+    return of("click").intersect(of("purchase")).subtract(of("error"))
 
 
 @register("rel_union", "SELECT 'customer' AS kind, c_nationkey AS nation, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM supplier GROUP BY ALL")

@@ -80,17 +80,12 @@ def strategy_metrics(spark, sf_dir):
     return strategy.strategy_metrics(trades(spark, sf_dir)[0], ("threshold",))
 
 
-_SOME = "threshold = CAST(0.4 AS DOUBLE) AND session_id <> 3"
+_SOME = "threshold = CAST(0.4 AS DOUBLE)"
 
 
 @register("session_strategy_table", f"SELECT s.session_id, count(net_bps) AS trades, coalesce(avg(net_bps), 0) AS mean_bps, coalesce(sum(net_bps), 0) AS total_bps FROM (SELECT DISTINCT session_id FROM ({SCORED_SQL})) s LEFT JOIN (SELECT * FROM {TRADES} WHERE {_SOME}) t ON s.session_id = t.session_id GROUP BY s.session_id", "mean_bps total_bps")
 def session_strategy_table(spark, sf_dir):
-    """Without session 3's trades, as its SQL has it; session_strategy_table_all has those of every session."""
-    return strategy.session_table(trades(spark, sf_dir)[0].where((F.col("threshold") == 0.4) & (F.col("session_id") != 3)), scored(spark, sf_dir))
-
-
-@register("session_strategy_table_all", rounded="mean_bps total_bps")
-def session_strategy_table_all(spark, sf_dir):
+    """Every session, also one without a trade."""
     return strategy.session_table(trades(spark, sf_dir)[0].where(F.col("threshold") == 0.4), scored(spark, sf_dir))
 
 

@@ -127,20 +127,15 @@ def drift_report(spark, sf_dir):
 
 
 _NW_LAGS = "CAST(floor(4 * pow(count(*) / 100, CAST(2 AS DOUBLE) / 9)) AS BIGINT)"
-_NW = f"""WITH v AS (SELECT target AS x, row_number() OVER (ORDER BY event_ix) AS i FROM ({SCORED_SQL}) WHERE session_id = 0), n AS (SELECT count(*) AS n, avg(x) AS m, {_NW_LAGS} AS lags FROM v),
-  g AS (SELECT l, sum((a.x - m) * (b.x - m)) / any_value(n) AS c FROM n, (SELECT unnest(range(1, 40)) AS l) k, v a, v b WHERE l <= lags AND b.i = a.i - l GROUP BY l),
-  z AS (SELECT sum((x - m) * (x - m)) / any_value(n) AS c FROM v, n)
-  SELECT n, m AS mean, CAST(lags AS INTEGER) AS lags, CASE WHEN greatest(z.c + coalesce(s, 0), 0) / n > 1e-30 THEN m / sqrt(greatest(z.c + coalesce(s, 0), 0) / n) ELSE 0 END AS t FROM n, z, (SELECT sum(2 * (1 - l / (lags + CAST(1 AS DOUBLE))) * c) AS s FROM g, n)"""
+_NW = f"""WITH v AS (SELECT session_id, target AS x, row_number() OVER (PARTITION BY session_id ORDER BY event_ix) AS i FROM ({SCORED_SQL})), n AS (SELECT session_id, count(*) AS n, avg(x) AS m, {_NW_LAGS} AS lags FROM v GROUP BY session_id),
+  c AS (SELECT session_id, i, x - m AS c, lags FROM v JOIN n USING (session_id)), g AS (SELECT session_id, l, sum(a.c * b.c) AS c FROM (SELECT *, unnest(range(1, 40)) AS l FROM c) a JOIN c b USING (session_id) WHERE l <= a.lags AND b.i = a.i - l GROUP BY ALL),
+  s AS (SELECT session_id, sum(2 * (1 - l / (lags + CAST(1 AS DOUBLE))) * c) AS s FROM g JOIN n USING (session_id) GROUP BY session_id), z AS (SELECT session_id, sum(c * c) AS c FROM c GROUP BY session_id)
+  SELECT session_id, n, m AS mean, CAST(lags AS INTEGER) AS lags, CASE WHEN greatest((z.c + coalesce(s, 0)) / n, 0) / n > 1e-30 THEN m / sqrt(greatest((z.c + coalesce(s, 0)) / n, 0) / n) ELSE 0 END AS t FROM n JOIN z USING (session_id) LEFT JOIN s USING (session_id)"""
 
 
 @register("newey_west_t", _NW, "mean t")
 def newey_west_t(spark, sf_dir):
-    """Of session 0, as its SQL has it; newey_west_by_session has every session."""
-    return s.newey_west(scored(spark, sf_dir).where("session_id = 0"), T, "event_ix")
-
-
-@register("newey_west_by_session", rounded="mean t")
-def newey_west_by_session(spark, sf_dir):
+    """Of every session."""
     return s.newey_west_by(scored(spark, sf_dir), T, "event_ix", ("session_id",))
 
 

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fingerprint(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """SHA-256 of each group's rows (columns joined by ':', rows by ',' in the columns' order).
+def fingerprint(rows: DataFrame, key: str, columns: tuple[str, ...], block: int = 10_000) -> DataFrame:
+    """SHA-256 of each group: of the digests of its blocks of rows, joined by ',', in order.
 
-    A group is collected into one value, so this suits held-out sessions, not whole recordings; see block_fingerprint().
+    A block has the rows whose first column, a whole number, is the same when divided by block; its digest is that of
+    its rows (columns joined by ':', rows by ',' in the columns' order). So no value holds more than a block or the
+    digests of a group's blocks.
     """
     text = F.concat_ws(":", *(F.col(c).cast("string") for c in columns))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*columns, text.alias("_t")))), lambda x: x["_t"])
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(ordered, ",").cast("binary"), 256).alias("fingerprint"))
+    joined = lambda cells: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(cells)), lambda x: x["_t"]), ",").cast("binary"), 256)
+    at = F.floor(F.col(columns[0]) / block).alias("_block")
+    blocks = rows.groupBy(key, at).agg(F.count(F.lit(1)).alias("_k"), joined(F.struct(*columns, text.alias("_t"))).alias("_d"))
+    return blocks.groupBy(key).agg(F.sum("_k").alias("n"), joined(F.struct("_block", F.col("_d").alias("_t"))).alias("fingerprint"))
 
 
 def block_fingerprint(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:

@@ -17,22 +17,51 @@ def pearson(x: str, y: str) -> Column:
     return F.when(n < 2, F.lit(None).cast("double")).when(flat, F.lit(0.0)).otherwise(F.corr(x, y))
 
 
-def average_ranks(rows: DataFrame, column: str, name: str, keys: tuple[str, ...] = (), parts: int = 32) -> DataFrame:
-    """rows with the 1-based rank of column, ties averaged, within keys.
+def value_places(rows: DataFrame, column: str, keys: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
+    """keys, column, _c, _below, _n: each distinct value with its rows, the rows below it, and all rows of its key.
 
-    Without keys the order is global: rows are dealt to value ranges cut at approximate quantiles, ranked in their
-    range, and lifted by the number of rows in the ranges below; no task sees all rows.
+    Rows are counted by value first, with partial sums. Distinct values are then dealt to value ranges, cut for each key
+    at approximate quantiles, and added up in their range; what stands in lower ranges is one row a key and range. So no
+    task holds all values, nor all rows of a tied one. Null values take no part.
     """
-    rank = lambda w, peers: F.rank().over(w) + (F.count(F.lit(1)).over(peers) - 1) / 2
-    if keys:
-        return rows.withColumn(name, rank(Window.partitionBy(*keys).orderBy(column), Window.partitionBy(*keys, column)))
-    cuts = rows.agg(F.percentile_approx(column, F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(1000)).alias("c")).first()["c"] or []
-    part = sum(((F.col(column) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    dealt = rows.withColumn("_part", part)
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # at most parts rows
-    below = sizes.withColumn("_below", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = dealt.join(F.broadcast(below), "_part")
-    return ranked.withColumn(name, F.col("_below") + rank(Window.partitionBy("_part").orderBy(column), Window.partitionBy("_part", column))).drop("_part", "_below")
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_c"))
+    shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(column, shares, F.lit(10 * parts)).alias("_cuts"))  # one row a key
+    dealt = _with_keys(counts, cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")
+    sizes = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_s"))  # at most parts rows a key
+    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    lower = F.sum("_s").over(over.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    below = sizes.select(*keys, "_part", F.coalesce(lower, F.lit(0)).alias("_lower"), F.sum("_s").over(over).alias("_n"))
+    own = F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.join(below if keys else F.broadcast(below), [*keys, "_part"]).withColumn("_below", F.col("_lower") + F.coalesce(own, F.lit(0))).drop("_part", "_lower")
+
+
+def _with_keys(rows: DataFrame, per_key: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """rows beside a table of one row a key (of one row, without keys, which is broadcast)."""
+    return rows.join(per_key, list(keys)) if keys else rows.crossJoin(F.broadcast(per_key))
+
+
+def quantiles(rows: DataFrame, column: str, shares: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys and _q: the exact, interpolated quantiles of column, in the order of shares; one row a key (none for a key without values)."""
+    places = value_places(rows, column, keys)
+    at = [(F.col("_n") - 1) * F.lit(float(p)) for p in shares]
+    pick = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col(column)))
+    ends = places.groupBy(*keys).agg(F.max("_n").alias("_n"), *(pick(F.floor(x)).alias(f"_l{i}") for i, x in enumerate(at)), *(pick(F.ceil(x)).alias(f"_h{i}") for i, x in enumerate(at)))
+    between = [F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (x - F.floor(x)) for i, x in enumerate(at)]
+    return ends.where(F.col("_n").isNotNull()).select(*keys, F.array(*between).alias("_q"))
+
+
+def average_ranks(rows: DataFrame, column: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """rows with the 1-based rank of column, ties averaged, within keys; rows with a null value have none.
+
+    Distinct values are ranked (see value_places()) and joined back.
+    """
+    ranks = value_places(rows, column, keys).select(*keys, F.col(column).alias("_v"), (F.col("_below") + (F.col("_c") + 1) / 2).alias(name))
+    ranks = ranks.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = F.col(column) == F.col("_v")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return rows.join(ranks, same, "left").drop("_v", *(f"_key_{k}" for k in keys))
 
 
 def spearman(rows: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -76,17 +105,19 @@ def bin_of(x: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= x))
 
 
-def quantile_edges(column: str, shares: list[float]) -> Column:
-    """Distinct exact quantiles, ascending, as an aggregate."""
-    return F.array_sort(F.array_distinct(F.percentile(column, F.array(*map(F.lit, shares)))))
+def distinct_quantiles(rows: DataFrame, column: str, shares: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys and _e: the distinct exact quantiles, ascending."""
+    return quantiles(rows, column, shares, keys).select(*keys, F.array_sort(F.array_distinct("_q")).alias("_e"))
 
 
 def quantile_table(rows: DataFrame, prediction: str, target: str, bins: int = 10) -> DataFrame:
     """Samples and mean outcome by quantile bin of the prediction; monotonicity() takes it further."""
-    edges = rows.agg(quantile_edges(prediction, [i / bins for i in range(bins + 1)]).alias("_e"))
+    edges = distinct_quantiles(rows, prediction, [i / bins for i in range(bins + 1)])
     inner = F.when(F.size("_e") > 2, F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(1)))).otherwise(F.array().cast("array<double>"))
     binned = rows.crossJoin(F.broadcast(edges.select(inner.alias("_e")))).withColumn("quantile", bin_of(F.col(prediction), F.col("_e")) + 1)
-    return binned.groupBy("quantile").agg(F.count(F.lit(1)).alias("samples"), F.avg(prediction).alias("mean_prediction"), F.avg(target).alias("mean_target"), F.median(target).alias("median_target"), F.avg((F.col(target) > 0).cast("int")).alias("positive_rate"))
+    means = binned.groupBy("quantile").agg(F.count(F.lit(1)).alias("samples"), F.avg(prediction).alias("mean_prediction"), F.avg(target).alias("mean_target"), F.avg((F.col(target) > 0).cast("int")).alias("positive_rate"))
+    medians = quantiles(binned, target, [0.5], ("quantile",)).select("quantile", F.col("_q")[0].alias("median_target"))  # one row a bin
+    return means.join(F.broadcast(medians), "quantile", "left").select("quantile", "samples", "mean_prediction", "mean_target", "median_target", "positive_rate")
 
 
 def monotonicity(table: DataFrame) -> DataFrame:
@@ -101,7 +132,9 @@ def stability_index(rows: DataFrame, features: tuple[str, ...], part: str = "par
     reference deviations.
     """
     long = rows.select(part, *features).unpivot([part], list(features), "feature", "x").where(finite(F.col("x")))
-    known = long.where(F.col(part) == reference).groupBy("feature").agg(quantile_edges("x", [i / 10 for i in range(1, 10)]).alias("_e"), F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    train = long.where(F.col(part) == reference)
+    edges = distinct_quantiles(train, "x", [i / 10 for i in range(1, 10)], ("feature",))
+    known = train.groupBy("feature").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"), F.count(F.lit(1)).alias("_n")).join(F.broadcast(edges), "feature")  # one row a feature
     binned = long.join(F.broadcast(known), "feature").withColumn("_b", bin_of(F.col("x"), F.col("_e")))  # one row a feature
     counts = binned.groupBy("feature", part, "_b").agg(F.count(F.lit(1)).alias("_c"), F.sum("x").alias("_sum"))
     totals = counts.groupBy("feature", part).agg(F.sum("_c").alias("_total"), F.sum("_sum").alias("_all"))
@@ -139,22 +172,30 @@ def newey_west_by(rows: DataFrame, value: str, order: str, keys: tuple[str, ...]
     return sums.select(*keys, "n", "mean", "lags", F.when(of_mean > 1e-30, F.col("mean") / F.sqrt(of_mean)).otherwise(F.lit(0.0)).alias("t"))
 
 
-def newey_west(rows: DataFrame, value: str, order: str, max_lag: int | None = None) -> DataFrame:
-    """n, mean, lags, t: the mean's t-statistic with Bartlett weights over trades in order.
+def newey_west(rows: DataFrame, value: str, order: tuple[str, str] = ("session_id", "ix"), max_lag: int | None = None, block: int = 100_000) -> DataFrame:
+    """n, mean, lags, t: the mean's t-statistic with Bartlett weights over trades in order of session and place.
 
-    The number of lags follows the number of rows (a small count read by the driver); a row gets its predecessors by
-    lag over the trade order. Trades are far fewer than quotes, so one ordered task holds them.
+    The number of lags follows the number of rows (a small count read by the driver). Rows are numbered by session, on
+    top of the rows of earlier sessions, and dealt in blocks, each with the last rows of the block before it.
     """
+    session, place = order
     n = rows.count()
     lags = _newey_west_lags(n) if max_lag is None else min(max(max_lag, 0), max(n - 1, 0))
+    sizes = rows.groupBy(session).agg(F.count(F.lit(1)).alias("_k"))  # one row a session
+    before = sizes.select(session, F.coalesce(F.sum("_k").over(Window.partitionBy(F.lit(0)).orderBy(session).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     mean = rows.agg(F.avg(value).alias("_m"))
-    w = Window.orderBy(order)
-    centred = rows.crossJoin(F.broadcast(mean)).withColumn("_c", F.col(value) - F.col("_m")).withColumns({f"_l{k}": F.lag("_c", k).over(w) for k in range(1, lags + 1)} | {"_c0": F.lag(F.col("_c"), 0).over(w)})
+    numbered = rows.join(before, session).withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy(session).orderBy(place)) - 1)
+    size = max(block, lags + 1)
+    own = (F.col("_i") / size).cast("long")
+    centred = numbered.crossJoin(F.broadcast(mean)).select("_i", "_m", (F.col(value) - F.col("_m")).alias("_c"), own.alias("_own"))
+    halo = F.when(F.col("_i") % size >= size - lags, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
+    w = Window.partitionBy("_block").orderBy("_i")
+    lagged = centred.withColumn("_block", F.explode(halo)).withColumns({f"_l{k}": F.lag("_c", k).over(w) for k in range(1, lags + 1)}).where("_block = _own")
     variance = F.sum(F.col("_c") * F.col("_c")) / n if n else F.lit(0.0)
     for k in range(1, lags + 1):
         variance = variance + F.lit(2 * (1 - k / (lags + 1))) * F.coalesce(F.sum(F.col("_c") * F.col(f"_l{k}")), F.lit(0.0)) / n
     of_mean = F.greatest(variance, F.lit(0.0)) / max(n, 1)
-    return centred.agg(F.count(F.lit(1)).alias("n"), F.first("_m").alias("mean"), F.lit(lags).alias("lags"), F.when(of_mean > 1e-30, F.first("_m") / F.sqrt(of_mean)).otherwise(F.lit(0.0)).alias("t"))
+    return lagged.agg(F.count(F.lit(1)).alias("n"), F.first("_m").alias("mean"), F.lit(lags).alias("lags"), F.when(of_mean > 1e-30, F.first("_m") / F.sqrt(of_mean)).otherwise(F.lit(0.0)).alias("t"))
 
 
 def hash_draw(*parts: Column, n: Column) -> Column:
@@ -193,7 +234,8 @@ def circular_shift_test(rows: DataFrame, prediction: str, target: str, samples:
     return observed.crossJoin(shifted).agg(F.first("observed").alias("observed"), ((F.count_if(F.abs("_r") >= F.abs("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
-def latency_percentiles(rows: DataFrame, age: str, keys: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
-    """p50, p99, p99.9 of an age; approximate ones need no sort of all rows."""
-    p = (lambda s: F.percentile(age, F.lit(s))) if exact else (lambda s: F.percentile_approx(age, F.lit(s), F.lit(10_000)))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.99).alias("p99"), p(0.999).alias("p999"))
+def latency_percentiles(rows: DataFrame, age: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """n, p50, p99, p99.9 of an age."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    q = quantiles(rows, age, [0.5, 0.99, 0.999], keys).select(*keys, *(F.col("_q")[i].alias(x) for i, x in enumerate(("p50", "p99", "p999"))))
+    return _with_keys(sizes, q, keys)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import quantiles, value_places
+
 
 def opportunities(rows: DataFrame, prediction: str, threshold: Column, participation: float = 1.0) -> DataFrame:
     """rows with side (1 long, -1 short), gross_bps and capacity, where the forecast reaches the threshold.
@@ -64,26 +66,44 @@ def select_trades(rows: DataFrame, prediction: str, thresholds: list[float], hor
     return trades, refused
 
 
-def drawdowns(trades: DataFrame, keys: tuple[str, ...] = (), order: tuple[str, ...] = ("session_id", "ix")) -> DataFrame:
-    """trades with cumulative result and drawdown below the running peak (which starts at 0)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return trades.withColumn("cumulative", F.sum("net_bps").over(w)).withColumn("drawdown", F.col("cumulative") - F.greatest(F.lit(0.0), F.max("cumulative").over(w)))
+def drawdowns(trades: DataFrame, keys: tuple[str, ...] = (), order: tuple[str, str] = ("session_id", "ix")) -> DataFrame:
+    """trades with cumulative result and drawdown below the running peak (which starts at 0), by keys.
+
+    Sums run within sessions; what earlier sessions add to them, and their peak, is one row a session.
+    """
+    session, place = order
+    inside = Window.partitionBy(*keys, session).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    local = trades.withColumn("_sum", F.sum("net_bps").over(inside)).withColumn("_peak", F.max("_sum").over(inside))
+    ends = trades.groupBy(*keys, session).agg(F.sum("net_bps").alias("_total"))
+    earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(session).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.join(local.groupBy(*keys, session).agg(F.max("_sum").alias("_top")), [*keys, session]).withColumn("_carry", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)))
+    carried = carried.withColumn("_before", F.greatest(F.lit(0.0), F.max(F.col("_carry") + F.col("_top")).over(earlier))).select(*keys, session, "_carry", "_before")
+    out = local.join(carried, [*keys, session]).withColumn("cumulative", F.col("_carry") + F.col("_sum"))
+    return out.withColumn("drawdown", F.col("cumulative") - F.greatest("_before", F.col("_carry") + F.col("_peak"))).select(*trades.columns, "cumulative", "drawdown")
 
 
 def strategy_metrics(trades: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Counts, means, ratios, drawdown and expected shortfall of trades by keys; profit_factor is infinite without a loss."""
+    """Counts, means, ratios, drawdown and expected shortfall of trades by keys; profit_factor is infinite without a loss.
+
+    The median and the worst twentieth come from distinct results in value ranges, so that no task holds all trades.
+    """
     net = F.col("net_bps")
-    marked = drawdowns(trades, keys).withColumns({"_r": F.row_number().over(Window.partitionBy(*keys).orderBy("net_bps")), "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    tail = F.avg(F.when(F.col("_r") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.05)), net))
     n, mean, dev = F.count(F.lit(1)), F.avg(net), F.stddev_samp(net)
     won, lost = F.sum(F.when(net > 0, net)), F.sum(F.when(net < 0, net))
-    agg = marked.groupBy(*keys).agg(
-        n.alias("trades"), F.avg((net > 0).cast("int")).alias("win_rate"), mean.alias("mean_bps"), F.median("net_bps").alias("median_bps"), F.sum(net).alias("total_bps"), F.avg("gross_bps").alias("gross_mean_bps"), F.sum("gross_bps").alias("gross_total_bps"), (-F.min("drawdown")).alias("max_drawdown_bps"),
+    sums = drawdowns(trades, keys).groupBy(*keys).agg(
+        n.alias("trades"), F.avg((net > 0).cast("int")).alias("win_rate"), mean.alias("mean_bps"), F.sum(net).alias("total_bps"), F.avg("gross_bps").alias("gross_mean_bps"), F.sum("gross_bps").alias("gross_total_bps"), (-F.min("drawdown")).alias("max_drawdown_bps"),
         F.when(dev > 1e-15, mean / dev * F.sqrt(n)).otherwise(F.lit(0.0)).alias("naive_t"), F.when(dev > 1e-15, mean / dev).otherwise(F.lit(0.0)).alias("sharpe"),
         F.when(F.abs(lost) > 1e-15, F.coalesce(won, F.lit(0.0)) / F.abs(lost)).when(won.isNotNull(), F.lit(math.inf)).otherwise(F.lit(0.0)).alias("profit_factor"),
-        F.when(F.abs(lost) > 1e-15, F.coalesce(F.avg(F.when(net > 0, net)) / F.abs(F.avg(F.when(net < 0, net))), F.lit(0.0))).otherwise(F.lit(0.0)).alias("payoff"), tail.alias("shortfall_bps"), F.greatest(F.lit(0.0), mean / 2).alias("breakeven_bps"), F.countDistinct("session_id").alias("sessions"),
+        F.when(F.abs(lost) > 1e-15, F.coalesce(F.avg(F.when(net > 0, net)) / F.abs(F.avg(F.when(net < 0, net))), F.lit(0.0))).otherwise(F.lit(0.0)).alias("payoff"), F.greatest(F.lit(0.0), mean / 2).alias("breakeven_bps"), F.countDistinct("session_id").alias("sessions"),
     )
-    return agg
+    worst = F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.05))
+    share = F.greatest(F.lit(0), F.least(F.col("_c"), worst - F.col("_below")))
+    tails = value_places(trades, "net_bps", keys).groupBy(*keys).agg((F.sum(net * share) / F.sum(share)).alias("shortfall_bps"))
+    medians = quantiles(trades, "net_bps", [0.5], keys).select(*keys, F.col("_q")[0].alias("median_bps"))
+    out = sums
+    for part in (medians, tails):
+        out = out.join(part, list(keys), "left") if keys else out.join(F.broadcast(part), how="left")
+    return out
 
 
 def cost_stress(trades: DataFrame, fee: float, slippage: float, extra: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -100,14 +120,16 @@ def session_table(trades: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def regimes(rows: DataFrame, column: str, prediction: str, target: str, least: int = 10) -> DataFrame:
     """Tercile buckets of a column with samples, IC and mean absolute error; buckets below least rows have samples only."""
-    cuts = rows.agg(F.percentile(column, F.lit(1 / 3)).alias("_a"), F.percentile(column, F.lit(2 / 3)).alias("_b"))
+    cuts = quantiles(rows, column, [1 / 3, 2 / 3]).select(F.col("_q")[0].alias("_a"), F.col("_q")[1].alias("_b"))
     bucket = F.when(F.col(column) <= F.col("_a"), "low").when(F.col(column) <= F.col("_b"), "middle").otherwise("high")
     enough = F.count(F.lit(1)) >= least
     return rows.crossJoin(F.broadcast(cuts)).groupBy(bucket.alias("regime")).agg(F.count(F.lit(1)).alias("samples"), F.when(enough, F.corr(prediction, target)).alias("ic"), F.when(enough, F.avg(F.abs(F.col(prediction) - F.col(target)))).alias("mae"))
 
 
 def capacity_summary(trades: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    return trades.groupBy(*keys).agg(F.min("capacity").alias("least"), F.median("capacity").alias("median"), F.max("capacity").alias("most"))
+    ends = trades.groupBy(*keys).agg(F.min("capacity").alias("least"), F.max("capacity").alias("most"))
+    middle = quantiles(trades, "capacity", [0.5], keys).select(*keys, F.col("_q")[0].alias("median"))
+    return (ends.join(middle, list(keys), "left") if keys else ends.join(F.broadcast(middle), how="left")).select(*keys, "least", "median", "most")
 
 
 def best_threshold(metrics: DataFrame, smallest: float, least_trades: int) -> float:

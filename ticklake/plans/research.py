@@ -39,8 +39,8 @@ class Costs:
 
 def thresholds(validation: DataFrame, prediction: str) -> list[float]:
     """Distinct quantiles of |prediction|, ascending."""
-    row = validation.agg(F.percentile(F.abs(F.col(prediction)), F.array(*map(F.lit, THRESHOLD_SHARES))).alias("q")).first()
-    return sorted(set(row.q or [0.0]))
+    row = stats.quantiles(validation.select(F.abs(F.col(prediction)).alias("_p")), "_p", list(THRESHOLD_SHARES)).first()
+    return sorted(set(row["_q"])) if row else [0.0]
 
 
 def select_threshold(validation: DataFrame, prediction: str, horizon: int, costs: Costs) -> float:
@@ -65,7 +65,7 @@ def evaluate(rows: DataFrame, prediction: str, threshold: float, horizon: int, c
     missed = refused.first()
     out["strategy"]["refused"] = missed.refused if missed else 0
     if metrics and metrics.trades:
-        out["strategy"]["newey_west_t"] = stats.newey_west(trades.withColumn("_o", F.struct("session_id", "ix")), "net_bps", "_o").first().t
+        out["strategy"]["newey_west_t"] = stats.newey_west(trades, "net_bps").first().t
         out["bootstrap"] = report_row(stats.session_bootstrap(trades, "net_bps", 200, 7).first())
         out["capacity"] = report_row(strategy.capacity_summary(trades).first())
         out["cost_stress"] = [report_row(r) for r in strategy.cost_stress(trades, costs.fee, costs.slippage, [0.0, 0.05, 0.1, 0.25, 0.5]).orderBy("extra_bps").collect()]
