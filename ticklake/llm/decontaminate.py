@@ -27,8 +27,8 @@ SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score from which a document counts as contaminated.
 THRESHOLD = 0.5
-#: Bits of the map of known grams (2 MB, whatever the benchmark's size).
-FILTER_BITS = 24
+#: Bits of the map of known grams (2 MB, whatever the benchmark's size), and of the table that is looked at before it.
+FILTER_BITS, NEAR_BITS = 24, 20
 #: Rows up to which a table of seeds, and words up to which a table of items, is broadcast; salts of the join beyond.
 BROADCAST_SEEDS, BROADCAST_WORDS, BROADCAST_TEXTS, SALTS = 1_000_000, 4_000_000, 300_000, 16
 _PUNCTUATION = b".,;:!?\"'()[]"
@@ -122,6 +122,8 @@ class Filter:
         for m in maps:
             bits[m["at"] * 4096 : (m["at"] + 1) * 4096] = np.frombuffer(m["map"], np.uint8)
         self.bits = bits
+        #: Whether any gram with these low bits is known: a table that stays in a core's cache, looked at first.
+        self.near = np.unpackbits(bits, bitorder="little").reshape(-1, 1 << NEAR_BITS).any(0)
         self.shapes = [SHAPES[f] if f >= 0 else tuple(range(-f)) for f in forms]
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +131,9 @@ class Filter:
         found, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for shape in self.shapes:
             g = grams(words, shape)
-            low = (g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-            p = np.flatnonzero(self.bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+            p = np.flatnonzero(self.near[(g & np.uint64((1 << NEAR_BITS) - 1)).view(np.int64)])
+            low = (g[p] & np.uint64((1 << FILTER_BITS) - 1)).view(np.int64)
+            p = p[(self.bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)]
             found.append(g[p])
             at.append(p)
         return np.concatenate(found), np.concatenate(at)
