@@ -81,7 +81,8 @@ _simple("depth_concentration_convexity", "bid_concentration_1_10 ask_concentrati
 _SLOPE = f"""SELECT session_id, event_ix, coalesce(regr_slope(y, x) FILTER (WHERE side = 'bid'), 0) AS bid_depth_slope_10, coalesce(regr_slope(y, x) FILTER (WHERE side = 'ask'), 0) AS ask_depth_slope_10 FROM (
   SELECT *, CAST(abs(price - first_value(price) OVER w) AS DOUBLE) / first_value(price) OVER w * CAST(1e4 AS DOUBLE) AS x, ln(1 + CAST(sum(qty) OVER w AS DOUBLE)) AS y FROM ({LEVELS_SQL}) WHERE rank <= 10 WINDOW w AS (PARTITION BY session_id, event_ix, side ORDER BY rank ROWS UNBOUNDED PRECEDING))
   GROUP BY session_id, event_ix HAVING count(*) FILTER (WHERE side = 'bid') > 0 AND count(*) FILTER (WHERE side = 'ask') > 0"""
-_simple("depth_slope", "bid_depth_slope_10 ask_depth_slope_10", columns, _SLOPE.replace("coalesce(regr_slope(y, x) FILTER (WHERE side = 'bid'), 0)", "CASE WHEN count(*) FILTER (WHERE side = 'bid') > 1 THEN regr_slope(y, x) FILTER (WHERE side = 'bid') ELSE 0 END").replace("coalesce(regr_slope(y, x) FILTER (WHERE side = 'ask'), 0)", "CASE WHEN count(*) FILTER (WHERE side = 'ask') > 1 THEN regr_slope(y, x) FILTER (WHERE side = 'ask') ELSE 0 END"))
+_SLOPES = _SLOPE.replace("coalesce(regr_slope(y, x) FILTER (WHERE side = 'bid'), 0)", "CASE WHEN count(*) FILTER (WHERE side = 'bid') > 1 THEN regr_slope(y, x) FILTER (WHERE side = 'bid') ELSE 0 END").replace("coalesce(regr_slope(y, x) FILTER (WHERE side = 'ask'), 0)", "CASE WHEN count(*) FILTER (WHERE side = 'ask') > 1 THEN regr_slope(y, x) FILTER (WHERE side = 'ask') ELSE 0 END")
+_simple("depth_slope", "bid_depth_slope_10 ask_depth_slope_10", columns, _SLOPES)
 
 
 def history(spark, sf_dir):
@@ -107,15 +108,22 @@ _TW = "OVER (PARTITION BY session_id ORDER BY event_ix ROWS BETWEEN 19 PRECEDING
 _TF = f"SELECT session_id, event_ix, sum(signed_qty) {_TW} / sum(abs(signed_qty)) {_TW} AS trade_imbalance_20 FROM ({TRADES_SQL})"
 
 
-@register("trade_imbalance_20", f"SELECT d.session_id, d.event_ix, coalesce(t.trade_imbalance_20, 0) AS trade_imbalance_20 FROM ({DEPTH_SQL}) d ASOF LEFT JOIN ({_TF}) t ON t.session_id = d.session_id AND t.event_ix < d.event_ix", "trade_imbalance_20")
+_TRADE_FLOW = f"SELECT d.session_id, d.event_ix, coalesce(t.trade_imbalance_20, 0) AS trade_imbalance_20 FROM ({DEPTH_SQL}) d ASOF LEFT JOIN ({_TF}) t ON t.session_id = d.session_id AND t.event_ix < d.event_ix"
+
+
+@register("trade_imbalance_20", _TRADE_FLOW, "trade_imbalance_20")
 def trade_imbalance(spark, sf_dir):
     own = trades(spark, sf_dir).withColumn("epoch", F.lit(0).cast("long"))
     return book.with_trade_flow(changes(spark, sf_dir).select("session_id", "epoch", "event_ix"), own).select(*KEYS, "trade_imbalance_20")
 
 
-@register("l2_features_26")
+_ALL_26 = f"""SELECT session_id, event_ix, {', '.join(book.L2_FEATURES)}, ln(lead(mid, 20) OVER w / mid) * CAST(1e4 AS DOUBLE) AS target FROM (SELECT * FROM ({HISTORY_SQL}) JOIN ({_SLOPES}) USING (session_id, event_ix) JOIN ({_FLOWS}) USING (session_id, event_ix) JOIN ({_TRADE_FLOW}) USING (session_id, event_ix) WHERE place > {book.L2_WARM_UP})
+  WINDOW w AS (PARTITION BY session_id ORDER BY event_ix) QUALIFY lead(mid, 20) OVER w IS NOT NULL"""
+
+
+@register("l2_features_26", _ALL_26, " ".join((*book.L2_FEATURES, "target")))
 def l2_features(spark, sf_dir):
-    """All 26 depth features with labels; its parts have SQL of their own."""
+    """All 26 depth features with labels."""
     own = trades(spark, sf_dir).withColumn("epoch", F.lit(0).cast("long"))
     return book.l2_features(changes(spark, sf_dir), own, 20).select(*KEYS, *book.L2_FEATURES, "target")
 
@@ -129,7 +137,14 @@ def stale_and_gap_flags(spark, sf_dir):
     return continuity(rows, ("session_id",)).select(*KEYS, "stale", "gap")
 
 
-@register("book_state_hash")
+# FNV-1a over little-endian 64-bit numbers, byte by byte, in 128-bit arithmetic modulo 2**64
+_PAIRS = lambda side: f"list_concat([CAST(count(*) FILTER (WHERE side = '{side}') AS BIGINT)], flatten(coalesce(list([price, CAST(qty AS BIGINT)] ORDER BY rank) FILTER (WHERE side = '{side}'), [])))"
+_NUMBERS = f"SELECT session_id, event_ix, list_concat([event_ix], list_concat({_PAIRS('bid')}, {_PAIRS('ask')})) AS v FROM ({LEVELS_SQL}) GROUP BY session_id, event_ix"
+_EVERY = f"SELECT d.session_id, d.event_ix, coalesce(n.v, [d.event_ix, 0, 0]) AS v FROM ({DEPTH_SQL}) d LEFT JOIN ({_NUMBERS}) n USING (session_id, event_ix)"
+_FNV = "list_reduce(list_concat([CAST('14695981039346656037' AS HUGEINT)], flatten(list_transform(v, lambda x: list_transform(range(8), lambda i: CAST((x >> CAST(i * 8 AS BIGINT)) & 255 AS HUGEINT))))), lambda h, b: (CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS HUGEINT) * 1099511628211) % CAST('18446744073709551616' AS HUGEINT))"
+
+
+@register("book_state_hash", f"SELECT session_id, event_ix, CAST({_FNV} AS VARCHAR) AS state_hash FROM ({_EVERY})")
 def book_state_hash(spark, sf_dir):
     """A hash of the whole book, with all levels, after each event."""
     state = book.states(changes(spark, sf_dir), None)

@@ -73,7 +73,12 @@ def json_strings(spark, sf_dir):
     return rows.groupBy("kind", "digit").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("crc32_payload")
+# CRC-32 by its definition: each byte enters the low bits, then eight steps of the reflected polynomial 0xEDB88320
+_BITS = "flatten(list_transform(range(strlen(props)), lambda i: list_concat([CAST(ord(substr(props, CAST(i + 1 AS INTEGER), 1)) AS BIGINT)], [0, 0, 0, 0, 0, 0, 0])))"
+_CRC = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {_BITS}), lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
+
+
+@register("crc32_payload", f"SELECT event_id, CAST({_CRC} AS BIGINT) AS crc FROM events")
 def crc32_payload(spark, sf_dir):
     """Check sums of payloads, as the depth format stores them."""
     return table(spark, sf_dir, "events").select("event_id", F.crc32(F.col("props").cast("binary")).alias("crc"))

@@ -17,13 +17,14 @@ COST = 2 * (FEE + SLIPPAGE)
 SIZE = 0.3
 
 
-def _trades_sql(size: float | None = None) -> str:
+def _trades_sql(size: float | None = None, source: str = SCORED_SQL, last: str = f"SELECT c.*, gross_bps - CAST({COST} AS DOUBLE) AS net_bps FROM c JOIN p USING (threshold, session_id, ix)") -> str:
+    """Signals g of source by threshold, those that fit c, the chosen places p; and what is wanted of them."""
     fits = f"WHERE capacity >= {size}" if size else ""
     return f"""(WITH RECURSIVE g AS MATERIALIZED (SELECT CAST(threshold AS DOUBLE) AS threshold, session_id, event_ix, ix, CASE WHEN score > 0 THEN 1 ELSE -1 END AS side,
         CASE WHEN score > 0 THEN ln(future_best_bid / best_ask) ELSE ln(best_bid / future_best_ask) END * CAST(1e4 AS DOUBLE) AS gross_bps, CASE WHEN score > 0 THEN least(ask_qty, future_bid_qty) ELSE least(bid_qty, future_ask_qty) END AS capacity
-        FROM ({SCORED_SQL}), (SELECT unnest({LEVELS}) AS threshold) WHERE (score > 0 AND score >= threshold) OR (score < 0 AND score <= -threshold)), c AS MATERIALIZED (SELECT * FROM g {fits}),
+        FROM ({source}), (SELECT unnest({LEVELS}) AS threshold) WHERE (score > 0 AND score >= threshold) OR (score < 0 AND score <= -threshold)), c AS MATERIALIZED (SELECT * FROM g {fits}),
       p AS (SELECT threshold, session_id, min(ix) AS ix FROM c GROUP BY ALL UNION ALL SELECT p.threshold, p.session_id, min(c.ix) FROM p JOIN c ON c.threshold = p.threshold AND c.session_id = p.session_id AND c.ix >= p.ix + {HORIZON} GROUP BY p.threshold, p.session_id)
-      SELECT c.*, gross_bps - CAST({COST} AS DOUBLE) AS net_bps FROM c JOIN p USING (threshold, session_id, ix))"""
+      {last})"""
 
 
 TRADES = _trades_sql()
@@ -48,7 +49,11 @@ def liquidity_screen(spark, sf_dir):
     return trades(spark, sf_dir, SIZE)[0].groupBy("threshold").agg(F.count(F.lit(1)).alias("trades"), F.min("capacity").alias("least"))
 
 
-@register("refused_signals")
+_REFUSED = f"""SELECT threshold, count(*) AS refused FROM g WHERE NOT coalesce(capacity >= {SIZE}, false)
+      AND NOT EXISTS (SELECT 1 FROM p WHERE p.threshold = g.threshold AND p.session_id = g.session_id AND p.ix < g.ix AND g.ix < p.ix + {HORIZON}) GROUP BY threshold"""
+
+
+@register("refused_signals", f"SELECT * FROM {_trades_sql(SIZE, last=_REFUSED)}")
 def refused_signals(spark, sf_dir):
     """Signals with too little shown quantity while the session was free."""
     return trades(spark, sf_dir, SIZE)[1]
@@ -142,6 +147,10 @@ def coefficient_bootstrap(spark, sf_dir):
     return spark.createDataFrame([tuple(x.values()) for x in found], "feature string, p05 double, median double, p95 double, sign_consistency double")
 
 
-@register("delay_stress")
+_LATE = lambda d: f"SELECT * REPLACE (coalesce(lag(score, {d}) OVER (PARTITION BY session_id ORDER BY event_ix), 0) AS score) FROM ({SCORED_SQL})"
+_DELAYS = " UNION ALL ".join(f"SELECT CAST({d} AS INTEGER) AS delay, count(*) AS trades, avg(net_bps) AS mean_bps, sum(net_bps) AS total_bps FROM {_trades_sql(source=_LATE(d))} WHERE threshold = CAST(0.4 AS DOUBLE)" for d in (0, 1, 5))
+
+
+@register("delay_stress", _DELAYS, "mean_bps total_bps")
 def delay_stress(spark, sf_dir):
-    return research.delay_stress(scored(spark, sf_dir).cache(), "score", 0.4, HORIZON, research.Costs(FEE, SLIPPAGE), (0, 1, 5)).select("delay", "trades", "mean_bps", "total_bps")
+    return research.delay_stress(scored(spark, sf_dir), "score", 0.4, HORIZON, research.Costs(FEE, SLIPPAGE), (0, 1, 5)).select("delay", "trades", "mean_bps", "total_bps")
