@@ -500,3 +500,63 @@ def test_newey_west_in_blocks(spark):
     lags = int(4 * (n / 100) ** (2 / 9))
     t = x.mean() / np.sqrt((c @ c + sum(2 * (1 - k / (lags + 1)) * (c[k:] @ c[:-k]) for k in range(1, lags + 1))) / n / n)
     assert whole.t == pytest.approx(t) and cut.t == pytest.approx(t) and whole.lags == lags and whole.n == n
+
+
+@pytest.fixture
+def recorded(spark, tmp_path):
+    from ticklake.sources import recordings
+
+    rows = [(s, i, 1_000 + i, 100.0 + i, 100.5 + i, 10 + i, 20 + i, 5 + 2 * i) for s, n in ((0, 25), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "session_id int, event_ix long, ts_ns long, best_bid double, best_ask double, bid_volume long, ask_volume long, update_id long")
+    found = recordings.write_recordings(df.repartition(3), str(tmp_path))
+    assert [(r.created, r.records, r.complete, r.first_id, r.last_id) for r in found] == [(1, 25, True, 5, 53), (4, 1, True, 5, 5)]
+    with pytest.raises(Exception, match="FileExistsError"):
+        recordings.write_recordings(df, str(tmp_path))
+    return rows
+
+
+def test_recordings_in_ranges_with_ids(spark, tmp_path, recorded):
+    from ticklake.sources import recordings
+
+    got = sorted((int(r.recording.split("session-")[1][0]), *tuple(r)[1:]) for r in recordings.read_recordings(spark, str(tmp_path), rows=4, require_complete=True).collect())
+    assert got == recorded
+    assert recordings.read_recordings(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_recordings_without_sidecar_or_ids(spark, tmp_path, recorded):
+    """Tri-state completeness, and ids that are missing or do not grow across ranges."""
+    import json
+
+    from ticklake.sources import recordings
+
+    one, side, ids = (tmp_path / f"session-0.qbin{end}" for end in ("", ".meta.json", ".qids"))
+    text, data = side.read_text(), ids.read_bytes()
+    spoiled = [{"symbol": "ETHUSDT"}, {"schema_version": 2}, {"schema_version": True}, {"created_unix_ns": 9}, {"recorded_records": 24}, {"accepted_records": 3}, {"recording_dropped": 1}, {"data_complete": "yes"}, {"first_update_id": 6}, {"last_update_id": 6}, {"recording_file": "x"}, {"record_size": 1}, {"boundaries": [{"record_index": 26, "kind": "gap"}]}, {"boundaries": [{"record_index": 1, "kind": " "}]}]
+    for change in spoiled:
+        side.write_text(json.dumps(json.loads(text) | change))
+        with pytest.raises(ValueError):
+            recordings.inspect(str(one))
+    side.write_text(json.dumps({k: v for k, v in json.loads(text).items() if k != "update_id_file"}))
+    with pytest.raises(ValueError):
+        recordings.inspect(str(one))
+    marks = [{"record_index": 7, "kind": "gap "}, {"record_index": 0, "kind": "start"}, {"record_index": 7, "kind": "gap"}]
+    side.write_text(json.dumps(json.loads(text) | {"boundaries": marks}))
+    assert recordings.inspect(str(one)).boundaries == ((0, "start"), (7, "gap"))
+    side.unlink()
+    assert recordings.inspect(str(one)).complete is False
+    with pytest.raises(ValueError):
+        recordings.read_recordings(spark, str(tmp_path), require_complete=True)
+    swapped = bytearray(data)
+    at = len(data) - 8 * 25
+    swapped[at + 8 * 8 : at + 8 * 9] = (1).to_bytes(8, "little")  # the first id of the third range of four
+    ids.write_bytes(bytes(swapped))
+    with pytest.raises(Exception, match="ids do not increase"):
+        recordings.read_recordings(spark, str(tmp_path), rows=4).collect()
+    ids.write_bytes(data[:-8])
+    assert [r.event_ix for r in recordings.read_recordings(spark, str(tmp_path), rows=4).where("update_id IS NULL").collect()] == [24]
+    ids.unlink()
+    assert recordings.inspect(str(one)).complete is None
+    assert recordings.metadata(spark, str(tmp_path)).where("complete IS NULL").count() == 1
+    one.write_bytes(one.read_bytes()[:-1])
+    with pytest.raises(ValueError):
+        recordings.inspect(str(one))

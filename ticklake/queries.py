@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None, rounded: str = "") -> Callable:
     return add
 
 
-from .catalog import depth, execution, quotes, relational, research, stats  # noqa: E402, F401
+from .catalog import depth, execution, quotes, recordings, relational, research, stats  # noqa: E402, F401
