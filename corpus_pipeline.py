@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklake.llm import bpe, decontaminate, near_dup, pii, quality
-from ticklake.llm.common import materialize, table
+from ticklake.llm.common import discard, materialize, table
 from ticklake.llm.queries import tokenizer
 
 
@@ -38,15 +38,18 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_stage), ("near_dup", near_dup_stage), ("decontaminate", decontaminate_stage), ("pii", pii_stage), ("bpe", bpe_stage)]
 
-#: Its stages learn models and align texts, which SQL can't express; tests compare run() with brute force.
+#: Its stages learn models and align texts, which SQL can't express; tests hold each stage's operator against brute force,
+#: and run() against the stages' rules.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each stage's rows are written before the next one reads them."""
+    """All stages over the documents table; each stage's rows are written before the next one reads them, and go after that."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}")
+            out = materialize(out, f"stage-{name}")
+            discard(docs)
+        docs = out
     return docs

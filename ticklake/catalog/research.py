@@ -129,7 +129,10 @@ def split(spark, sf_dir):
 def ridge_fit(spark, sf_dir):
     """Weights of the model fitted on the training part."""
     parted = chronological_split(features(spark, sf_dir), 25).cache()
-    model = ridge.fit(parted.where("part = 'train'"), parted.where("part = 'validation'"), FEATURES)
+    try:
+        model = ridge.fit(parted.where("part = 'train'"), parted.where("part = 'validation'"), FEATURES)
+    finally:
+        parted.unpersist()
     return spark.createDataFrame([(f, float(b), model.penalty) for f, b in zip(model.features, model.beta, strict=True)], "feature string, beta double, penalty double")
 
 
@@ -137,7 +140,10 @@ def ridge_fit(spark, sf_dir):
 def walk_forward(spark, sf_dir):
     rows = features(spark, sf_dir).cache()
     ids = [r.session_id for r in rows.select("session_id").distinct().orderBy("session_id").collect()]
-    folds = research.walk_forward(rows, ids, HORIZON)
+    try:
+        folds = research.walk_forward(rows, ids, HORIZON)
+    finally:
+        rows.unpersist()
     return spark.createDataFrame([(f["session_id"], f["threshold"], f["trades"], f["n"], f["mse"]) for f in folds], "session_id int, threshold double, trades long, rows long, mse double")
 
 
