@@ -195,6 +195,9 @@ def test_synchronizer_bridge_gap_and_old_snapshot():
     s = sync.Synchronizer()
     s.update(150, 151)
     assert s.snapshot(100)[0] == "snapshot_too_old"
+    s = sync.Synchronizer(waiting=[(90, 95), (150, 151)])
+    assert s.snapshot(100)[0] == "snapshot_too_old" and s.waiting == [(150, 151)]
+    assert [s.update(152, 152), s.update(140, 149), s.status] == ["buffered", "out_of_order", "gap"] and s.waiting[-1] == (152, 152)
     s = sync.Synchronizer(waiting=[(101, 102), (105, 106), (107, 107)])
     assert s.snapshot(100) == ("gap", [(101, 102)]) and s.waiting == [(105, 106), (107, 107)]
 
@@ -560,3 +563,18 @@ def test_recordings_without_sidecar_or_ids(spark, tmp_path, recorded):
     one.write_bytes(one.read_bytes()[:-1])
     with pytest.raises(ValueError):
         recordings.inspect(str(one))
+
+
+def test_replay_finds_spoiled_checkpoints(spark, tmp_path):
+    from ticklake.sources import recordings
+
+    level = "array<struct<price:bigint,qty:bigint>>"
+    own = [event("snapshot", 10, 0, [(100, 5)], [(101, 6)], 1, 1)] + [event("depth", 11 + i, 1 + i, [(99 - i % 3, i % 4)], [], 2 + i, 2 + i) for i in range(40)]
+    rows = [{"session_id": 2, "trade_price": None, "trade_qty": None, "buyer_is_maker": None} | e | {k: [{"price": p, "qty": q} for p, q in e[k]] for k in ("bids", "asks")} for e in own]
+    df = spark.createDataFrame(rows, f"session_id int, event_ix long, ts_ns long, kind string, first_id long, final_id long, bids {level}, asks {level}, trade_price long, trade_qty long, buyer_is_maker boolean")
+    recordings.write_depth(df, str(tmp_path), "BTCUSDT", every=10)
+    assert [tuple(r)[1:] for r in codecs.verify_replay(spark, str(tmp_path)).collect()] == [(4, 0)]
+    checks = tmp_path / "session-2.l2bin.l2chk"
+    good = codecs.decode_checkpoints(checks.read_bytes(), 3).tolist()
+    checks.write_bytes(codecs.encode_checkpoints(3, [good[0], (good[1][0], good[1][1], good[1][2] ^ 1), (good[2][0], 999, good[2][2]), good[3]]))
+    assert [tuple(r)[1:] for r in codecs.verify_replay(spark, str(tmp_path)).collect()] == [(4, 2)]

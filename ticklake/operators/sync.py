@@ -26,10 +26,16 @@ class Synchronizer:
     most: int = 200_000
 
     def update(self, first: int, final: int) -> str:
-        """What becomes of an update: buffered, ignored_stale, applied or gap_detected."""
+        """What becomes of an update: buffered, out_of_order, ignored_stale, applied or gap_detected.
+
+        An update that ends before the last one that waits is refused, and the stream counts as broken.
+        """
         if self.status in ("awaiting_snapshot", "gap"):
             if len(self.waiting) >= self.most:
                 raise OverflowError("too many updates wait for a snapshot")
+            if self.waiting and final < self.waiting[-1][1]:
+                self.status = "gap"
+                return "out_of_order"
             self.waiting.append((first, final))
             return "buffered"
         if final <= self.last:
@@ -46,7 +52,7 @@ class Synchronizer:
 
         A gap among the waiting updates keeps that update and the rest waiting for the next snapshot.
         """
-        rest = [u for u in self.waiting if u[1] > last_id]
+        rest = self.waiting = [u for u in self.waiting if u[1] > last_id]
         if rest and rest[0][0] > last_id + 1:
             return "snapshot_too_old", []
         self.last, self.waiting = last_id, []

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The layouts of the file formats.
@@ -172,6 +172,56 @@ def read_depth(spark: SparkSession, path: str, pattern: str = "*.l2bin", strict:
     return _files(spark, path, pattern).mapInArrow(run, EVENTS)
 
 
+def depth_created(head: bytes) -> int:
+    """Creation time in a depth file's header."""
+    return DEPTH_HEADER.unpack(head)[7]
+
+
+def read_checkpoints(spark: SparkSession, path: str, pattern: str = "*.l2bin") -> DataFrame:
+    """path (of the recording), event_ix, update_id, state_hash (as text) of the checkpoint files beside depth files."""
+    heads = _files(spark, path, pattern).select("path", F.substring("content", 1, DEPTH_HEADER.size).alias("head"))
+    beside = _files(spark, path, f"{pattern}.l2chk").select(F.regexp_replace("path", r"\.l2chk$", "").alias("path"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, head, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows = decode_checkpoints(data, depth_created(head))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(rows["event_index"].astype("i8")), pa.array(rows["update_id"].astype("i8")), pa.array([str(h) for h in rows["state_hash"].tolist()])], ["path", "event_ix", "update_id", "state_hash"])
+
+    return heads.join(beside, "path").mapInArrow(run, "path string, event_ix long, update_id long, state_hash string")
+
+
+def replay_changes(events: DataFrame) -> DataFrame:
+    """Level changes (path, session_id, epoch, event_ix, ts_ns, side, price, qty, final_id) of depth events.
+
+    Snapshots and boundaries start an epoch; sessions are the recordings, numbered by path (one row a recording).
+    """
+    numbers = events.select("path").distinct().withColumn("session_id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")) - 1).cast("int"))
+    rows = events.join(F.broadcast(numbers), "path").where("kind <> 'trade'")
+    w = Window.partitionBy("session_id").orderBy("event_ix").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("epoch", F.sum((F.col("kind") != "depth").cast("int")).over(w).cast("long"))
+    level = lambda s: F.transform(f"{s}s", lambda x: F.struct(F.lit(s).alias("side"), x["price"].alias("price"), x["qty"].alias("qty")))
+    each = rows.select("path", "session_id", "epoch", "event_ix", "ts_ns", F.col("final_id").cast("long").alias("final_id"), F.posexplode(F.concat(level("bid"), level("ask"))).alias("part", "l"))
+    return each.select("path", "session_id", "epoch", "event_ix", "ts_ns", "final_id", "part", "l.side", "l.price", "l.qty")
+
+
+def verify_replay(spark: SparkSession, path: str) -> DataFrame:
+    """path, checkpoints, mismatches: every checkpoint of the recordings below path against a replay of all their events.
+
+    A checkpoint holds the update id and the hash of the book after an event; an event without levels has no state of
+    its own and must not have one.
+    """
+    from ..operators import book
+
+    changes = replay_changes(read_depth(spark, path))
+    ids = changes.select("path", "session_id", "event_ix", "final_id").distinct()
+    own = book.hashed(book.states(changes, None).join(ids, ["session_id", "event_ix"]), "final_id")
+    seen = own.select("path", "event_ix", F.col("final_id").alias("_id"), F.col("state_hash").alias("_hash"))
+    both = read_checkpoints(spark, path).join(seen, ["path", "event_ix"], "left")
+    same = F.coalesce((F.col("_id") == F.col("update_id")) & (F.col("_hash") == F.col("state_hash")), F.lit(False))
+    return both.groupBy("path").agg(F.count(F.lit(1)).alias("checkpoints"), F.count_if(~same).alias("mismatches"))
+
+
 def completeness(events: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Each recording's event counts against its sidecar (path, clean_shutdown, queue_dropped, malformed, snapshots, depths, trades, boundaries); complete is null without a sidecar."""
     n = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .codecs import IDS_HEADER, QUOTE_HEADER, QUOTE_RECORD, VOLUME_SCALE, decode_ids, decode_quotes, encode_ids, encode_quotes
+from .codecs import IDS_HEADER, QUOTE_HEADER, QUOTE_RECORD, VOLUME_SCALE, decode_ids, decode_quotes, encode_checkpoints, encode_depth, encode_event, encode_ids, encode_quotes
 
 # What a sidecar says of every recording of this kind, and the types of its other fields.
 SIDECAR = {"schema_version": 1, "binary_version": 1, "record_size": QUOTE_RECORD.itemsize, "volume_scale": VOLUME_SCALE, "source": "binance_spot", "symbol": "BTCUSDT", "stream": "bookTicker"}
@@ -227,3 +227,53 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "ticklake-scratch")
     return f"{at.rstrip('/')}/recordings-{uuid.uuid4().hex}"
+
+
+def write_depth(events: DataFrame, path: str, symbol: str, every: int = 1_000) -> None:
+    """Writes each session of events (as the simulator takes them) as a depth file with checkpoints below path.
+
+    A checkpoint follows the first event with levels after each `every` events. Files get their names when whole; a
+    file that is there already is replaced only by the same session's task running again.
+    """
+    from ..operators.book import Book, state_hash
+
+    call = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = store(path)
+        files.create_dir(root, recursive=True)
+        current, sink, book, checks, place = None, None, Book(), [], 0
+
+        def close() -> None:
+            sink.close()
+            name = f"{root}/session-{current}.l2bin"
+            with files.open_output_stream(f"{name}.{call}.l2chk") as f:
+                f.write(encode_checkpoints(current + 1, checks))
+            files.move(f"{name}.{call}.l2chk", f"{name}.l2chk")
+            files.move(f"{name}.{call}", name)
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["session_id"] != current:
+                    if sink:
+                        close()
+                    current, book, checks, place = r["session_id"], Book(), [], 0
+                    sink = files.open_output_stream(f"{root}/session-{current}.l2bin.{call}")
+                    sink.write(encode_depth(current + 1, symbol, []))
+                levels = {s: [(x["price"], x["qty"]) for x in r[f"{s}s"] or []] for s in ("bid", "ask")}
+                traded = r["kind"] == "trade"
+                sink.write(encode_event(r["kind"], r["ts_ns"], 0, 1 if traded else r["first_id"], 0 if traded else r["final_id"], levels["bid"], levels["ask"], r["trade_price"] or 0, r["trade_qty"] or 0, int(bool(r["buyer_is_maker"]))))
+                if r["kind"] == "snapshot":
+                    book = Book()
+                for side, own in levels.items():
+                    for price, qty in own:
+                        book.set(side, price, qty)
+                if (levels["bid"] or levels["ask"]) and place >= every * (len(checks) + 1):
+                    checks.append((place, r["final_id"], state_hash(r["final_id"], book.best("bid"), book.best("ask"))))
+                place += 1
+        if sink:
+            close()
+        yield from ()
+
+    rows = events.repartition("session_id").sortWithinPartitions("session_id", "event_ix")
+    rows.mapInArrow(run, "done int").collect()  # no rows
