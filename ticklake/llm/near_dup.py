@@ -264,8 +264,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Words are runs of other than ASCII white space, A-Z lower-cased; a set has the distinct k-word shingles. Two
     documents are linked if 100 * intersection >= percent * union. component_id is the smallest id reachable (the
     document's own included), kept whether it is the document's own. A null or empty text has an empty set and no
-    links; a null id stays alone (component_id null, kept true); rows that share an id are each judged by their own
-    text; an empty table gives an empty result; other columns are not read.
+    links; a null id stays alone (component_id null, kept true); rows that share an id are one document: they
+    link what any of their texts links, and each row has the size of its own set; an empty table gives an empty result; other columns are not read.
     """
     arrow_limits(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -310,7 +310,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which near_duplicates() keeps the id, with all their columns; of rows with one id, one."""
+    """The rows of docs of which near_duplicates() keeps the id, with all their columns; of rows with one id, one.
+
+    Rows with a null id stay, as do null and empty texts; an empty table gives an empty result.
+    """
     judged = near_duplicates(docs, k, percent, id_col, text_col)
     gone = judged.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
     out = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
