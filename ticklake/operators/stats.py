@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quotes import finite
+from ..sources.scratch import once
 
 
 def pearson(x: str, y: str) -> Column:
@@ -67,8 +68,12 @@ def average_ranks(rows: DataFrame, column: str, name: str, keys: tuple[str, ...]
 def spearman(rows: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """spearman (and n) of x and y by keys: Pearson on average ranks of the pairs in which both are finite."""
     good = rows.where(finite(F.col(x)) & finite(F.col(y)))
-    ranked = average_ranks(average_ranks(good, x, "_rx", keys), y, "_ry", keys)
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("_rx", "_ry").alias("spearman"))
+
+    def build(good: DataFrame) -> DataFrame:
+        ranked = average_ranks(average_ranks(good, "_x", "_rx", keys), "_y", "_ry", keys)
+        return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("_rx", "_ry").alias("spearman"))
+
+    return once(good.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")), build)
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -112,12 +117,16 @@ def distinct_quantiles(rows: DataFrame, column: str, shares: list[float], keys:
 
 def quantile_table(rows: DataFrame, prediction: str, target: str, bins: int = 10) -> DataFrame:
     """Samples and mean outcome by quantile bin of the prediction; monotonicity() takes it further."""
-    edges = distinct_quantiles(rows, prediction, [i / bins for i in range(bins + 1)])
-    inner = F.when(F.size("_e") > 2, F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(1)))).otherwise(F.array().cast("array<double>"))
-    binned = rows.crossJoin(F.broadcast(edges.select(inner.alias("_e")))).withColumn("quantile", bin_of(F.col(prediction), F.col("_e")) + 1)
-    means = binned.groupBy("quantile").agg(F.count(F.lit(1)).alias("samples"), F.avg(prediction).alias("mean_prediction"), F.avg(target).alias("mean_target"), F.avg((F.col(target) > 0).cast("int")).alias("positive_rate"))
-    medians = quantiles(binned, target, [0.5], ("quantile",)).select("quantile", F.col("_q")[0].alias("median_target"))  # one row a bin
-    return means.join(F.broadcast(medians), "quantile", "left").select("quantile", "samples", "mean_prediction", "mean_target", "median_target", "positive_rate")
+
+    def build(rows: DataFrame) -> DataFrame:
+        edges = distinct_quantiles(rows, prediction, [i / bins for i in range(bins + 1)])
+        inner = F.when(F.size("_e") > 2, F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(1)))).otherwise(F.array().cast("array<double>"))
+        binned = rows.crossJoin(F.broadcast(edges.select(inner.alias("_e")))).withColumn("quantile", bin_of(F.col(prediction), F.col("_e")) + 1)
+        means = binned.groupBy("quantile").agg(F.count(F.lit(1)).alias("samples"), F.avg(prediction).alias("mean_prediction"), F.avg(target).alias("mean_target"), F.avg((F.col(target) > 0).cast("int")).alias("positive_rate"))
+        medians = quantiles(binned, target, [0.5], ("quantile",)).select("quantile", F.col("_q")[0].alias("median_target"))  # one row a bin
+        return means.join(F.broadcast(medians), "quantile", "left").select("quantile", "samples", "mean_prediction", "mean_target", "median_target", "positive_rate")
+
+    return once(rows.select(prediction, target), build)
 
 
 def monotonicity(table: DataFrame) -> DataFrame:
@@ -131,20 +140,23 @@ def stability_index(rows: DataFrame, features: tuple[str, ...], part: str = "par
     psi compares shares in the reference's decile bins (at least 1e-6 each); shift is the difference of means in
     reference deviations.
     """
-    long = rows.select(part, *features).unpivot([part], list(features), "feature", "x").where(finite(F.col("x")))
-    train = long.where(F.col(part) == reference)
-    edges = distinct_quantiles(train, "x", [i / 10 for i in range(1, 10)], ("feature",))
-    known = train.groupBy("feature").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"), F.count(F.lit(1)).alias("_n")).join(F.broadcast(edges), "feature")  # one row a feature
-    binned = long.join(F.broadcast(known), "feature").withColumn("_b", bin_of(F.col("x"), F.col("_e")))  # one row a feature
-    counts = binned.groupBy("feature", part, "_b").agg(F.count(F.lit(1)).alias("_c"), F.sum("x").alias("_sum"))
-    totals = counts.groupBy("feature", part).agg(F.sum("_c").alias("_total"), F.sum("_sum").alias("_all"))
-    slots = known.select("feature", "_m", "_s", "_n", F.explode(F.sequence(F.lit(0), F.size("_e"))).alias("_b"))
-    own = counts.where(F.col(part) == reference).select("feature", "_b", F.col("_c").alias("_r"))
-    grid = totals.where(F.col(part) != reference).join(slots, "feature").join(own, ["feature", "_b"], "left").join(counts.select("feature", part, "_b", "_c"), ["feature", part, "_b"], "left")
-    share = lambda c, n: F.greatest(F.coalesce(F.col(c), F.lit(0)) / F.col(n), F.lit(1e-6))
-    a, b = share("_c", "_total"), share("_r", "_n")
-    scale = F.when(F.col("_s") > 1e-12, F.col("_s")).otherwise(F.lit(1.0))
-    return grid.groupBy("feature", part).agg(F.sum((a - b) * F.ln(a / b)).alias("psi"), F.first((F.col("_all") / F.col("_total") - F.col("_m")) / scale).alias("shift"))
+    def build(rows: DataFrame) -> DataFrame:
+        long = rows.select(part, *features).unpivot([part], list(features), "feature", "x").where(finite(F.col("x")))
+        train = long.where(F.col(part) == reference)
+        edges = distinct_quantiles(train, "x", [i / 10 for i in range(1, 10)], ("feature",))
+        known = train.groupBy("feature").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"), F.count(F.lit(1)).alias("_n")).join(F.broadcast(edges), "feature")  # one row a feature
+        binned = long.join(F.broadcast(known), "feature").withColumn("_b", bin_of(F.col("x"), F.col("_e")))  # one row a feature
+        counts = binned.groupBy("feature", part, "_b").agg(F.count(F.lit(1)).alias("_c"), F.sum("x").alias("_sum"))
+        totals = counts.groupBy("feature", part).agg(F.sum("_c").alias("_total"), F.sum("_sum").alias("_all"))
+        slots = known.select("feature", "_m", "_s", "_n", F.explode(F.sequence(F.lit(0), F.size("_e"))).alias("_b"))
+        own = counts.where(F.col(part) == reference).select("feature", "_b", F.col("_c").alias("_r"))
+        grid = totals.where(F.col(part) != reference).join(slots, "feature").join(own, ["feature", "_b"], "left").join(counts.select("feature", part, "_b", "_c"), ["feature", part, "_b"], "left")
+        share = lambda c, n: F.greatest(F.coalesce(F.col(c), F.lit(0)) / F.col(n), F.lit(1e-6))
+        a, b = share("_c", "_total"), share("_r", "_n")
+        scale = F.when(F.col("_s") > 1e-12, F.col("_s")).otherwise(F.lit(1.0))
+        return grid.groupBy("feature", part).agg(F.sum((a - b) * F.ln(a / b)).alias("psi"), F.first((F.col("_all") / F.col("_total") - F.col("_m")) / scale).alias("shift"))
+
+    return once(rows.select(part, *features), build)
 
 
 def _newey_west_lags(n: int) -> int:
@@ -236,6 +248,10 @@ def circular_shift_test(rows: DataFrame, prediction: str, target: str, samples:
 
 def latency_percentiles(rows: DataFrame, age: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """n, p50, p99, p99.9 of an age."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    q = quantiles(rows, age, [0.5, 0.99, 0.999], keys).select(*keys, *(F.col("_q")[i].alias(x) for i, x in enumerate(("p50", "p99", "p999"))))
-    return _with_keys(sizes, q, keys)
+
+    def build(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        q = quantiles(rows, age, [0.5, 0.99, 0.999], keys).select(*keys, *(F.col("_q")[i].alias(x) for i, x in enumerate(("p50", "p99", "p999"))))
+        return _with_keys(sizes, q, keys)
+
+    return once(rows.select(*keys, age), build)

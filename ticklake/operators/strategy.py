@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import once
 from .stats import quantiles, value_places
 
 
@@ -87,23 +88,27 @@ def strategy_metrics(trades: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
 
     The median and the worst twentieth come from distinct results in value ranges, so that no task holds all trades.
     """
-    net = F.col("net_bps")
-    n, mean, dev = F.count(F.lit(1)), F.avg(net), F.stddev_samp(net)
-    won, lost = F.sum(F.when(net > 0, net)), F.sum(F.when(net < 0, net))
-    sums = drawdowns(trades, keys).groupBy(*keys).agg(
-        n.alias("trades"), F.avg((net > 0).cast("int")).alias("win_rate"), mean.alias("mean_bps"), F.sum(net).alias("total_bps"), F.avg("gross_bps").alias("gross_mean_bps"), F.sum("gross_bps").alias("gross_total_bps"), (-F.min("drawdown")).alias("max_drawdown_bps"),
-        F.when(dev > 1e-15, mean / dev * F.sqrt(n)).otherwise(F.lit(0.0)).alias("naive_t"), F.when(dev > 1e-15, mean / dev).otherwise(F.lit(0.0)).alias("sharpe"),
-        F.when(F.abs(lost) > 1e-15, F.coalesce(won, F.lit(0.0)) / F.abs(lost)).when(won.isNotNull(), F.lit(math.inf)).otherwise(F.lit(0.0)).alias("profit_factor"),
-        F.when(F.abs(lost) > 1e-15, F.coalesce(F.avg(F.when(net > 0, net)) / F.abs(F.avg(F.when(net < 0, net))), F.lit(0.0))).otherwise(F.lit(0.0)).alias("payoff"), F.greatest(F.lit(0.0), mean / 2).alias("breakeven_bps"), F.countDistinct("session_id").alias("sessions"),
-    )
-    worst = F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.05))
-    share = F.greatest(F.lit(0), F.least(F.col("_c"), worst - F.col("_below")))
-    tails = value_places(trades, "net_bps", keys).groupBy(*keys).agg((F.sum(net * share) / F.sum(share)).alias("shortfall_bps"))
-    medians = quantiles(trades, "net_bps", [0.5], keys).select(*keys, F.col("_q")[0].alias("median_bps"))
-    out = sums
-    for part in (medians, tails):
-        out = out.join(part, list(keys), "left") if keys else out.join(F.broadcast(part), how="left")
-    return out
+
+    def build(trades: DataFrame) -> DataFrame:
+        net = F.col("net_bps")
+        n, mean, dev = F.count(F.lit(1)), F.avg(net), F.stddev_samp(net)
+        won, lost = F.sum(F.when(net > 0, net)), F.sum(F.when(net < 0, net))
+        sums = drawdowns(trades, keys).groupBy(*keys).agg(
+            n.alias("trades"), F.avg((net > 0).cast("int")).alias("win_rate"), mean.alias("mean_bps"), F.sum(net).alias("total_bps"), F.avg("gross_bps").alias("gross_mean_bps"), F.sum("gross_bps").alias("gross_total_bps"), (-F.min("drawdown")).alias("max_drawdown_bps"),
+            F.when(dev > 1e-15, mean / dev * F.sqrt(n)).otherwise(F.lit(0.0)).alias("naive_t"), F.when(dev > 1e-15, mean / dev).otherwise(F.lit(0.0)).alias("sharpe"),
+            F.when(F.abs(lost) > 1e-15, F.coalesce(won, F.lit(0.0)) / F.abs(lost)).when(won.isNotNull(), F.lit(math.inf)).otherwise(F.lit(0.0)).alias("profit_factor"),
+            F.when(F.abs(lost) > 1e-15, F.coalesce(F.avg(F.when(net > 0, net)) / F.abs(F.avg(F.when(net < 0, net))), F.lit(0.0))).otherwise(F.lit(0.0)).alias("payoff"), F.greatest(F.lit(0.0), mean / 2).alias("breakeven_bps"), F.countDistinct("session_id").alias("sessions"),
+        )
+        worst = F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.05))
+        share = F.greatest(F.lit(0), F.least(F.col("_c"), worst - F.col("_below")))
+        tails = value_places(trades, "net_bps", keys).groupBy(*keys).agg((F.sum(net * share) / F.sum(share)).alias("shortfall_bps"))
+        medians = quantiles(trades, "net_bps", [0.5], keys).select(*keys, F.col("_q")[0].alias("median_bps"))
+        out = sums
+        for part in (medians, tails):
+            out = out.join(part, list(keys), "left") if keys else out.join(F.broadcast(part), how="left")
+        return out
+
+    return once(trades, build)
 
 
 def cost_stress(trades: DataFrame, fee: float, slippage: float, extra: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -120,16 +125,24 @@ def session_table(trades: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def regimes(rows: DataFrame, column: str, prediction: str, target: str, least: int = 10) -> DataFrame:
     """Tercile buckets of a column with samples, IC and mean absolute error; buckets below least rows have samples only."""
-    cuts = quantiles(rows, column, [1 / 3, 2 / 3]).select(F.col("_q")[0].alias("_a"), F.col("_q")[1].alias("_b"))
-    bucket = F.when(F.col(column) <= F.col("_a"), "low").when(F.col(column) <= F.col("_b"), "middle").otherwise("high")
-    enough = F.count(F.lit(1)) >= least
-    return rows.crossJoin(F.broadcast(cuts)).groupBy(bucket.alias("regime")).agg(F.count(F.lit(1)).alias("samples"), F.when(enough, F.corr(prediction, target)).alias("ic"), F.when(enough, F.avg(F.abs(F.col(prediction) - F.col(target)))).alias("mae"))
+
+    def build(rows: DataFrame) -> DataFrame:
+        cuts = quantiles(rows, column, [1 / 3, 2 / 3]).select(F.col("_q")[0].alias("_a"), F.col("_q")[1].alias("_b"))
+        bucket = F.when(F.col(column) <= F.col("_a"), "low").when(F.col(column) <= F.col("_b"), "middle").otherwise("high")
+        enough = F.count(F.lit(1)) >= least
+        return rows.crossJoin(F.broadcast(cuts)).groupBy(bucket.alias("regime")).agg(F.count(F.lit(1)).alias("samples"), F.when(enough, F.corr(prediction, target)).alias("ic"), F.when(enough, F.avg(F.abs(F.col(prediction) - F.col(target)))).alias("mae"))
+
+    return once(rows.select(column, prediction, target), build)
 
 
 def capacity_summary(trades: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    ends = trades.groupBy(*keys).agg(F.min("capacity").alias("least"), F.max("capacity").alias("most"))
-    middle = quantiles(trades, "capacity", [0.5], keys).select(*keys, F.col("_q")[0].alias("median"))
-    return (ends.join(middle, list(keys), "left") if keys else ends.join(F.broadcast(middle), how="left")).select(*keys, "least", "median", "most")
+
+    def build(trades: DataFrame) -> DataFrame:
+        ends = trades.groupBy(*keys).agg(F.min("capacity").alias("least"), F.max("capacity").alias("most"))
+        middle = quantiles(trades, "capacity", [0.5], keys).select(*keys, F.col("_q")[0].alias("median"))
+        return (ends.join(middle, list(keys), "left") if keys else ends.join(F.broadcast(middle), how="left")).select(*keys, "least", "median", "most")
+
+    return once(trades.select(*keys, "capacity"), build)
 
 
 def best_threshold(metrics: DataFrame, smallest: float, least_trades: int) -> float:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.quotes import finite
 from ..operators import stats, strategy
 from ..operators.features import FEATURES, delayed
+from ..sources.scratch import once
 from . import ridge
 from .split import chronological_split
 
@@ -39,7 +40,7 @@ class Costs:
 
 def thresholds(validation: DataFrame, prediction: str) -> list[float]:
     """Distinct quantiles of |prediction|, ascending."""
-    row = stats.quantiles(validation.select(F.abs(F.col(prediction)).alias("_p")), "_p", list(THRESHOLD_SHARES)).first()
+    row = once(validation.select(F.abs(F.col(prediction)).alias("_p")), lambda rows: stats.quantiles(rows, "_p", list(THRESHOLD_SHARES))).first()
     return sorted(set(row["_q"])) if row else [0.0]
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codecs import IDS_HEADER, QUOTE_HEADER, QUOTE_RECORD, VOLUME_SCALE, decode_ids, decode_quotes, encode_checkpoints, encode_depth, encode_event, encode_ids, encode_quotes
+from .scratch import folder
 
 # What a sidecar says of every recording of this kind, and the types of its other fields.
 SIDECAR = {"schema_version": 1, "binary_version": 1, "record_size": QUOTE_RECORD.itemsize, "volume_scale": VOLUME_SCALE, "source": "binance_spot", "symbol": "BTCUSDT", "stream": "bookTicker"}
@@ -220,13 +220,8 @@ def write_recordings(quotes: DataFrame, path: str, batch: int = 4096) -> list[Re
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, a local one only in local mode."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = "file://" + os.path.join(tempfile.gettempdir(), "ticklake-scratch")
-    return f"{at.rstrip('/')}/recordings-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{folder(spark)}/recordings-{uuid.uuid4().hex}"
 
 
 def write_depth(events: DataFrame, path: str, symbol: str, every: int = 1_000) -> None:
