@@ -578,3 +578,26 @@ def test_replay_finds_spoiled_checkpoints(spark, tmp_path):
     good = codecs.decode_checkpoints(checks.read_bytes(), 3).tolist()
     checks.write_bytes(codecs.encode_checkpoints(3, [good[0], (good[1][0], good[1][1], good[1][2] ^ 1), (good[2][0], 999, good[2][2]), good[3]]))
     assert [tuple(r)[1:] for r in codecs.verify_replay(spark, str(tmp_path)).collect()] == [(4, 2)]
+
+
+def test_groups_are_fitted_as_if_alone(spark, sf):
+    from ticklake.queries import QUERIES  # first: the catalog registers itself with it
+    from ticklake.catalog.quotes import features
+
+    parted = split.chronological_split(features(spark, sf), 25).cache()
+    train, validation = (parted.where(F.col("part") == p) for p in ("train", "validation"))
+    groups = {"a": ("imbalance", "spread_bps"), "b": ("spread_bps", "mid_return_5", "microprice_edge_bps"), "c": ("imbalance",)}
+    together = ridge.fit_groups(train, validation, groups)
+    for name, own in groups.items():
+        alone = ridge.fit(train, validation, own)
+        assert together[name].features == alone.features and together[name].penalty == alone.penalty
+        assert together[name].beta == pytest.approx(alone.beta) and together[name].intercept == pytest.approx(alone.intercept) and together[name].mean == pytest.approx(alone.mean)
+    parted.unpersist()
+    rows = {r.group: r for r in QUERIES["feature_group_study"](spark, sf).collect()}
+    assert {g: r.features for g, r in rows.items()} == {"top_of_book": 12, "depth": 14, "all": 26} and all(r.rows > 0 and r.mse > 0 for r in rows.values())
+
+
+def test_correlation_without_spread(spark):
+    rows = [("flat", 1.0, 2.0), ("flat", 2.0, 2.0), ("one", 1.0, 1.0), ("gaps", 1.0, None), ("gaps", 2.0, 5.0), ("gaps", 4.0, 1.0), ("gaps", None, 9.0), ("none", None, None)]
+    got = {r.k: r.r for r in spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(stats.pearson("x", "y").alias("r")).collect()}
+    assert got == {"flat": 0.0, "one": None, "gaps": pytest.approx(-1.0), "none": None}

@@ -160,3 +160,19 @@ _DELAYS = " UNION ALL ".join(f"SELECT CAST({d} AS INTEGER) AS delay, count(*) AS
 @register("delay_stress", _DELAYS, "mean_bps total_bps")
 def delay_stress(spark, sf_dir):
     return research.delay_stress(scored(spark, sf_dir), "score", 0.4, HORIZON, research.Costs(FEE, SLIPPAGE), (0, 1, 5)).select("delay", "trades", "mean_bps", "total_bps")
+
+
+@register("feature_group_study")
+def feature_group_study(spark, sf_dir):
+    """Models of the depth features: the top of the book, what is below it, and all; on whole sessions held out."""
+    from ..operators import book
+    from ..sources.scratch import written
+    from ..sources.views import trades as traded
+    from .depth import changes
+
+    own = traded(spark, sf_dir).withColumn("epoch", F.lit(0).cast("long"))
+    rows, _ = written(book.l2_features(changes(spark, sf_dir), own, HORIZON))
+    groups = {"top_of_book": research.TOP_OF_BOOK, "depth": tuple(f for f in book.L2_FEATURES if f not in research.TOP_OF_BOOK), "all": book.L2_FEATURES}
+    found = research.group_study(chronological_split(rows, 25), groups, HORIZON, research.Costs(FEE, SLIPPAGE))
+    cells = [(x["group"], x["features"], x["penalty"], x["threshold"], x["regression"]["n"], x["regression"]["mse"], x["regression"]["pearson_ic"], x["strategy"]["trades"]) for x in found]
+    return spark.createDataFrame(cells, "group string, features int, penalty double, threshold double, rows long, mse double, pearson_ic double, trades long")

@@ -12,10 +12,14 @@ from ..sources.scratch import once
 
 
 def pearson(x: str, y: str) -> Column:
-    """Correlation as an aggregate: null with fewer than two rows, 0 if one side has no spread."""
-    n = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
-    flat = (F.stddev_pop(x) <= 1e-15) | (F.stddev_pop(y) <= 1e-15)
-    return F.when(n < 2, F.lit(None).cast("double")).when(flat, F.lit(0.0)).otherwise(F.corr(x, y))
+    """Correlation as an aggregate over rows with both: null with fewer than two, 0 if one side has no spread.
+
+    The quotient is spelled out, as corr() divides by zero before a condition around it could help.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    flat = (F.stddev_pop(a) <= 1e-15) | (F.stddev_pop(b) <= 1e-15)
+    return F.when(F.count(a) < 2, F.lit(None).cast("double")).when(flat, F.lit(0.0)).otherwise(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def value_places(rows: DataFrame, column: str, keys: tuple[str, ...] = (), parts: int = 64) -> DataFrame:

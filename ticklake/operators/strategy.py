@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import once
-from .stats import quantiles, value_places
+from .stats import pearson, quantiles, value_places
 
 
 def opportunities(rows: DataFrame, prediction: str, threshold: Column, participation: float = 1.0) -> DataFrame:
@@ -130,7 +130,7 @@ def regimes(rows: DataFrame, column: str, prediction: str, target: str, least: i
         cuts = quantiles(rows, column, [1 / 3, 2 / 3]).select(F.col("_q")[0].alias("_a"), F.col("_q")[1].alias("_b"))
         bucket = F.when(F.col(column) <= F.col("_a"), "low").when(F.col(column) <= F.col("_b"), "middle").otherwise("high")
         enough = F.count(F.lit(1)) >= least
-        return rows.crossJoin(F.broadcast(cuts)).groupBy(bucket.alias("regime")).agg(F.count(F.lit(1)).alias("samples"), F.when(enough, F.corr(prediction, target)).alias("ic"), F.when(enough, F.avg(F.abs(F.col(prediction) - F.col(target)))).alias("mae"))
+        return rows.crossJoin(F.broadcast(cuts)).groupBy(bucket.alias("regime")).agg(F.count(F.lit(1)).alias("samples"), F.when(enough, pearson(prediction, target)).alias("ic"), F.when(enough, F.avg(F.abs(F.col(prediction) - F.col(target)))).alias("mae"))
 
     return once(rows.select(column, prediction, target), build)
 

@@ -105,6 +105,17 @@ def baselines(parted: DataFrame, horizon: int, costs: Costs, signals: tuple[str,
     return out
 
 
+def group_study(parted: DataFrame, groups: dict[str, tuple[str, ...]], horizon: int, costs: Costs = Costs()) -> list[dict]:
+    """What each group of features is worth by itself: fitted, given a threshold on validation rows, and evaluated on test rows."""
+    train, validation, test = (parted.where(F.col("part") == p) for p in ("train", "validation", "test"))
+    out = []
+    for group, model in ridge.fit_groups(train, validation, groups).items():
+        scored = lambda part: part.withColumn("prediction", model.column())  # noqa: E731, B023
+        threshold = select_threshold(scored(validation), "prediction", horizon, costs)
+        out.append({"group": group, "features": len(model.features), "penalty": model.penalty, "threshold": threshold} | evaluate(scored(test), "prediction", threshold, horizon, costs))
+    return out
+
+
 def walk_forward(features: DataFrame, sessions: list[int], horizon: int, costs: Costs = Costs(), names: tuple[str, ...] = FEATURES) -> list[dict]:
     """Anchored folds: train on all sessions but the last two seen, validate on the next, evaluate on the one after."""
     out = []

@@ -75,13 +75,23 @@ def squared_error(g: np.ndarray, beta: np.ndarray, intercept: float) -> float:
 
 def fit(train: DataFrame, validation: DataFrame, features: tuple[str, ...], target: str = "target", penalties: tuple[float, ...] = PENALTIES) -> Ridge:
     """The penalty with the least validation error (the first of equal ones); mean and scale come from the training rows alone."""
+    return fit_groups(train, validation, {"all": features}, target, penalties)["all"]
+
+
+def fit_groups(train: DataFrame, validation: DataFrame, groups: dict[str, tuple[str, ...]], target: str = "target", penalties: tuple[float, ...] = PENALTIES) -> dict[str, Ridge]:
+    """A model for each group of features: every group's Gram matrix is a part of that of all features, which is read once."""
+    features = tuple(dict.fromkeys(f for own in groups.values() for f in own))
     mean, scale = moments(train, features)
     names = ("_one", *(f"_z{i}" for i in range(len(features))), target)
     grams = [matrix(gram(standardised(part, features, mean, scale).withColumn("_one", F.lit(1.0)), names).first(), len(names)) for part in (train, validation)]
-    best = None
-    for p in penalties:
-        beta, intercept = solve(grams[0], p)
-        error = squared_error(grams[1], beta, intercept)
-        if best is None or error < best[0]:
-            best = (error, p, beta, intercept)
-    return Ridge(tuple(features), tuple(mean.tolist()), tuple(scale.tolist()), tuple(best[2].tolist()), float(best[3]), best[1])
+    out = {}
+    for group, own in groups.items():
+        places = [features.index(f) for f in own]
+        cells = np.ix_(*[[0, *(i + 1 for i in places), len(features) + 1]] * 2)
+        fits = []
+        for p in penalties:
+            beta, intercept = solve(grams[0][cells], p)
+            fits.append((squared_error(grams[1][cells], beta, intercept), p, beta, intercept))
+        _, p, beta, intercept = min(fits, key=lambda x: x[0])  # the first of equal ones
+        out[group] = Ridge(tuple(own), tuple(mean[places].tolist()), tuple(scale[places].tolist()), tuple(beta.tolist()), float(intercept), p)
+    return out
