@@ -297,10 +297,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     all tasks, more are joined by shuffle.
     """
     candidates, found = _matches(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), benchmark, threshold)
-    digest = lambda c: F.unhex(F.sha2(F.col(c), 256))
-    bad = materialize(candidates.join(found.select("key").distinct(), "key", "left_semi").select(digest("text").alias("_digest")).distinct(), "contaminated")
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    bad = materialize(candidates.join(found.select("key").distinct(), "key", "left_semi").select(digest(F.col("text")).alias("_digest")).distinct(), "contaminated")
     discard(candidates)
     discard(found)
     if bad.count() <= BROADCAST_TEXTS:
         bad = F.broadcast(bad)
-    return docs.join(bad, digest(text_col) == F.col("_digest"), "left_anti")
+    return docs.join(bad, digest(docs[text_col]) == bad["_digest"], "left_anti")
