@@ -20,14 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, arrow_limits, by_batches, texts
+from .common import TwoGenerationCache, arrow_limits, by_batches, release_memory, texts
 
 # White space and the word pattern of the byte-level pre-tokeniser.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORDS = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])|[{W}]+"
 PIECES = _WORDS.format(L=r"\p{L}", N=r"\p{N}", W=WHITE)
 #: Bytes of words and their ids that stay known in one process (twice, while the older half is on its way out), and bytes of ids that are decoded at once.
-CACHE_BYTES, DECODE_BYTES = 48 << 20, 1 << 20
+CACHE_BYTES, DECODE_BYTES = 24 << 20, 1 << 20
 #: Texts of these characters alone go through the plain engine, with letters and numbers spelled out.
 COMMON = r"\x00-\u024f\u2000-\u206f\u20a0-\u20bf"
 COMMON_PIECES = _WORDS.format(L="A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", N="0-9\xb2\xb3\xb9\xbc-\xbe", W=WHITE)
@@ -115,7 +115,7 @@ class ByteBPE:
         if known is None:
             right = self._edge(b, 0)
             known = not any((m := self.merge.get((x, y))) is not None and m < x_end and m <= y_end for x, x_end in self._edge(a, 1) for y, y_end in right)
-            if len(self.follows) > 300_000:
+            if len(self.follows) > 150_000:
                 self.follows.clear()
             self.follows[key] = known
         return known
@@ -153,6 +153,11 @@ class ByteBPE:
             before = word
         return out
 
+    def forget(self) -> None:
+        """Empties the cache, so that an idle worker holds little more than the vocabulary."""
+        self.cache = TwoGenerationCache(CACHE_BYTES)
+        release_memory()
+
     def learn(self, pieces: list[str]) -> None:
         """Puts the encodings of pieces that are not known yet into the cache."""
         new = self.cache.missing(pieces)
@@ -222,6 +227,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             decoded = bpe.decode_batch(ids)
             out = {"token_ids": pa.array(ids, pa.binary()), "same": pa.array([x == y for x, y in zip(given, decoded, strict=True)], pa.bool_())} | ({"decoded": pa.array(decoded, pa.string())} if with_text else {})
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out.values()], [*b.schema.names[:-1], *out])
+        bpe.forget()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{fields}, token_ids binary, same boolean" + ", decoded string" * with_text)

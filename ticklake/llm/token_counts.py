@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, arrow_limits, by_batches, texts
+from .common import TwoGenerationCache, arrow_limits, by_batches, release_memory, texts
 
 MARK = "▁"
 #: Bytes of segments and their counts that stay known in one process (twice, while the older half is on its way out).
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
 _CUT = re.compile(r"(?<=[^ ]) (?=[^ ])")
 
 
@@ -48,6 +48,11 @@ class PieceCounter:
         self.safe = not any(MARK in p.lstrip(MARK) for p in pieces) and self.sp.encode("a b") == self.sp.encode("a") + self.sp.encode("b")
         self.batch_bytes, self.cache = batch_bytes, TwoGenerationCache(CACHE_BYTES)
 
+    def forget(self) -> None:
+        """Empties the cache, so that an idle worker holds little more than the model."""
+        self.cache = TwoGenerationCache(CACHE_BYTES)
+        release_memory()
+
     def segments(self, text: str) -> list[str]:
         if MARK in text:
             text = text.replace(MARK, " ")
@@ -75,6 +80,9 @@ class JsonCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
+    def forget(self) -> None:
+        release_memory()
+
     def count(self, batch: list[str]) -> list[int]:
         return [len(e.ids) for part in balanced(batch, self.batch_bytes) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
 
@@ -101,6 +109,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
         counter = load(tokenizer)
         for b in by_batches(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counter.count(texts(b, "text")), pa.int64())], ["id", "n_bytes", "n_tokens"])
+        counter.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
