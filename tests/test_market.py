@@ -1,5 +1,6 @@
 """Books, synchronisation, simulated execution and file formats against simple models and worked cases."""
 
+import os
 import random
 
 import numpy as np
@@ -375,6 +376,31 @@ def test_features_in_blocks_equal_those_of_whole_sessions(spark, sf):
     assert rounded(whole).exceptAll(rounded(parts)).isEmpty() and rounded(parts).exceptAll(rounded(whole)).isEmpty()
 
 
+def test_blocks_have_one_set_of_cuts(spark, monkeypatch):
+    """Approximate quantiles that come out otherwise each time, as they do from several executors."""
+    from ticklake.operators.features import in_blocks
+
+    real = F.percentile_approx
+    moved = F.udf(lambda cuts: [c + int.from_bytes(os.urandom(1), "big") for c in cuts], "array<bigint>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *args: moved(real(*args)))
+    rows = spark.range(40_000).select(F.lit(1).alias("session_id"), F.col("id").alias("event_ix"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.exchange.reuse")}
+    try:
+        for k, v in zip(kept, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = in_blocks(rows, 25, 20, 8, 10_000).select("event_ix", "block", "first", "halo").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    own = sorted((r.event_ix, r.block, r.first) for r in found if not r.halo)
+    assert [x for x, _, _ in own] == list(range(40_000)) and len({b for _, b, _ in own}) == 8
+    starts = {b: x for x, b, _ in reversed(own)}
+    ends = {b: x for x, b, _ in own}
+    assert all(starts[b] == first for _, b, first in own)
+    want = {(x, b) for b in starts for x in [*range(starts[b] - 25, starts[b]), *range(ends[b] + 1, ends[b] + 21)] if 0 <= x < 40_000}
+    assert {(r.event_ix, r.block) for r in found if r.halo} == want
+
+
 def test_queries_take_every_event(spark, sf):
     """Against brute force over all events; the SQL of some of these reads only a part of the events."""
     from ticklake.queries import QUERIES

@@ -138,16 +138,31 @@ def delayed(column: str, delay: int) -> Column:
     return F.coalesce(F.lag(column, delay).over(in_order()), F.lit(0.0))
 
 
+def _cuts(rows: DataFrame, blocks: int, least: int) -> list[tuple]:
+    """(session_id, cuts) of the sessions of at least least rows: approximate quantiles of event_ix.
+
+    They are worked out once, here, as their values depend on the order in which partial results arrive: a plan that
+    worked them out in each of its branches would cut the same session in several ways.
+    """
+    shares = F.array(*(F.lit(i / blocks) for i in range(1, blocks)))
+    known = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("event_ix", shares, F.lit(100 * blocks)).alias("cuts"))
+    return [(r.session_id, sorted(set(r.cuts))) for r in known.where(F.col("n") >= least).select("session_id", "cuts").collect()]
+
+
 def in_blocks(rows: DataFrame, before: int, after: int, blocks: int, least: int) -> DataFrame:
     """rows with block, first (place in the session of the block's first row), session_rows and halo.
 
     Sessions of at least least rows are cut at approximate quantiles of event_ix into about that many blocks; the
     before last rows of a block are repeated in the next one and the after first rows in the one before it (halo true).
     """
-    shares = F.array(*(F.lit(i / blocks) for i in range(1, blocks)))
-    known = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("session_rows"), F.percentile_approx("event_ix", shares, F.lit(100 * blocks)).alias("_cuts"))
-    known = known.withColumn("_cuts", F.when(F.col("session_rows") >= max(least, 20 * blocks * (before + after)), F.array_distinct("_cuts")).otherwise(F.array().cast("array<bigint>")))
-    placed = rows.join(known, "session_id").withColumn("block", F.size(F.filter("_cuts", lambda c: c < F.col("event_ix")))).drop("_cuts")
+    lengths = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("session_rows"))
+    placed = rows.join(lengths, "session_id")
+    cuts = _cuts(rows, blocks, max(least, 20 * blocks * (before + after)))
+    if cuts:
+        known = rows.sparkSession.createDataFrame(cuts, f"session_id {rows.schema['session_id'].dataType.simpleString()}, _cuts array<bigint>")
+        placed = placed.join(F.broadcast(known), "session_id", "left").withColumn("block", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("event_ix"))), F.lit(0))).drop("_cuts")
+    else:
+        placed = placed.withColumn("block", F.lit(0))
     sizes = placed.groupBy("session_id", "block").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("first", F.coalesce(F.sum("_n").over(w), F.lit(0)))  # one row a block
