@@ -96,6 +96,29 @@ def test_a_group_of_edited_copies_equals_brute_force(spark, monkeypatch):
     assert got == components_by_force({i: shingles(t, 3) for i, t in rows}, 85)
 
 
+@pytest.mark.parametrize("buckets", [0, 21])
+def test_of_large_groups_only_the_first_shingles_are_joined(spark, monkeypatch, buckets):
+    """Whatever the frequencies say, the prefix filter is exact; the rows that it joins are a part of all shingles."""
+    monkeypatch.setattr(near_dup, "FREQUENCIES", buckets, raising=False)
+    joined = []
+    with_groups = near_dup._with_groups
+    monkeypatch.setattr(near_dup, "_with_groups", lambda rows, key, *more, **where: (joined.append(rows.count()), with_groups(rows, key, *more, **where))[1])
+    r = random.Random(8)
+    rows = []
+    for i in range(60):
+        own = [f"w{x}" for x in range(100)]
+        for at in r.sample(range(100), r.choice((1, 3, 6))):
+            own[at] = f"e{r.randrange(9) if r.random() < 0.5 else i * 1000 + at}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame([*rows, rows[0]], "id long, text string")
+    sets = {i: near_dup.shingle_set(t, 3) for i, t in rows}
+    members = spark.createDataFrame([(i, i, len(x), bytearray(near_dup.set_id(x))) for i, x in sets.items()], "rep long, comp long, n long, sid binary")
+    found = {(x.a, x.b) for x in near_dup._across_hot(members, docs, 3, 85).collect()}
+    alike = {(i, j) for i in sets for j in sets if i < j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    assert alike and alike <= found
+    assert sum(joined) <= 0.2 * sum(map(len, sets.values()))
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):

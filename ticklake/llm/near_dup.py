@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, by_batches, discard, materialize, texts, word_windows
@@ -32,6 +32,8 @@ MANTISSA = 10
 BLOCK, HOT_BLOCK = 64, 2048
 #: Groups (a key and a few numbers each) that are broadcast.
 BROADCAST_GROUPS = 100_000
+#: Most hash buckets for the frequencies of shingles, as a power of two: 8 MB that go to all tasks.
+FREQUENCIES = 21
 #: An empty bucket takes the register of the first filled bucket in its own fixed order of all buckets.
 _ORDERS = np.stack([np.random.default_rng(4000 + j).permutation(REGISTERS) for j in range(REGISTERS)])
 
@@ -211,19 +213,55 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return _units(members, ["key"], BLOCK, lambda a, b, same: _candidates(a, b, same, test), members.schema["rep"].dataType.simpleString())
 
 
-def _shingles(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """rep, comp, n, shingle: every shingle of each member (rep, comp, n, sid)."""
-    kind = members.schema["rep"].dataType.simpleString()
-    wide = members.join(docs, F.col("rep") == F.col("id"))
+def _member_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray]]]]:
+    """Batches of rows with sid and text, and the places and sets of those rows whose text has that set."""
+    for b in by_batches(batches):
+        yield b, [(i, s) for i, (t, sid) in enumerate(zip(texts(b), b.column("sid").to_pylist(), strict=True)) if set_id(s := shingle_set(t, k)) == sid]
+
+
+def _frequencies(wide: DataFrame, k: int, size: int) -> np.ndarray:
+    """How many shingles of all members fall into each of size hash buckets. wide: sid, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_batches(batches):
-            sets = [(i, s) for i, (t, sid) in enumerate(zip(texts(b), b.column("sid").to_pylist(), strict=True)) if set_id(s := shingle_set(t, k)) == sid]
-            at = pa.array(np.repeat([i for i, _ in sets], [len(s) for _, s in sets]).astype(np.int64))
-            values = np.concatenate([np.zeros(0, np.uint64), *(s for _, s in sets)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("rep", "comp", "n")), pa.array(values)], ["rep", "comp", "n", "shingle"])
+        counts = np.zeros(size, np.int64)
+        for _, sets in _member_sets(batches, k):
+            for _, s in sets:
+                np.add.at(counts, s % np.uint64(size), 1)
+        at = np.flatnonzero(counts)
+        for i in range(0, len(at), 100_000):
+            part = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["bucket", "n"])
+
+    found = wide.select("sid", "text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.uint32)
+    out[found.column("bucket").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+    return out
+
 
-    return wide.select("rep", "comp", "n", "sid", "text").mapInArrow(run, f"rep {kind}, comp {kind}, n long, shingle long")
+def _heads(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """rep, comp, n, shingle, place: the first n - ceil(percent / 100 * n) + 1 shingles of each member (rep, comp, n, sid), from rare to frequent.
+
+    The frequency is that of a shingle's hash bucket, of which there are about as many as shingles, up to FREQUENCIES;
+    shingles of one frequency are ordered by value. All members share the order, which is all that the prefix filter asks for.
+    """
+    kind = members.schema["rep"].dataType.simpleString()
+    wide = materialize(members.join(docs, F.col("rep") == F.col("id")).select("rep", "comp", "n", "sid", "text"), "hot")
+    total = wide.agg(F.sum("n")).first()[0] or 0
+    size = 1 << min(max(total.bit_length(), 10), FREQUENCIES)
+    frequencies = _frequencies(wide, k, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, sets in _member_sets(batches, k):
+            heads = [s[np.lexsort((s, frequencies[s % np.uint64(size)]))[: len(s) - -(-len(s) * percent // 100) + 1]] for _, s in sets]
+            lengths = [len(h) for h in heads]
+            at = pa.array(np.repeat([i for i, _ in sets], lengths).astype(np.int64))
+            values = np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)
+            places = np.concatenate([np.zeros(0, np.int64), *map(np.arange, lengths)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("rep", "comp", "n")), pa.array(values), pa.array(places)], ["rep", "comp", "n", "shingle", "place"])
+
+    out = materialize(wide.mapInArrow(run, f"rep {kind}, comp {kind}, n long, shingle long, place long"), "heads")
+    discard(wide)
+    return out
 
 
 def _with_groups(rows: DataFrame, key: str, *aggregates: F.Column, where: str = "true") -> DataFrame:
@@ -244,11 +282,7 @@ def _across_hot(members: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     after it is enough for the overlap that the sizes ask for. The rarest shingles are the edits by which a copy
     differs, so copies that have nothing but a common original in common do not meet.
     """
-    shingles = materialize(_shingles(members, docs, k), "shingles")
-    rows = _with_groups(shingles, "shingle").withColumnRenamed("size", "df")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")) - 1)
-    heads = materialize(rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).drop("df"), "heads")
-    discard(shingles)
+    heads = _heads(members, docs, k, percent)
     mixed = _with_groups(heads, "shingle", F.min("comp").alias("low"), F.max("comp").alias("high"), where="low <> high")
 
     def test(x: tuple, y: list[np.ndarray]) -> np.ndarray:
