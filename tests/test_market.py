@@ -203,6 +203,38 @@ def test_synchronizer_bridge_gap_and_old_snapshot():
     assert s.snapshot(100) == ("gap", [(101, 102)]) and s.waiting == [(105, 106), (107, 107)]
 
 
+@pytest.mark.parametrize("block", [1, 7, 64, None])
+def test_levels_by_interval_in_blocks_of_events(spark, block):
+    """Two sessions, two epochs, deep and empty books, levels that never change, events of several changes, a price set twice in one."""
+    r = random.Random(23)
+    rows = [(s, e, -1, 0, "bid", p, 9) for s in (0, 1) for e in (0, 1) for p in range(900, 900 + 40 * s)]
+    for s, e, i in ((s, e, i) for s in (0, 1) for e in (0, 1) for i in range(150)):
+        for part in range(r.choice((1, 1, 3))):
+            side = r.choice(("bid", "ask"))
+            rows.append((s, e, i * 10, part, side, (1000 - r.randint(1, 3)) if side == "bid" else 1000 + r.randint(1, 3), r.choice((0, 0, 1, 5))))
+    rows = list({(s, e, i, part, side, p): (s, e, i, part, side, p, q) for s, e, i, part, side, p, q in ((s, e, i, n if i < 0 else part, side, p, q) for n, (s, e, i, part, side, p, q) in enumerate(rows))}.values())
+    df = spark.createDataFrame(rows, "session_id int, epoch long, event_ix long, part int, side string, price long, qty long")
+    want, levels = set(), {}
+    for at in sorted({x[:3] for x in rows}):
+        for s, e, _, _, side, p, q in sorted(x for x in rows if x[:3] == at):
+            levels[s, e, side, p] = q
+        for side, sign in (("bid", -1), ("ask", 1)):
+            best = sorted(((p, q) for (s, e, d, p), q in levels.items() if (s, e, d) == (*at[:2], side) and q), key=lambda x: sign * x[0])
+            want |= {(*at, side, p, q, k + 1) for k, (p, q) in enumerate(best[:5])}
+    found = book.levels_by_interval(df, 5, **({"block": block} if block else {}))
+    got = [tuple(x) for x in found.collect()]
+    assert found.columns == ["session_id", "epoch", "event_ix", "side", "price", "qty", "rank"] and len(got) == len(set(got)) and set(got) == want
+    assert book.levels_by_interval(df.limit(0), 5).isEmpty()
+
+
+def test_levels_by_interval_meet_events_of_their_block_only(spark, sf):
+    """A join by session compares each event with all lifetimes of the session, whose number grows with the events."""
+    from ticklake.queries import QUERIES
+
+    plan = QUERIES["book_top5_by_interval"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= born" not in plan and "block" in plan
+
+
 def test_book_by_fold_equals_model_and_intervals(spark):
     r = random.Random(17)
     rows = [(0, 0, i, i, r.choice(("bid", "ask")), 0, r.randint(0, 5)) for i in range(400)]

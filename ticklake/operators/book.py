@@ -10,7 +10,9 @@ import bisect
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,22 +30,74 @@ def with_epochs(events: DataFrame, starts: Column) -> DataFrame:
 
 
 def lifetimes(changes: DataFrame) -> DataFrame:
-    """Each level quantity with the events [born, died) between which it stands; died is null while it stands at the end."""
+    """Each level quantity with the events [born, died) between which it stands; died is null while it stands at the end.
+
+    If changes have a block, that of born (block) and that of died (died_block) come with them.
+    """
     last = F.row_number().over(Window.partitionBy(*KEYS, "side", "price", "event_ix").orderBy(F.desc("part"))) if "part" in changes.columns else None
     rows = changes if last is None else changes.withColumn("_r", last).where("_r = 1").drop("_r")
     w = Window.partitionBy(*KEYS, "side", "price").orderBy("event_ix")
-    return rows.select(*KEYS, "side", "price", "qty", F.col("event_ix").alias("born"), F.lead("event_ix").over(w).alias("died"))
-
-
-def levels_by_interval(changes: DataFrame, depth: int) -> DataFrame:
-    """session_id, epoch, event_ix, side, price, qty, rank: the best levels after each event, by joining events to lifetimes."""
-    life = lifetimes(changes).where("qty > 0").withColumnsRenamed({k: f"_{k}" for k in KEYS})
-    events = changes.select(*KEYS, "event_ix").distinct()
-    alive = (F.col("event_ix") >= F.col("born")) & (F.col("died").isNull() | (F.col("event_ix") < F.col("died")))
-    joined = events.join(life, (F.col("session_id") == F.col("_session_id")) & (F.col("epoch") == F.col("_epoch")) & alive)
-    best_first = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
-    ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS, "event_ix", "side").orderBy(best_first)))
-    return ranked.where(F.col("rank") <= depth).select(*KEYS, "event_ix", "side", "price", "qty", "rank")
+    blocks = [F.col("block"), F.lead("block").over(w).alias("died_block")] if "block" in changes.columns else []
+    return rows.select(*KEYS, "side", "price", "qty", F.col("event_ix").alias("born"), F.lead("event_ix").over(w).alias("died"), *blocks)
+
+
+def _best_standing(order: pa.ChunkedArray, start: np.ndarray, stop: np.ndarray, events: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """place of the event, rank from 0, and row, for the best depth levels of one side that stand after each event.
+
+    Row i stands from place start[i] to before stop[i]; rows with one order are one price, and no two of them stand at
+    once. Prices are taken best first, until all events have their levels.
+    """
+    price = pc.rank(order, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+    rows = np.flatnonzero(start < stop)
+    rows = rows[np.argsort(price[rows], kind="stable")]
+    ends = np.append(np.flatnonzero(np.diff(price[rows])) + 1, len(rows)) if len(rows) else []
+    held, found, at = np.zeros(events, np.int64), np.full((events, depth), -1, np.int64), 0
+    for end in ends:
+        own, at = rows[at:end], end
+        length = stop[own] - start[own]
+        place = np.repeat(start[own] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        few = held[place] < depth
+        found[place[few], held[place[few]]] = np.repeat(own, length)[few]
+        held[place] += 1
+        if held.min() >= depth:
+            break
+    place, rank = np.nonzero(found >= 0)
+    return place, rank, found[place, rank]
+
+
+def levels_by_interval(changes: DataFrame, depth: int, block: int | None = None) -> DataFrame:
+    """session_id, epoch, event_ix, side, price, qty, rank: the best levels after each event, by joining events to lifetimes.
+
+    The events of an epoch are cut into blocks of that many, and each lifetime goes to all blocks in which it stands, so
+    an event meets the levels of its block instead of all of its session.
+    """
+    block = block or max(1, min(4096, 40_000 // depth))
+    place = F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("event_ix"))
+    placed = changes.where(F.col("session_id").isNotNull() & F.col("epoch").isNotNull() & F.col("event_ix").isNotNull()).withColumn("block", F.floor((place - 1) / block))
+    by = [*KEYS, "block"]
+    ends = placed.groupBy(*KEYS).agg(F.max("block").alias("_end"))
+    life = lifetimes(placed).where("qty > 0").join(ends, [*KEYS])
+    life = life.withColumn("block", F.explode(F.sequence("block", F.coalesce("died_block", "_end"))))
+    life = life.select(*(F.col(c).alias(f"_{c}") for c in by), "side", "price", "qty", "born", "died", F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price")).alias("order"))
+    events = placed.select(*by, "event_ix").distinct()
+    kinds = {c: changes.schema[c].dataType.simpleString() for c in (*KEYS, "event_ix", "side", "price", "qty")} | {"rank": "int"}
+
+    def best(events: pa.Table, life: pa.Table) -> pa.Table:
+        at = np.sort(events.column("event_ix").to_numpy())
+        start = np.searchsorted(at, life.column("born").to_numpy())
+        died = life.column("died")
+        stop = np.where(died.is_null().to_numpy(), len(at), np.searchsorted(at, pc.fill_null(died, 0).to_numpy()))
+        parts = []
+        for side in life.column("side").unique():
+            own = np.flatnonzero(pc.equal(life.column("side"), side).to_numpy() if side.is_valid else life.column("side").is_null().to_numpy())
+            place, rank, row = _best_standing(life.column("order").take(own), start[own], stop[own], len(at), depth)
+            levels = life.select(["side", "price", "qty"]).take(own[row])
+            key = events.select([*KEYS]).take(np.zeros(len(row), np.int64))
+            parts.append(pa.table([*key.columns, pa.array(at[place]), *levels.columns, pa.array((rank + 1).astype(np.int32))], names=list(kinds)))
+        empty = pa.table([*events.select([*KEYS]).slice(0, 0).columns, pa.array(at[:0]), *life.select(["side", "price", "qty"]).slice(0, 0).columns, pa.array([], pa.int32())], names=list(kinds))
+        return pa.concat_tables([empty, *parts])
+
+    return events.groupBy(*by).cogroup(life.groupBy(*(f"_{c}" for c in by))).applyInArrow(best, ", ".join(f"{c} {k}" for c, k in kinds.items()))
 
 
 class Book:
